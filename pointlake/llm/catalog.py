@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from pointlake.plans.tables import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from pointlake.operators.chains import chain_clusters
+
+    return chain_clusters(table(spark, d, "cloud_normal"), 0.3005, smallest=10)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from pointlake.llm.nearest_time import nearest_in_time, topic_key
 
@@ -43,8 +49,8 @@ WHERE n = 1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found}
+    return {"p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_FOUND}
+    return {"p3_found": p3_found, "p5_found": P5_FOUND}
