@@ -10,6 +10,26 @@ from pyspark.sql import functions as F
 from pointlake.plans.tables import table
 
 
+VECTOR = ["x", "y", "z", "nx", "ny", "nz"]
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from pointlake.llm.similar_vectors import nearest_vectors
+
+    cloud = table(spark, d, "cloud_normal").select("cloud_id", "pid", *VECTOR)
+    probes = cloud.join(table(spark, d, "knn_probe").select("cloud_id", "pid").distinct(), ["cloud_id", "pid"], "left_semi")
+    near = nearest_vectors(cloud, probes, VECTOR, 10)
+    return near.select("cloud_id", F.least("pid", "neighbour").alias("pid_a"), F.greatest("pid", "neighbour").alias("pid_b")).distinct()
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The ranked neighbours of every vector whose pid is divisible by 100, searched in all vectors."""
+    from pointlake.llm.similar_vectors import nearest_vectors
+
+    cloud = table(spark, d, "cloud_normal").select("cloud_id", "pid", *VECTOR)
+    return nearest_vectors(cloud, cloud.where(F.col("pid") % 100 == 0), VECTOR, 10)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from pointlake.operators.chains import chain_clusters
 
@@ -49,8 +69,8 @@ WHERE n = 1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found}
+    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": p3_found, "p5_found": P5_FOUND}
+    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p5_found": P5_FOUND}
