@@ -54,6 +54,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from pointlake.llm.sentences import sentences
+
+    return sentences(table(spark, d, "documents"))
+
+
 P5_FOUND = r"""
 WITH l AS (
   SELECT DISTINCT msg_id, lower(regexp_replace(topic, '^[ \t/]+|[ \t/]+$', '', 'g')) AS k, ts_ns AS t FROM bag
@@ -69,7 +75,7 @@ WHERE n = 1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found}
+    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
