@@ -2,10 +2,10 @@
 
 # Abbreviations that a sentence does not end with: titles, and words that need what follows them.
 NEVER_LAST = {
-    "en": "mr mrs ms messrs dr prof st rev hon gen col capt lt sgt maj gov sen rep pres supt mt ft approx esp incl excl vs cf viz e.g i.e eg ie temp ver ed eds trans mk max min avg dept est ca resp cp",
-    "de": "hr fr frl dr prof dipl ing st ca bzw vgl inkl exkl zzgl lt max min evtl ggf z.b d.h z.hd u.u i.d.r o.g s.o s.u fa sog str geb verh abs art hd resp bes tel gem einschl",
-    "fr": "m mm mme mmes mlle mlles dr pr me mgr st ste env max min cf c.-à-d p.ex ex av bd boul tél réf resp art",
-    "es": "sr sra srta sres dr dra d dña prof profa ing lic arq gral cap aprox máx mín max min cf p.ej ej av avda c tel ref vs núm s.a.r",
+    "en": "mr mrs ms messrs dr prof st rev hon gen col capt lt sgt maj gov sen rep pres supt mt ft approx esp incl excl vs cf viz e.g i.e eg ie temp ed eds trans max min avg dept est ca resp cp",
+    "de": "hr fr frl dr prof dipl ing st ca bzw vgl inkl exkl zzgl lt max min evtl ggf z.b d.h z.hd u.u i.d.r o.g s.o s.u fa sog str geb verh abs hd resp bes tel gem einschl",
+    "fr": "m mm mme mmes mlle mlles dr pr me mgr st ste env max min cf c.-à-d p.ex ex av bd boul tél réf resp",
+    "es": "sr sra srta sres dr dra d dña prof profa ing lic arq gral aprox máx mín max min cf p.ej ej av avda c tel ref vs núm s.a.r",
     "ru": "проф акад доц г-н г-жа гр им ул пр просп пер пл наб обл р-н пос дер макс мин ок прибл ср см напр т.е т.к т.н т.о англ нем рус",
     "el": "κ κα κος δρ καθ αγ π.χ δηλ βλ πρβλ περ αρ οδ λεωφ",
     "ar": "د أ م أ.د ص ج ق.م",
@@ -14,7 +14,7 @@ NEVER_LAST = {
 }
 # Abbreviations before a number.
 BEFORE_NUMBER = {
-    "en": "no nos nr p pp fig figs vol vols ch sec art par eq tab pt op jan feb mar apr jun jul aug sep sept oct nov dec",
+    "en": "no nos nr ver mk p pp fig figs vol vols ch sec art par eq tab pt op jan feb mar apr jun jul aug sep sept oct nov dec",
     "de": "nr s bd kap abb tab z jan feb mär apr jun jul aug sep sept okt nov dez",
     "fr": "n no p pp fig vol chap art janv févr avr juil sept oct nov déc",
     "es": "n núm pág págs p pp fig vol cap art ene feb mar abr jun jul ago sep sept oct nov dic",
@@ -35,9 +35,20 @@ MAYBE_LAST = {
 CLOSES_LIST = "etc usw etc.p u.s.w и.т.д т.д т.п и.т.п др пр κ.λπ κλπ κ.ά κ.τ.λ κτλ u.dgl etcétera"
 # Words after which a number with a point is an ordinal.
 BEFORE_ORDINAL = "der die das den dem des am im vom zum zur beim ab bis seit jeder jede jedes jeden ein eine einem einer ihr ihre sein seine mein meine dieser diese dieses diesem diesen und oder"
+# Words that no sentence ends with: articles, prepositions and the like.
+TIED = {
+    "en": "the a an of to in on at for with and or my our your his her its their this that these those by from as than into over under between about",
+    "de": "der die das den dem des ein eine einen einem einer eines mit ohne für von vom zu zum zur in im an am auf bei nach vor seit und oder aber mein meine meinen unser unsere ihr ihre sein seine über unter zwischen durch gegen um als wie frau herr herrn lt",
+    "fr": "le la les un une des de du à au aux en dans sur sous pour par avec sans et ou mon ma mes notre nos votre vos son sa ses ce cet cette ces que qui",
+    "es": "el la los las un una unos unas de del a al en con sin por para y e o u mi mis su sus nuestro nuestra que",
+    "ru": "в на с со из у к ко по за и а но или от до для без при о об под над не",
+    "el": "ο η το οι τα του της των τον την ένα μια και με σε στο στη για από",
+    "hi": "का की के को में से पर और या जो कि यह वह",
+    "ar": "في من على إلى عن مع هذا هذه و أو",
+}
 # Words that open sentences, for texts whose letter case tells nothing.
 OPENS = {
-    "en": "the a an i it he she we you they this that these those my our his her their your there here what who when where why how if even every everyone everybody nobody somebody two three after before since at on in for would could should did does do is are was were don't not never all some no one bought setup total parts see rating firmware delivery best well dr mrs mr temp highly as use mail and but so",
+    "en": "the a an i it he she we you they this that these those my our his her their your there here what who when where why how if even every everyone everybody nobody somebody two three after before since at on in for would could should did does do is are was were don't not never all some no one bought setup total parts see rating firmware delivery best well dr mrs mr temp highly as use mail and but so over during within while because although however then now",
     "de": "der die das ein eine einer ich er sie es wir ihr man mein meine unser unsere dieser diese dieses auch am im in nach seit für vor bei mit ohne auf warum wie was wer wo wann würde endlich schrauben zwei drei alles selbst herr frau preis gewicht max klare naja so",
     "fr": "le la les l' un une des je j'ai il elle on nous vous ils elles ce cette ces mon ma mes notre même pourquoi comment quand où qui peut-on toute tout depuis pendant après avant dans cet livraison m mme bof si",
     "es": "el la los las un una yo lo mi mis nuestro nuestra su este esta esto ni hasta ya no con cuando donde por para desde durante después antes en me se llegó cabe pesa vive faltaban pagué trae pague llego",

@@ -10,6 +10,7 @@ decide.
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,6 +26,7 @@ NUMBER = W.words(W.BEFORE_NUMBER)
 MAYBE = W.words(W.MAYBE_LAST)
 LISTS = W.words(W.CLOSES_LIST)
 ORDINAL = W.words(W.BEFORE_ORDINAL)
+TIED = W.words(W.TIED)
 OPENS = W.words(W.OPENS)
 ON = W.words(W.CARRIES_ON)
 SAYS = W.words(W.SAYS)
@@ -55,6 +57,9 @@ _TOKEN = regex.compile(r"\S{1,60}$")
 _ADDRESS = regex.compile(r"www\.|://|@|[=_\\]")
 _THAI_GAP = regex.compile(rf"(?<=[฀-๿])(?:{_EMOJI_RUN.pattern}[ \t\xa0　]*|[ \t\xa0　]+)(?=\S)")
 _LINE = regex.compile(r"[^\r\n\x85  ]*")
+_PARAGRAPH = regex.compile(r"(?:\r?\n|\r)[^\S\r\n]*(?:\r?\n|\r)")
+_INNER_END = regex.compile(r"(?:[!?।॥؟]|[\p{L}\p{M}]{4}\.)[»”\")]?[^\S\r\n]+[^\s]")
+_PIECES = regex.compile(r"(?:\p{L}{1,2}\.){1,3}(?=\s)")
 _PIECE = regex.compile(r"(\p{L}{1,4})\.")
 _CASED = regex.compile(r"[\p{Lu}\p{Ll}\p{Lt}]")
 _SPACELESS = regex.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿]")
@@ -90,7 +95,13 @@ class _Text:
         letters = [m.group() for m in regex.finditer(r"(?<=[!?]\s+|[\p{Ll}]{3}[.]\s+)\p{L}", text)]
         lower = sum(c.islower() for c in letters)
         self.lower = bool(letters) and lower * 3 >= len(letters)
-        self.memo: dict[int, tuple[int, int]] = {}
+        # paragraphs in which some line holds the end of a sentence and more
+        cuts = [m.end() for m in _PARAGRAPH.finditer(text)]
+        self.cuts = [0, *cuts]
+        self.flow = [bool(_INNER_END.search(text[a:b])) for a, b in zip(self.cuts, [*cuts, len(text)])]
+
+    def flows(self, at: int) -> bool:
+        return self.flow[bisect_right(self.cuts, at) - 1]
 
     def _pair(self) -> None:
         text, open_ = self.text, []
@@ -104,7 +115,7 @@ class _Text:
                     continue
                 if held is not None and (not before.isspace() or after.isspace()):
                     self._close(open_, held, i)
-                elif not after.isspace() and (before.isspace() or (c == '"' and not before.isalnum()) or before in PAIRS or (c == '"' and held is None)):
+                elif not after.isspace() and (before.isspace() or (held is None and before in ENDS and after.isupper()) or (c == '"' and not before.isalnum()) or before in PAIRS or (c == '"' and held is None)):
                     open_.append((c, i))
                 continue
             held = next((k for k in range(len(open_) - 1, -1, -1) if c in PAIRS.get(open_[k][0], "")), None)
@@ -136,9 +147,9 @@ def _case(text: str, at: int, token: str) -> str:
     c = _first_letter(text, at)
     if not c or c.isdigit() or not _CASED.match(c):
         return "digit" if c and c.isdigit() else "none"
-    if c.islower():
-        return "lower"
     word = _WORD.search(text, at, at + 80)
+    if c.islower():
+        return "upper" if word and word.start() <= text.find(c, at) and any(x.isupper() for x in word.group().split("-")[0]) else "lower"
     second = _WORD.search(text, word.end(), word.end() + 40) if word else None
     loud = word and word.group().isupper() and (len(word.group()) > 1 or second is not None and second.group().isupper())
     letters = [x for x in token if x.isalpha()]
@@ -167,9 +178,9 @@ def _abbreviation(token: str, before: str) -> set[str]:
 def _full_stop(t: _Text, start: int, end: int, after: int, sentence: int) -> float:
     """Evidence that a single point at ``start`` ends a sentence; text goes on at ``after``, after a space or line break."""
     text = t.text
-    m = _TOKEN.search(text, max(0, start - 60), start)
+    m = _TOKEN.search(text, max(sentence, start - 60), start)
     token = m.group() if m else ""
-    earlier = text[max(0, start - len(token) - 24) : start - len(token)].rstrip()
+    earlier = text[max(sentence, start - len(token) - 24) : max(sentence, start - len(token))].rstrip()
     lead = _TOKEN.search(earlier)
     before = lead.group().casefold() if lead else ""
     piece = before.strip("(«„\"'").rstrip(".") if before.endswith(".") and len(before) <= 6 else ""
@@ -303,7 +314,7 @@ def _line_break(t: _Text, start: int, end: int, sentence: int, midline: bool) ->
     head = text[sentence] if sentence < len(text) else ""
     case = _case(text, end, "")
     last = text[max(line, start - 30) : start].split()
-    tied = bool(last) and last[-1].casefold() in ORDINAL
+    tied = bool(last) and last[-1].casefold() in TIED
     stop = end
     while stop < len(text) and not text[stop].isspace():
         stop += 1
@@ -311,11 +322,20 @@ def _line_break(t: _Text, start: int, end: int, sentence: int, midline: bool) ->
     width = max(start - line, len(_LINE.match(text, end).group()), start - line if line < 2 else line - 1 - (max(text.rfind("\n", 0, line - 1), text.rfind("\r", 0, line - 1)) + 1))
     following = 1 if spaceless and not "฀" <= text[end] <= "໿" else stop - end + 1
     full = start - line + following > width
-    if case == "lower" and not head.islower():
-        return -2.0
     if tied:
         return -2.0
-    if full and midline:
+    left = text[start - 1]
+    if _SPACELESS.match(left) and not "฀" <= left <= "໿":
+        tail = _lattice(text[max(sentence, start - 10) : start].split()[-1], False)
+        if tail[-1] in CJK_FINAL:
+            return 2.0
+        return -2.0 if tail[-1] in CJK_BEFORE else (-0.5 if full and midline else 1.5)
+    begun = _PIECES.match(text, end)
+    if case == "lower" and not head.islower() and not begun:
+        return -2.0
+    if full and begun and begun.group().casefold().rstrip(".") in NUMBER:
+        return -1.0
+    if full and (midline or case == "none" and not spaceless and t.flows(start)):
         return -1.5
     return -0.5 if full and case in ("lower", "digit") else 1.5
 
@@ -402,7 +422,8 @@ def _split(text: str) -> list[tuple[int, int]]:
                 continue
             listed = _LIST.match(text, end)
             previous = text[max(line, sentence) : start].strip()
-            if listed and not (_NUMBERED.match(text, end) and previous.split() and previous.split()[-1].casefold() in ORDINAL):
+            spoken = previous.split()[-1].casefold() if previous.split() else ""
+            if listed and not (_NUMBERED.match(text, end) and (spoken in TIED or spoken.endswith(".") and spoken.rstrip(".") in NUMBER)):
                 score = 3.0
             elif marked >= start - 1 and marked == len(text[:start].rstrip()):
                 continue  # the mark has decided
@@ -474,7 +495,7 @@ def _mark(t: _Text, start: int, end: int, stop: int, closed: int | None, sentenc
     if closed is not None:
         score = _after_speech(t, closed, after, sentence, gap)
         if text[t.quote[closed]] not in BRACKETS and core == "." and score > 0:
-            m = _TOKEN.search(text, max(0, start - 30), start)
+            m = _TOKEN.search(text, max(sentence, start - 30), start)
             roles = _abbreviation(m.group() if m else "", "")
             if roles & {"maybe", "never"} and _case(text, after, "") != "upper":
                 return -1.0
@@ -482,18 +503,18 @@ def _mark(t: _Text, start: int, end: int, stop: int, closed: int | None, sentenc
     if core in (".",):
         if not gap:
             left, right = text[start - 1], text[end]
-            chunk = (text[max(0, start - 40) : start].split() or [""])[-1]
+            chunk = (text[max(sentence, start - 40) : start].split() or [""])[-1]
             if _ADDRESS.search(chunk.casefold() + "."):
                 if not (right.isupper() and chunk != chunk.upper() and not chunk.casefold().endswith("www")):
                     return None
             if left.isdigit() and right.isdigit():
                 return None
-            run = regex.search(r"[\p{L}\p{M}\p{N}%°]+$", text[max(0, start - 30) : start])
+            run = regex.search(r"[\p{L}\p{M}\p{N}%°'’]+$", text[max(sentence, start - 30) : start])
             size = len(run.group()) if run else 0
-            if right in '"«„“¿¡(（' and not left.isspace():
+            if right in '"«„“‚‘¿¡(（' and not left.isspace() or right == "'" and end not in t.quote and text[end + 1 : end + 2].isupper():
                 return _full_stop(t, start, end, after, sentence)
             if right.isupper() and (left.islower() and size > 1 or left.isdigit() or not left.isalnum() and left not in ".-"):
-                token = _TOKEN.search(text, max(0, start - 60), start)
+                token = _TOKEN.search(text, max(sentence, start - 60), start)
                 roles = _abbreviation(token.group() if token else "", "")
                 return -2.0 if roles & {"never", "letters"} else 1.5
             if right.isupper() and left.isupper() and size > 2:
