@@ -9,15 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _modules() -> list:
+    from pointlake.catalog import drift, points
+
+    return [drift, points]
+
+
 def queries() -> dict[str, Query]:
     """All queries of the core, by name."""
-    from pointlake.catalog import drift
-
-    return {**drift.QUERIES}
+    return {name: q for module in _modules() for name, q in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for those queries that SQL can state."""
-    from pointlake.catalog import drift
-
-    return {**drift.SQL}
+    return {name: sql for module in _modules() for name, sql in module.SQL.items()}
