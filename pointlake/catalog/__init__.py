@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from pointlake.catalog import drift, points
+    from pointlake.catalog import drift, meshes, points
 
-    return [drift, points]
+    return [drift, points, meshes]
 
 
 def queries() -> dict[str, Query]:

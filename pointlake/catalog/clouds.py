@@ -47,9 +47,9 @@ def moved(source: str, matrix: np.ndarray) -> str:
     return f"(SELECT cloud_id, pid, {', '.join(f'{row(i)} AS {a}' for i, a in enumerate('xyz'))} FROM {source})"
 
 
-def r6(expression: str, name: str) -> str:
+def r6(expression: str, name: str, places: int = 6) -> str:
     """SQL of a value rounded to six places, without negative zero."""
-    return f"CASE WHEN abs({expression}) < 0.0000005 THEN CAST(0 AS DOUBLE) ELSE round({expression}, 6) END AS {name}"
+    return f"CASE WHEN abs({expression}) < {0.5 * 10**-places:.{places + 1}f} THEN CAST(0 AS DOUBLE) ELSE round({expression}, {places}) END AS {name}"
 
 
 def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:

@@ -24,7 +24,7 @@ LINE = "(SELECT 'lineitem' AS cloud_id, CAST(l_quantity AS DOUBLE) / 50 AS x, CA
 def _voxels(source: str, size: float, anchor: str) -> str:
     low = ", ".join(f"min({a}) OVER (PARTITION BY cloud_id) AS m{a}" for a in XYZ) if anchor == "minimum" else ", ".join(f"0.0::DOUBLE AS m{a}" for a in XYZ)
     cells = ", ".join(f"CAST(floor(({a} - m{a}) / {size}::DOUBLE) AS BIGINT) AS v{a}" for a in XYZ)
-    return f"""SELECT cloud_id, vx, vy, vz, {", ".join(r6(f"avg({a})", a) for a in XYZ)}, count(*) AS n
+    return f"""SELECT cloud_id, vx, vy, vz, {", ".join(r6(f"avg({a})", a, 9) for a in XYZ)}, count(*) AS n
 FROM (SELECT cloud_id, x, y, z, {cells} FROM (SELECT *, {low} FROM {source})) GROUP BY cloud_id, vx, vy, vz"""
 
 
@@ -116,11 +116,11 @@ def _ids(df):
 
 
 QUERIES = {
-    "voxel_downsample": lambda s, d: rounded(voxel.voxel_downsample(scans(s, d), 0.5), *XYZ),
-    "voxel_downsample_zero_anchor": lambda s, d: rounded(voxel.voxel_downsample(scans(s, d), 0.5, anchor="zero"), *XYZ),
+    "voxel_downsample": lambda s, d: rounded(voxel.voxel_downsample(scans(s, d), 0.5), *XYZ, places=9),
+    "voxel_downsample_zero_anchor": lambda s, d: rounded(voxel.voxel_downsample(scans(s, d), 0.5, anchor="zero"), *XYZ, places=9),
     "voxel_first_point": lambda s, d: voxel.voxel_downsample(scans(s, d), 0.5, keep="first"),
-    "voxel_lineitem": lambda s, d: rounded(voxel.voxel_downsample(_line_cloud(s, d), 0.05), *XYZ),
-    "cloud_stats": lambda s, d: rounded(voxel.statistics(scans(s, d)), "mean_x", "mean_y", "mean_z"),
+    "voxel_lineitem": lambda s, d: rounded(voxel.voxel_downsample(_line_cloud(s, d), 0.05), *XYZ, places=9),
+    "cloud_stats": lambda s, d: rounded(voxel.statistics(scans(s, d)), "mean_x", "mean_y", "mean_z", places=9),
     "bounding_box_center": lambda s, d: voxel.bounds(scans(s, d)).select("cloud_id", "center_x", "center_y", "center_z"),
     "concatenate": lambda s, d: voxel.concatenate(embeddings(s, d), scans(s, d)),
     "range_filter": lambda s, d: _ids(transforms.range_filter(scans(s, d), 5.0, 50.0)),
@@ -162,7 +162,7 @@ n AS (SELECT *, sqrt(d2) AS len FROM r WHERE (near >= 5 AND d2 <= 0.3005::DOUBLE
 d AS (SELECT *, dx / len AS ex, dy / len AS ey, dz / len AS ez FROM n WHERE len >= 1e-10),
 c AS (SELECT *, sy * ez - sz * ey AS cx, sz * ex - sx * ez AS cy, sx * ey - sy * ex AS cz FROM d),
 m AS (SELECT *, sqrt(cx * cx + cy * cy + cz * cz) AS cl FROM c),
-v AS (SELECT *, cx / cl AS vx, cy / cl AS vy, cz / cl AS vz FROM m WHERE cl >= 1e-10),
+v AS (SELECT *, cx * (1 / cl) AS vx, cy * (1 / cl) AS vy, cz * (1 / cl) AS vz FROM m WHERE cl >= 1e-10),
 q AS (SELECT *, sy * vz - sz * vy AS wx, sz * vx - sx * vz AS wy, sx * vy - sy * vx AS wz FROM v),
 b AS (SELECT cloud_id, pid, unnest([{bin_("(vx * tx + vy * ty + vz * tz)", -1, 2, 0)}, {bin_("(sx * ex + sy * ey + sz * ez)", -1, 2, 11)},
   {bin_("atan2(wx * tx + wy * ty + wz * tz, sx * tx + sy * ty + sz * tz)", "-3.141592653589793", "6.283185307179586", 22)}]) AS bin FROM q),
@@ -176,7 +176,7 @@ SQL = {
     "voxel_first_point": f"""SELECT cloud_id, vx, vy, vz, arg_min(x, pid) AS x, arg_min(y, pid) AS y, arg_min(z, pid) AS z, count(*) AS n FROM
 (SELECT cloud_id, pid, x, y, z, {", ".join(f"CAST(floor(({a} - m{a}) / 0.5::DOUBLE) AS BIGINT) AS v{a}" for a in XYZ)} FROM (SELECT *, {", ".join(f"min({a}) OVER (PARTITION BY cloud_id) AS m{a}" for a in XYZ)} FROM {SCANS})) GROUP BY cloud_id, vx, vy, vz""",
     "voxel_lineitem": _voxels(LINE, 0.05, "minimum"),
-    "cloud_stats": f"SELECT cloud_id, count(*) AS n, {', '.join(f'{f}({a}) AS {f}_{a}' for f in ('min', 'max') for a in XYZ)}, {', '.join(r6(f'avg({a})', f'mean_{a}') for a in XYZ)} FROM {SCANS} GROUP BY cloud_id",
+    "cloud_stats": f"SELECT cloud_id, count(*) AS n, {', '.join(f'{f}({a}) AS {f}_{a}' for f in ('min', 'max') for a in XYZ)}, {', '.join(r6(f'avg({a})', f'mean_{a}', 9) for a in XYZ)} FROM {SCANS} GROUP BY cloud_id",
     "bounding_box_center": f"SELECT cloud_id, {', '.join(f'(min({a}) + max({a})) / 2 AS center_{a}' for a in XYZ)} FROM {SCANS} GROUP BY cloud_id",
     "concatenate": f"SELECT * FROM {EMBEDDINGS} UNION ALL SELECT * FROM {SCANS}",
     "range_filter": f"SELECT cloud_id, pid FROM {SCANS} WHERE x * x + y * y + z * z BETWEEN 25 AND 2500",
