@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from pointlake.catalog import drift, meshes, points
+    from pointlake.catalog import drift, meshes, points, surfaces
 
-    return [drift, points, meshes]
+    return [drift, points, meshes, surfaces]
 
 
 def queries() -> dict[str, Query]:
