@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from pointlake.catalog import drift, meshes, points, surfaces
+    from pointlake.catalog import drift, meshes, points, streams, surfaces
 
-    return [drift, points, meshes, surfaces]
+    return [drift, points, meshes, surfaces, streams]
 
 
 def queries() -> dict[str, Query]:

@@ -97,7 +97,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = False,
     both = base.select(KEY, *XYZ).unionByName(queries.select(KEY, *XYZ))
     seen = both.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.greatest(*spread).alias("wide"), F.aggregate(F.array_sort(F.array(*spread)), F.lit(1.0), lambda a, s: a * F.greatest(s, F.lit(1e-12))).alias("volume"))
     size = seen.agg(F.max("wide").alias("wide"), F.percentile_approx(F.pow(F.col("volume") / F.col("n"), 1 / 3), 0.5).alias("space"), F.percentile_approx(F.col("wide") / F.pow(F.col("n"), 1 / 3), 0.5).alias("cube")).first()
-    wide = size["wide"] or 0.0
+    wide = (size["wide"] or 0.0) * 3**0.5  # no two points of a cloud are further apart
     edge = max((size["space"] or 0.0) * (max(k, 1) + 1) ** (1 / 3), (size["cube"] or 0.0) * 0.5, wide * 1e-4, 1e-9)
     done: list[DataFrame] = []
     asked = queries

@@ -75,7 +75,7 @@ def components(edges: DataFrame, keys: list[str]) -> DataFrame:
         if joined is None:
             joined = moves
         else:
-            further = joined.join(moves.withColumnsRenamed({"node": "at", "at": "next"}), [*keys, "at"], "left").select(*keys, "node", F.coalesce("next", "at").alias("at"))
+            further = joined.join(moves.select(*keys, F.col("at").alias("next"), F.col("node").alias("at")), [*keys, "at"], "left").select(*keys, "node", F.coalesce("next", "at").alias("at"))
             fresh = moves.join(joined, [*keys, "node"], "left_anti")
             older, joined = joined, scratch.written(further.unionByName(fresh), "joined")
             scratch.drop(older)
