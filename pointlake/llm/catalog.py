@@ -36,6 +36,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return chain_clusters(table(spark, d, "cloud_normal"), 0.3005, smallest=10)
 
 
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """256 clusters of the positions of all clouds by k-means, with their sizes and the members nearest each centre.
+
+    The cloud is a feature that outweighs any distance within a cloud of usual size, so that clusters keep to clouds.
+    """
+    from pointlake.llm.clusters import similarity_clusters
+
+    cloud = table(spark, d, "cloud_normal").where("abs(x) < 1e9 AND abs(y) < 1e9 AND abs(z) < 1e9")
+    _, clusters = similarity_clusters(cloud, ["cloud_id", "pid"], {"x": 1.0, "y": 1.0, "z": 1.0}, {"cloud_id": 500.0}, k=256)
+    return clusters
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from pointlake.llm.nearest_time import nearest_in_time, topic_key
 
@@ -54,6 +66,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    from pointlake.llm.leakage import leak_report
+
+    return leak_report(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     from pointlake.llm.sentences import sentences
 
@@ -75,8 +93,8 @@ WHERE n = 1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p5_found": P5_FOUND}
+    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": P5_FOUND}

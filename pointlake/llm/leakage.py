@@ -180,3 +180,46 @@ def leaked(documents: DataFrame, items: DataFrame, run: int = 60, key: str = "do
         found = rows.mapInArrow(search, f"`{key}` {kinds[0]}, `{item}` bigint")
         out = found if out is None else out.unionAll(found)
     return out.withColumn(item, F.col(item).cast(kinds[1])).distinct()
+
+
+def _longest_run(text: str, passage: str) -> int:
+    """Length of the longest common run, by extending matches of grams; both texts are reduced."""
+    if len(text) < GRAM or len(passage) < GRAM:
+        return 0
+    places: dict[str, list[int]] = {}
+    for j in range(len(passage) - GRAM + 1):
+        places.setdefault(passage[j : j + GRAM], []).append(j)
+    best, before = 0, {}
+    for i in range(len(text) - GRAM + 1):
+        now = {}
+        for j in places.get(text[i : i + GRAM], ()):
+            now[j] = before.get(j - 1, GRAM - 1) + 1
+            best = max(best, now[j])
+        before = now
+    return best
+
+
+def leak_report(documents: DataFrame, items: DataFrame, run: int = 60) -> DataFrame:
+    """``(doc_id, item_id, longest_run, passage_share, question_share, has_answer)`` of each leak that :func:`leaked` finds.
+
+    ``longest_run`` is the longest common run of reduced characters, ``passage_share`` its share of the passage,
+    ``question_share`` the share of the question's grams that the document holds, ``has_answer`` whether it holds the reduced
+    answer. Null and empty questions and answers give 0 and false. Only leaking pairs are joined with their texts.
+    """
+    pairs = leaked(documents, items, run)
+    texts = documents.select("doc_id", "text").dropDuplicates(["doc_id"])
+    full = pairs.join(texts, "doc_id").join(items.select("item_id", "passage", "question", "answer").dropDuplicates(["item_id"]), "item_id")
+
+    def describe(batches):
+        import pandas as pd
+
+        for b in batches:
+            rows = []
+            for doc, item, text, passage, question, answer in b[["doc_id", "item_id", "text", "passage", "question", "answer"]].itertuples(index=False):
+                t, p, q, a = reduced(text), reduced(passage), reduced(question), reduced(answer)
+                grams_ = {q[i : i + GRAM] for i in range(len(q) - GRAM + 1)}
+                longest = _longest_run(t, p)
+                rows.append((doc, item, longest, longest / max(1, len(p)), sum(g in t for g in grams_) / len(grams_) if grams_ else 0.0, bool(a) and a in t))
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "longest_run", "passage_share", "question_share", "has_answer"])
+
+    return full.mapInPandas(describe, "doc_id bigint, item_id bigint, longest_run int, passage_share double, question_share double, has_answer boolean")

@@ -111,9 +111,7 @@ def find(lexicon: dict[str, np.ndarray], words: Iterable[bytes]) -> np.ndarray:
     text = np.frombuffer(b"".join(words), dtype=np.uint8)
     place, state = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
     arc, target, output = lexicon["arc"], lexicon["target"], lexicon["output"]
-    alive = np.arange(len(words)) if len(arc) else np.empty(0, dtype=np.int64)
-    if not len(arc):
-        return np.full(len(words), -1)
+    alive = np.arange(len(words))
     done = np.full(len(words), -1, dtype=np.int64)
     depth = 0
     while len(alive):
@@ -121,6 +119,8 @@ def find(lexicon: dict[str, np.ndarray], words: Iterable[bytes]) -> np.ndarray:
         over = alive[ending]
         done[over] = np.where(lexicon["accepts"][state[over]], place[over], -1)
         alive = alive[~ending]
+        if not len(arc):
+            break
         key = state[alive] << 8 | text[first[alive] + depth]
         at = np.minimum(np.searchsorted(arc, key), len(arc) - 1)
         hit = arc[at] == key

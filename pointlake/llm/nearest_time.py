@@ -36,6 +36,8 @@ def nearest_in_time(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     """
     if tolerance < 0:
         raise ValueError("tolerance must not be negative")
+    if span < 2:
+        raise ValueError("a span must hold at least two tolerances")
     width = max(1, 2 * tolerance)
     chunk = max(1, tolerance) * span
     t = F.col("t")

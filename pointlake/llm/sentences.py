@@ -255,7 +255,7 @@ def _pause(t: _Text, start: int, after: int, sentence: int, marks: str) -> float
     held = len(text[sentence:start].split())
     if case == "upper":
         return 2.0 if held > 1 else 0.5
-    if word in ON or held <= 1:
+    if word in ON and case != "upper" or held <= 1:
         return -1.5
     if case in ("lower", "shout"):
         return (0.5 if held >= 3 else -0.5) if t.lower or case == "shout" else -1.5
@@ -283,7 +283,7 @@ def _after_speech(t: _Text, close: int, after: int, sentence: int, gap: bool) ->
             return -2.0
         return 1.5 if told or gap and not lead else (0.5 if gap else -1.5)
     case = _case(text, after, text[start:close])
-    if word in ON:
+    if word in ON and case != "upper":
         return -1.5
     if told:
         return 2.0 if case != "lower" or t.lower else 1.0
