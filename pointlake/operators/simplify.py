@@ -151,8 +151,9 @@ class Collapser:
 
 def _as_rows(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """Both tables in one, so that a mesh's rows meet in one group."""
-    v = vertices.select(KEY, F.col("vid").alias("id"), F.lit(True).alias("is_vertex"), *XYZ, *(F.lit(None).cast("bigint").alias(c) for c in "abc"))
-    f = faces.select(KEY, F.col("fid").alias("id"), F.lit(False).alias("is_vertex"), *(F.lit(None).cast("double").alias(c) for c in XYZ), *"abc")
+    # no nulls: pandas would turn whole numbers with nulls into floats and lose their last digits
+    v = vertices.select(KEY, F.col("vid").alias("id"), F.lit(True).alias("is_vertex"), *XYZ, *(F.lit(-1).cast("bigint").alias(c) for c in "abc"))
+    f = faces.select(KEY, F.col("fid").alias("id"), F.lit(False).alias("is_vertex"), *(F.lit(0.0).alias(c) for c in XYZ), *"abc")
     return v.unionByName(f)
 
 
@@ -174,11 +175,11 @@ def _simplified(vertices: DataFrame, faces: DataFrame, ratio: float, **options)
         c = Collapser(vid, points, f, **options)
         c.run(int(round(len(c.faces) * (1 - ratio))), limit)
         live = sorted({v for t in c.faces.values() for v in t})
-        v = pd.DataFrame({"id": vid[live], "is_vertex": True, **{n: c.points[live, i] for i, n in enumerate(XYZ)}})
+        v = pd.DataFrame({"id": vid[live], "is_vertex": True, **{n: c.points[live, i] for i, n in enumerate(XYZ)}, **dict.fromkeys("abc", -1)})
         t = np.array([c.faces[i] for i in sorted(c.faces)], dtype=int).reshape(-1, 3)
-        out = pd.concat([v, pd.DataFrame({"id": fid[sorted(c.faces)], "is_vertex": False, **{n: vid[t[:, i]] for i, n in enumerate("abc")}})], ignore_index=True)
+        out = pd.concat([v, pd.DataFrame({"id": fid[sorted(c.faces)], "is_vertex": False, **dict.fromkeys(XYZ, 0.0), **{n: vid[t[:, i]] for i, n in enumerate("abc")}})], ignore_index=True)
         out.insert(0, KEY, group[KEY].iloc[0])
-        return out.astype({n: "Int64" for n in "abc"})
+        return out
 
     done = scratch.written(_as_rows(vertices, faces).groupBy(KEY).applyInPandas(shrink, "mesh_id string, id bigint, is_vertex boolean, x double, y double, z double, a bigint, b bigint, c bigint"), "simplified")
     return done.where("is_vertex").select(KEY, F.col("id").alias("vid"), *XYZ), done.where("NOT is_vertex").select(KEY, F.col("id").alias("fid"), *"abc")

@@ -19,7 +19,7 @@ from pointlake.sources import packets, parsing, ros
 
 CLOUD = "cloud_id string, pid bigint, x double, y double, z double, nx double, ny double, nz double, r int, g int, b int, intensity double"
 BAG = "topic string, message_type string, ts_ns bigint, data binary"
-_KINDS = {"cloud_id": pa.string(), "pid": pa.int64(), **{c: pa.float64() for c in ("x", "y", "z", "nx", "ny", "nz", "intensity")}, **{c: pa.int32() for c in "rgb"}}
+_KINDS = {"cloud_id": pa.string(), "pid": pa.int64(), **{c: pa.float64() for c in ("x", "y", "z", "nx", "ny", "nz")}, **{c: pa.int32() for c in "rgb"}, "intensity": pa.float64()}
 _NAMES = {"red": "r", "green": "g", "blue": "b", "normal_x": "nx", "normal_y": "ny", "normal_z": "nz", "scalar_intensity": "intensity"}
 EXTENSIONS = {".ply": "ply", ".pcd": "pcd", ".bin": "kitti", ".obj": "obj", ".stl": "stl", ".pcap": "velodyne", ".lvx": "lvx", ".lvx2": "lvx2", ".mcap": "mcap", ".db3": "db3"}
 #: Points of a byte range.
