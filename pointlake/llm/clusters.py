@@ -80,7 +80,7 @@ def _seed(candidates: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Ge
     return candidates[chosen]
 
 
-def kmeans(vectors: DataFrame, k: int, keys: list[str], dims: int, rounds: int = 3, iterations: int = 4, oversampling: float = 2.0, seed: int = 7) -> np.ndarray:
+def kmeans(vectors: DataFrame, k: int, keys: list[str], dims: int, rounds: int = 3, iterations: int = 4, oversampling: float = 1.0, seed: int = 7) -> np.ndarray:
     """Centres (at most k, ``dims``) of ``vectors (*keys, f ARRAY<FLOAT>)``; fewer when there are fewer different vectors.
 
     Sampling is by a hash of the keys, so a run over the same records gives the same centres. An empty table gives none.
@@ -107,24 +107,23 @@ def kmeans(vectors: DataFrame, k: int, keys: list[str], dims: int, rounds: int =
 
         return vectors.select(*columns).mapInArrow(run, schema)
 
-    def cost(batch: pa.RecordBatch, c: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([float(_nearest(_vectors(batch, dims), c)[1].sum())])], names=["cost"])
-
+    most = max(1, int(oversampling * k))
     for turn in range(rounds):
-        whole = pass_over(["f"], cost, "cost double", centres).agg(F.sum("cost")).first()[0]
-        if not whole:
-            break
-
-        def pick(batch: pa.RecordBatch, c: np.ndarray, whole=whole) -> pa.RecordBatch | None:
-            f = _vectors(batch, dims)
-            d2 = _nearest(f, c)[1]
-            taken = batch.column("u").to_numpy() < oversampling * k * d2 / whole
-            return pa.RecordBatch.from_arrays([batch.column("f").filter(pa.array(taken))], names=["f"]) if taken.any() else None
 
-        # about oversampling x k rows a round, whatever the number of records
-        more = pass_over(["f", draw(turn)], pick, "f array<float>", centres).collect()
-        if more:
-            centres = np.unique(np.r_[centres, np.array([r.f for r in more], dtype=float)], axis=0)
+        def pick(batch: pa.RecordBatch, c: np.ndarray) -> pa.RecordBatch | None:
+            # an exponential clock per record that runs at the rate of its squared distance: the first to ring are the sample
+            d2 = _nearest(_vectors(batch, dims), c)[1]
+            with np.errstate(divide="ignore"):
+                rings = np.where(d2 > 0, -np.log(batch.column("u").to_numpy()) / d2, np.inf)
+            first = np.argsort(rings, kind="stable")[:most]
+            first = first[np.isfinite(rings[first])]
+            return pa.RecordBatch.from_arrays([batch.column("f").take(pa.array(first)), pa.array(rings[first])], names=["f", "rings"]) if len(first) else None
+
+        # oversampling x k rows a round, whatever the number of records
+        more = pass_over(["f", draw(turn)], pick, "f array<float>, rings double", centres).orderBy("rings").limit(most).collect()
+        if not more:
+            break
+        centres = np.unique(np.r_[centres, np.array([r.f for r in more], dtype=float)], axis=0)
 
     def sums(batch: pa.RecordBatch, c: np.ndarray) -> pa.RecordBatch:
         f = _vectors(batch, dims)
@@ -176,15 +175,18 @@ def similarity_clusters(records: DataFrame, keys: list[str], numbers: dict[str,
     members = vectors.mapInArrow(assign, f"{kinds}, cluster int, distance double")
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        """The members of a batch nearest their centre; the first of a cluster carries the count of all in the batch."""
+        for batch in assign(batches):
             order = pa.compute.sort_indices(batch, sort_keys=[("cluster", "ascending"), ("distance", "ascending"), *((c, "ascending") for c in keys)])
             batch = batch.take(order)
             c = batch.column("cluster").to_numpy()
             start = np.searchsorted(c, c)
-            yield batch.filter(pa.array(np.arange(len(c)) - start < typical))
+            place = np.arange(len(c)) - start
+            n = np.where(place == 0, np.searchsorted(c, c, side="right") - start, 0)
+            yield batch.append_column("n", pa.array(n)).filter(pa.array(place < typical))
 
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    near = members.mapInArrow(nearest, f"{kinds}, cluster int, distance double")
+    near = scratch.written(vectors.mapInArrow(nearest, f"{kinds}, cluster int, distance double, n bigint"), "near")
+    sizes = near.groupBy("cluster").agg(F.sum("n").alias("size"))
     order = Window.partitionBy("cluster").orderBy("distance", *keys)
     best = near.withColumn("i_", F.row_number().over(order)).where(F.col("i_") <= typical)
     listed = best.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("distance", *keys))).alias("typical"))
