@@ -67,19 +67,21 @@ def fpfh(cloud: DataFrame, radius: float = 0.1, k: int = 10) -> DataFrame:
     pairs are all degenerate get zeros.
     """
     positive(radius=radius)
-    pairs = scratch.written(_around(cloud, radius, k), "pairs")
-    own = scratch.written(_spfh(pairs), "spfh")
-    links = pairs.where(F.col("distance") >= 1e-10).select(KEY, "pid", "neighbor", (1 / F.col("distance")).alias("w"))
-    weight = links.groupBy(KEY, "pid").agg(F.sum("w").alias("all"))
-    lent = links.join(own.withColumnRenamed("pid", "neighbor"), [KEY, "neighbor"]).groupBy(KEY, "pid", "bin").agg(F.sum(F.col("w") * F.col("value")).alias("v"))
-    lent = lent.join(weight, [KEY, "pid"]).select(KEY, "pid", "bin", (F.col("v") / F.col("all")).alias("value"))
-    both = own.unionByName(lent).groupBy(KEY, "pid", "bin").agg(F.sum("value").alias("value"))
-    third = F.floor(F.col("bin") / BINS).cast("int").alias("third")
-    sums = both.groupBy(KEY, "pid", third).agg(F.sum("value").alias("s"))
-    even = both.withColumn("third", third).join(sums, [KEY, "pid", "third"]).select(KEY, "pid", "bin", (F.col("value") / F.col("s")).alias("value"))
-    filled = even.groupBy(KEY, "pid").agg(F.map_from_entries(F.collect_list(F.struct("bin", "value"))).alias("m"))
-    feature = F.transform(F.sequence(F.lit(0), F.lit(3 * BINS - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return cloud.select(KEY, "pid").join(filled, [KEY, "pid"], "left").select(KEY, "pid", F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), 3 * BINS)).otherwise(feature).alias("feature"))
+    width = 3 * BINS
+    pairs = _around(cloud, radius, k)
+    links = scratch.written(pair_features(pairs).select(KEY, "pid", "neighbor", "distance", "b0", "b1", "b2"), "links")
+    at = lambda i: F.col(f"b{i // BINS}") == i
+    counts = links.groupBy(KEY, "pid").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(at(i)).alias(f"h{i}") for i in range(width)))
+    own = scratch.written(counts.select(KEY, "pid", *((F.col(f"h{i}") / F.col("n")).alias(f"h{i}") for i in range(width))), "spfh")
+    # pairs that have no angles still lend their histogram
+    near = pairs.where(F.col("distance") >= 1e-10).select(KEY, "pid", "neighbor", (1 / F.col("distance")).alias("w"))
+    lent = near.join(own.withColumnRenamed("pid", "neighbor"), [KEY, "neighbor"], "left")
+    lent = lent.groupBy(KEY, "pid").agg(F.sum("w").alias("w"), *(F.sum(F.col("w") * F.coalesce(f"h{i}", F.lit(0.0))).alias(f"l{i}") for i in range(width)))
+    both = cloud.select(KEY, "pid").join(own, [KEY, "pid"], "left").join(lent, [KEY, "pid"], "left")
+    value = lambda i: F.coalesce(f"h{i}", F.lit(0.0)) + F.coalesce(F.try_divide(F.col(f"l{i}"), F.col("w")), F.lit(0.0))
+    parts = both.select(KEY, "pid", *(F.array(*(value(i) for i in range(t * BINS, (t + 1) * BINS))).alias(f"t{t}") for t in range(3)))
+    even = lambda t: F.transform(t, lambda v: F.coalesce(F.try_divide(v, F.aggregate(t, F.lit(0.0).cast("double"), lambda a, x: a + x)), F.lit(0.0)))
+    return parts.select(KEY, "pid", F.concat(*(even(F.col(f"t{t}")) for t in range(3))).alias("feature"))
 
 
 def fpfh_of_positions(cloud: DataFrame) -> DataFrame:

@@ -66,15 +66,39 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = False, exclude_place: bool = False, max_distance: float | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def _extent(*clouds: DataFrame) -> float:
+    """A distance that no two points of one cloud exceed: the diagonal of the largest cube around a cloud."""
+    both = clouds[0].select(KEY, *XYZ)
+    for c in clouds[1:]:
+        both = both.unionByName(c.select(KEY, *XYZ))
+    boxes = both.groupBy(KEY).agg(F.greatest(*(F.max(c) - F.min(c) for c in XYZ)).alias("wide"))
+    return (boxes.agg(F.max("wide")).first()[0] or 0.0) * 3**0.5
+
+
+def search_edge(base: DataFrame, k: int) -> float:
+    """The cell to begin a search of k neighbours with: few points per occupied cell, as sketches tell.
+
+    Two small aggregations: boxes per cloud, then distinct counts of occupied cells at a dozen sizes in one pass.
+    """
+    wide = _extent(base)
+    if wide <= 0:
+        return 1e-9
+    edges = [wide / 2**i for i in range(1, 13)]
+    seen = base.agg(F.count(F.lit(1)).alias("n"), *(F.approx_count_distinct(F.xxhash64(KEY, *cell(e)), 0.03).alias(f"e{i}") for i, e in enumerate(edges))).first()
+    fitting = [e for i, e in enumerate(edges) if seen[f"e{i}"] and seen["n"] / seen[f"e{i}"] <= max(2.0, k + 1)]
+    return fitting[0] if fitting else edges[-1]
+
+
+def knn(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = False, exclude_place: bool = False, max_distance: float | None = None, carry: tuple[str, ...] = (), edge: float | None = None) -> DataFrame:
     """``(cloud_id, pid, neighbor, distance, rank)``: the k nearest points of ``base`` for each query, exactly.
 
     Ties go to the smaller pid. ``exclude_self`` leaves out the point with the query's pid, ``exclude_place`` all points at the
     query's place. k of 0 gives no rows, fewer than k points all of them; ``max_distance`` (inclusive) bounds the search.
 
     A round joins the unfinished queries with the cells around them; a query is finished when it has k neighbours within the
-    cell width, which the 27 cells cover for sure. Cells double until every query is finished or they hold whole clouds.
-    Columns of ``base`` named in ``carry`` come along as the struct ``to``.
+    cell width, which the 27 cells cover for sure. Cells grow until every query is finished or they hold whole clouds.
+    Columns of ``base`` named in ``carry`` come along as the struct ``to``. ``edge`` is the first cell where it is known,
+    as in loops that search one table again and again.
     """
     if k < 0:
         raise ValueError("k must not be negative")
@@ -93,16 +117,11 @@ def knn(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = False,
     if max_distance is not None:
         positive(max_distance=max_distance)
         return _best(joined(queries, max_distance), k).select(KEY, "pid", "neighbor", F.sqrt("d2").alias("distance"), "rank", *to)
-    spread = [F.max(c) - F.min(c) for c in XYZ]
-    both = base.select(KEY, *XYZ).unionByName(queries.select(KEY, *XYZ))
-    seen = both.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.greatest(*spread).alias("wide"), F.aggregate(F.array_sort(F.array(*spread)), F.lit(1.0), lambda a, s: a * F.greatest(s, F.lit(1e-12))).alias("volume"))
-    size = seen.agg(F.max("wide").alias("wide"), F.percentile_approx(F.pow(F.col("volume") / F.col("n"), 1 / 3), 0.5).alias("space"), F.percentile_approx(F.col("wide") / F.pow(F.col("n"), 1 / 3), 0.5).alias("cube")).first()
-    wide = (size["wide"] or 0.0) * 3**0.5  # no two points of a cloud are further apart
-    edge = max((size["space"] or 0.0) * (max(k, 1) + 1) ** (1 / 3), (size["cube"] or 0.0) * 0.5, wide * 1e-4, 1e-9)
+    edge, wide = edge or search_edge(base, k), None
     done: list[DataFrame] = []
     asked = queries
     while True:
-        last = edge > wide * 1.0001
+        last = wide is not None and edge > wide * 1.0001
         best = scratch.written(_best(joined(asked, edge), k), "near")
         full = best.groupBy(KEY, "pid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(KEY, "pid")
         if last:
@@ -112,17 +131,19 @@ def knn(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = False,
         asked = scratch.written(asked.join(full, [KEY, "pid"], "left_anti"), "asked")
         if asked.isEmpty():
             break
-        # what is left lies apart from the rest, so the cells grow faster once few queries are left
-        edge = min(edge * 2, wide * 1.001 + 1e-9) if edge * 16 < wide else wide * 1.001 + 1e-9
+        if wide is None:
+            wide = _extent(base, asked)
+        # what is left lies apart from the rest, so cells grow fast
+        edge = edge * 4 if edge * 16 < wide else wide * 1.001 + 1e-9
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
     return out.select(KEY, "pid", "neighbor", F.sqrt("d2").alias("distance"), "rank", *to)
 
 
-def nearest(queries: DataFrame, base: DataFrame, max_distance: float | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, max_distance: float | None = None, carry: tuple[str, ...] = (), edge: float | None = None) -> DataFrame:
     """``(cloud_id, pid, neighbor, distance)``: the nearest point of ``base`` for each query that has one."""
-    return knn(queries, base, 1, max_distance=max_distance, carry=carry).drop("rank")
+    return knn(queries, base, 1, max_distance=max_distance, carry=carry, edge=edge).drop("rank")
 
 
 def neighborhoods(cloud: DataFrame, k: int, radius: float | None = None, carry: tuple[str, ...] = XYZ) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pointlake.functions.geometry import XYZ
 from pointlake.functions.linear import SYMMETRIC, matrices
 from pointlake.operators import features, transforms
-from pointlake.operators.neighbors import KEY, cell, feature_matches, nearest
+from pointlake.operators.neighbors import KEY, cell, feature_matches, nearest, search_edge
 from pointlake.operators.normals import COVARIANCE, estimate_normals, registration_covariances
 from pointlake.operators.voxel import voxel_downsample
 from pointlake.plans import scratch
@@ -51,13 +51,18 @@ def _pair(source: DataFrame, target: DataFrame, *more: str) -> tuple[DataFrame,
     return source, target
 
 
-def correspondences(source: DataFrame, target: DataFrame, pose: np.ndarray | None = None, max_distance: float | None = None, carry: tuple[str, ...] = XYZ) -> DataFrame:
+def _edge(target: DataFrame, max_distance: float | None) -> float | None:
+    """The first cell of unbounded searches in the target, found once for all iterations."""
+    return search_edge(target, 7) if max_distance is None else None
+
+
+def correspondences(source: DataFrame, target: DataFrame, pose: np.ndarray | None = None, max_distance: float | None = None, carry: tuple[str, ...] = XYZ, edge: float | None = None) -> DataFrame:
     """``(pid, x, y, z, neighbor, distance, to)``: moved source points with their nearest target point within the distance.
 
     The bound is inclusive; without one every point has a partner. Of equally near target points that of smallest pid counts.
     """
     moved = transforms.transform_points(source, np.eye(4) if pose is None else pose)
-    near = nearest(moved, target, max_distance, carry=carry)
+    near = nearest(moved, target, max_distance, carry=carry, edge=edge)
     return moved.join(near, [KEY, "pid"])
 
 
@@ -107,9 +112,9 @@ def icp_point_to_point(source: DataFrame, target: DataFrame, init: np.ndarray |
 
 
 def _icp(source: DataFrame, target: DataFrame, pose: np.ndarray, max_iterations: int, threshold: float, max_distance: float | None) -> Registration:
-    before = np.inf
+    before, edge = np.inf, _edge(target, max_distance)
     for turn in range(max_iterations):
-        n, s, t, h, d2 = _sums(cross_covariance(correspondences(source, target, pose, max_distance)).first())
+        n, s, t, h, d2 = _sums(cross_covariance(correspondences(source, target, pose, max_distance, edge=edge)).first())
         if n < 3:
             raise ValueError("fewer than 3 correspondences")
         step = kabsch(n, s, t, h)
@@ -119,7 +124,7 @@ def _icp(source: DataFrame, target: DataFrame, pose: np.ndarray, max_iterations:
             return Registration(pose, mse, turn + 1, True, {"pairs": n})
         before = mse
     # the last pairs under the last pose
-    pairs = correspondences(source, target, last, max_distance)
+    pairs = correspondences(source, target, last, max_distance, edge=edge)
     gap = transforms.transform_points(pairs, step).select(sum(((F.col(a) - F.col(f"to.{a}")) ** 2 for a in XYZ), F.lit(0.0)).alias("d2"))
     return Registration(pose, gap.agg(F.avg("d2")).first()[0], max_iterations, False, {"pairs": n})
 
@@ -175,8 +180,9 @@ def icp_point_to_plane(source: DataFrame, target: DataFrame, init: np.ndarray |
     s, t, n = [F.col(a) for a in XYZ], [F.col(f"to.{a}") for a in XYZ], [F.col(f"to.n{a}") for a in XYZ]
     row = [s[1] * n[2] - s[2] * n[1], s[2] * n[0] - s[0] * n[2], s[0] * n[1] - s[1] * n[0], *n]
     gap = sum(((b - a) * c for a, b, c in zip(s, t, n)), F.lit(0.0))
+    edge = _edge(target, max_distance)
     for turn in range(max_iterations):
-        pairs = correspondences(source, target, pose, max_distance, carry=(*XYZ, "nx", "ny", "nz"))
+        pairs = correspondences(source, target, pose, max_distance, carry=(*XYZ, "nx", "ny", "nz"), edge=edge)
         lined = pairs.select(*(c.alias(f"a{i}") for i, c in enumerate(row)), gap.alias("b"))
         sums = [F.sum(F.col(f"a{i}") * F.col(f"a{j}")).alias(f"h{i}{j}") for i in range(6) for j in range(i, 6)] + [F.sum(F.col(f"a{i}") * F.col("b")).alias(f"g{i}") for i in range(6)]
         got = lined.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("b") * F.col("b")).alias("e"), *sums).first()
