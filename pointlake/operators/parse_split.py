@@ -93,15 +93,17 @@ def check_delimited(lines: DataFrame, schemas: DataFrame) -> DataFrame:
 
     Returns ``(file_id, line_no, names, vals, errors)``: ``errors`` holds ``quoting``, ``columns`` or one ``value`` for each
     wrong value, and is empty for a row. Header lines and blank lines come out neither way, as do lines of unknown files and
-    null lines; an unknown delimiter leaves no readable value and counts as ``quoting``. A line delivered twice stays twice.
+    null lines; an unknown or null delimiter leaves no readable value and counts as ``quoting``, a null column list has no
+    columns. A line delivered twice stays twice. Other columns are not read.
     """
     known = schemas.select("file_id", "column_list", "delimiter", "has_header").dropDuplicates(["file_id"])
     line = F.col("line")
+    lines = lines.select("file_id", "line_no", "line")  # other columns may bear the names used here
     rows = (
         lines.where(line.isNotNull() & ~F.regexp_like(line, F.lit(BLANK_LINE)))
         .join(known, "file_id")
-        .where(~(F.coalesce("has_header", F.lit(False)) & (F.col("line_no") == 1)))
-        .select("file_id", "line_no", F.split("column_list", ",").alias("names"), delimited_values(line, F.col("delimiter")).alias("vals"))
+        .where(~(F.coalesce("has_header", F.lit(False)) & F.col("line_no").eqNullSafe(F.lit(1))))
+        .select("file_id", "line_no", F.coalesce(F.split("column_list", ","), F.array().cast("array<string>")).alias("names"), delimited_values(line, F.col("delimiter")).alias("vals"))
     )
     wrong = F.filter(F.zip_with("names", "vals", lambda n, v: ~_fits(F.trim(n), v)), lambda bad: bad)
     errors = (
@@ -116,16 +118,18 @@ def check_typed(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """Lines of files with a typed header ``(file_id, fields, sizes, types, counts, data_format)`` in text form, checked.
 
     Returns what :func:`check_delimited` returns, with a name for each value: a field of count n names n values.
+    A header with null or broken lists has no values, so that its lines count as ``columns``.
     """
     known = headers.where(F.col("data_format") == "ascii").select("file_id", "fields", "sizes", "types", "counts").dropDuplicates(["file_id"])
     per_field = {c: F.split(F.trim(c), r"[ \t]+") for c in ("fields", "sizes", "types", "counts")}
-    spread = lambda c: F.flatten(F.zip_with(c, "counts", lambda v, n: F.array_repeat(v, n.cast("int"))))
+    spread = lambda c: F.flatten(F.zip_with(c, "counts", lambda v, n: F.array_repeat(v, n.try_cast("int"))))
     layout = known.select("file_id", *(v.alias(c) for c, v in per_field.items())).select("file_id", spread("fields").alias("names"), F.arrays_zip(spread("types").alias("kind"), spread("sizes").alias("size")).alias("layout"))
     line = F.col("line")
+    lines = lines.select("file_id", "line_no", "line")  # other columns may bear the names used here
     rows = (
         lines.where(line.isNotNull() & ~F.regexp_like(line, F.lit(BLANK_LINE)))
         .join(layout, "file_id")
-        .select("file_id", "line_no", "names", F.regexp_extract_all(line, F.lit(r"([^ \t]+)"), F.lit(1)).alias("vals"), "layout")
+        .select("file_id", "line_no", F.coalesce("names", F.array().cast("array<string>")).alias("names"), F.regexp_extract_all(line, F.lit(r"([^ \t]+)"), F.lit(1)).alias("vals"), "layout")
     )
     wrong = F.filter(F.zip_with("layout", "vals", lambda t, v: ~_fits_type(t["kind"], t["size"], v)), lambda bad: bad)
     errors = F.when(F.size("vals") != F.size("names"), F.array(F.lit("columns"))).otherwise(F.transform(wrong, lambda _: F.lit("value")))

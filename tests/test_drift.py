@@ -113,3 +113,13 @@ def test_rows_are_typed_once_and_the_rest_reported(spark):
     both = parse_split.points(c.unionAll(c)).collect()
     assert len(both) == 2 and both[0].x == 1.0 and both[0].label == "a" and both[0].z is None
     assert parse_split.failed(lines(spark, [])).count() == 0
+
+
+def test_nulls_in_schemas_and_clashing_columns(spark):
+    raw = spark.createDataFrame([(1, 1, "1,2", "x"), (1, None, "1,2", "x"), (2, 1, "1 2", "x"), (3, 1, "1,2", None)], "file_id bigint, line_no int, line string, delimiter string").selectExpr("*", "1 as names", "2 as vals", "3 as errors", "4 as layout")
+    schemas = spark.createDataFrame([(1, None, "comma", True), (3, "x,y", None, None)], "file_id bigint, column_list string, delimiter string, has_header boolean")
+    got = {(r.file_id, r.line_no, r.reason) for r in parse_split.failed(parse_split.check_delimited(raw, schemas)).collect()}
+    assert got == {(1, None, "columns"), (3, 1, "quoting")}
+    headers = spark.createDataFrame([(2, "a b", "4 4", "F F", None, "ascii"), (3, "a b", "4 4", "F F", "1 ?", "ascii")], "file_id bigint, fields string, sizes string, types string, counts string, data_format string").selectExpr("*", "'z' as line")
+    got = {(r.file_id, r.reason) for r in parse_split.failed(parse_split.check_typed(raw, headers)).collect()}
+    assert got == {(2, "columns"), (3, "columns")}
