@@ -38,7 +38,7 @@ BEFORE_ORDINAL = "der die das den dem des am im vom zum zur beim ab bis seit jed
 # Words that no sentence ends with: articles, prepositions and the like.
 TIED = {
     "en": "the a an of to in on at for with and or my our your his her its their this that these those by from as than into over under between about",
-    "de": "der die das den dem des ein eine einen einem einer eines mit ohne für von vom zu zum zur in im an am auf bei nach vor seit und oder aber mein meine meinen unser unsere ihr ihre sein seine über unter zwischen durch gegen um als wie frau herr herrn lt",
+    "de": "der die das den dem des ein eine einen einem einer eines ohne für von vom zum zur in im am bei seit und oder aber mein meine meinen unser unsere ihr ihre sein seine zwischen gegen als wie frau herr herrn lt",
     "fr": "le la les un une des de du à au aux en dans sur sous pour par avec sans et ou mon ma mes notre nos votre vos son sa ses ce cet cette ces que qui",
     "es": "el la los las un una unos unas de del a al en con sin por para y e o u mi mis su sus nuestro nuestra que",
     "ru": "в на с со из у к ко по за и а но или от до для без при о об под над не",

@@ -58,7 +58,7 @@ _ADDRESS = regex.compile(r"www\.|://|@|[=_\\]")
 _THAI_GAP = regex.compile(rf"(?<=[฀-๿])(?:{_EMOJI_RUN.pattern}[ \t\xa0　]*|[ \t\xa0　]+)(?=\S)")
 _LINE = regex.compile(r"[^\r\n\x85  ]*")
 _PARAGRAPH = regex.compile(r"(?:\r?\n|\r)[^\S\r\n]*(?:\r?\n|\r)")
-_INNER_END = regex.compile(r"(?:[!?।॥؟]|[\p{L}\p{M}]{4}\.)[»”\")]?[^\S\r\n]+[^\s]")
+_INNER_END = regex.compile(r"(?:[!?।॥؟]|[\p{L}\p{M}]{4}\.)[^\S\r\n]+[^\s]")
 _PIECES = regex.compile(r"(?:\p{L}{1,2}\.){1,3}(?=\s)")
 _PIECE = regex.compile(r"(\p{L}{1,4})\.")
 _CASED = regex.compile(r"[\p{Lu}\p{Ll}\p{Lt}]")
@@ -134,7 +134,7 @@ class _Text:
 
 def _next_word(text: str, at: int) -> str:
     m = _WORD.search(text, at, at + 80)
-    return m.group().casefold() if m else ""
+    return m.group().split(".")[0].casefold() if m else ""
 
 
 def _first_letter(text: str, at: int) -> str:
@@ -149,7 +149,7 @@ def _case(text: str, at: int, token: str) -> str:
         return "digit" if c and c.isdigit() else "none"
     word = _WORD.search(text, at, at + 80)
     if c.islower():
-        return "upper" if word and word.start() <= text.find(c, at) and any(x.isupper() for x in word.group().split("-")[0]) else "lower"
+        return "upper" if word and word.start() <= text.find(c, at) and any(x.isupper() for x in regex.split(r"[.\-]", word.group())[0]) else "lower"
     second = _WORD.search(text, word.end(), word.end() + 40) if word else None
     loud = word and word.group().isupper() and (len(word.group()) > 1 or second is not None and second.group().isupper())
     letters = [x for x in token if x.isalpha()]
@@ -304,7 +304,7 @@ def _line_break(t: _Text, start: int, end: int, sentence: int, midline: bool) ->
     """Evidence that a line break after no mark ends a sentence."""
     text = t.text
     gap = text[start:end]
-    if text[start - 1] in "-‐­" and start > 1 and text[start - 2].isalpha():
+    if text[start - 1] in "-‐­" and start > 1 and not text[start - 2].isspace() and text[start - 2] not in "-‐":
         return -3.0
     if text[start - 1] in ",，、;:：؛،(（«„“「/&+=":
         return -2.0 if gap.count("\n") < 2 else 1.0
@@ -333,8 +333,6 @@ def _line_break(t: _Text, start: int, end: int, sentence: int, midline: bool) ->
     begun = _PIECES.match(text, end)
     if case == "lower" and not head.islower() and not begun:
         return -2.0
-    if full and begun and begun.group().casefold().rstrip(".") in NUMBER:
-        return -1.0
     if full and (midline or case == "none" and not spaceless and t.flows(start)):
         return -1.5
     return -0.5 if full and case in ("lower", "digit") else 1.5
