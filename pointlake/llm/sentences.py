@@ -1,8 +1,8 @@
 """Sentences of texts in any language and script.
 
-Every place where a sentence may end - a mark, a line break, a gap in a script without sentence marks - becomes a node of a
-lattice with the cost of ending there and that of going on, from what stands before and after it. The cheapest path divides
-the text. In spaced scripts the evidence is that of the terminator: abbreviations, ordinals, initials, speech, letter case. In
+Every place where a sentence may end - a mark, a line break, a gap in a script without sentence marks - is weighed by what
+stands before and after it, in order, as the start of the sentence matters; positive evidence ends the sentence there. In
+spaced scripts the evidence is that of the terminator: abbreviations, ordinals, initials, speech, letter case, line layout. In
 spaceless scripts the text around a gap is segmented by a dictionary word lattice, and its final particle and opening word
 decide.
 """
