@@ -20,7 +20,7 @@ QUERIES = {
     "p1_found": lambda s, d: schema_drift.changes(_layouts(s, d)),
     "p1_unified": lambda s, d: schema_drift.unified(_layouts(s, d)),
     "p4_found": lambda s, d: parse_split.failed(_checked(s, d)),
-    "p4_points": lambda s, d: parse_split.points(_checked(s, d)).drop("more"),
+    "p4_points": lambda s, d: parse_split.points(_checked(s, d), typed=True),
 }
 
 P1_FOUND = r"""

@@ -91,7 +91,7 @@ def _fits_type(kind: Column, size: Column, value: Column) -> Column:
 def check_delimited(lines: DataFrame, schemas: DataFrame) -> DataFrame:
     """Lines ``(file_id, line_no, line)`` of files with a schema ``(file_id, column_list, delimiter, has_header)``, checked.
 
-    Returns ``(file_id, line_no, names, vals, errors)``: ``errors`` holds ``quoting``, ``columns`` or one ``value`` for each
+    Returns ``(file_id, line_no, names, vals, kinds, errors)``: ``kinds`` are the types of the values, null here, and ``errors`` holds ``quoting``, ``columns`` or one ``value`` for each
     wrong value, and is empty for a row. Header lines and blank lines come out neither way, as do lines of unknown files and
     null lines; an unknown or null delimiter leaves no readable value and counts as ``quoting``, a null column list has no
     columns. A line delivered twice stays twice. Other columns are not read.
@@ -111,13 +111,15 @@ def check_delimited(lines: DataFrame, schemas: DataFrame) -> DataFrame:
         .when(F.size("vals") != F.size("names"), F.array(F.lit("columns")))
         .otherwise(F.transform(wrong, lambda _: F.lit("value")))
     )
-    return rows.withColumn("errors", errors)
+    kinds = F.transform("names", lambda _: F.lit(None).cast("string"))
+    return rows.select("file_id", "line_no", "names", "vals", kinds.alias("kinds"), errors.alias("errors"))
 
 
 def check_typed(lines: DataFrame, headers: DataFrame) -> DataFrame:
     """Lines of files with a typed header ``(file_id, fields, sizes, types, counts, data_format)`` in text form, checked.
 
-    Returns what :func:`check_delimited` returns, with a name for each value: a field of count n names n values.
+    Returns what :func:`check_delimited` returns, with a name and a type (letter and size) for each value: a field of count n
+    names n values.
     A header with null or broken lists has no values, so that its lines count as ``columns``.
     """
     known = headers.where(F.col("data_format") == "ascii").select("file_id", "fields", "sizes", "types", "counts").dropDuplicates(["file_id"])
@@ -133,7 +135,8 @@ def check_typed(lines: DataFrame, headers: DataFrame) -> DataFrame:
     )
     wrong = F.filter(F.zip_with("layout", "vals", lambda t, v: ~_fits_type(t["kind"], t["size"], v)), lambda bad: bad)
     errors = F.when(F.size("vals") != F.size("names"), F.array(F.lit("columns"))).otherwise(F.transform(wrong, lambda _: F.lit("value")))
-    return rows.withColumn("errors", errors).drop("layout")
+    kinds = F.transform("layout", lambda t: F.concat(t["kind"], t["size"]))
+    return rows.select("file_id", "line_no", "names", "vals", kinds.alias("kinds"), errors.alias("errors"))
 
 
 def failed(checked: DataFrame) -> DataFrame:
@@ -141,20 +144,31 @@ def failed(checked: DataFrame) -> DataFrame:
     return checked.where(F.size("errors") > 0).select("file_id", "line_no", F.col("errors")[0].alias("reason")).distinct()
 
 
-def points(checked: DataFrame) -> DataFrame:
+def points(checked: DataFrame, typed: bool = False) -> DataFrame:
     """The other lines as typed points, each once: x, y, z, intensity, nx, ny, nz DOUBLE, red, green, blue INT, label STRING.
 
-    Columns a file lacks and empty values are null. Further columns stay as text in the map ``more``, where a name that has
-    several values holds them blank-separated.
+    Columns a file lacks and empty values are null. All values that these columns do not hold are in the map ``more`` by name:
+    those of further columns, the second and later ones of a name that has several, and a colour that is no INT. They stay as
+    text, blank-separated; if ``typed``, they are an array of structs of the ``kind`` in the header (null in files without
+    types) and the value as ``whole`` DECIMAL(20,0) for I and U, ``real`` DOUBLE for F, else ``text``.
     """
     value = lambda n: F.nullif(F.try_element_at("vals", F.nullif(F.array_position("names", n), F.lit(0)).cast("int")), F.lit(""))
-    kinds = {**dict.fromkeys((*POSITION, *OPTIONAL), "double"), **dict.fromkeys(COLOUR, "int"), "label": "string"}
-    rest = F.filter(F.array_distinct("names"), lambda n: ~n.isin(*TYPED))
-    joined = lambda n: F.array_join(F.transform(F.filter(F.arrays_zip("names", "vals"), lambda p: p["names"] == n), lambda p: p["vals"]), " ")
-    more = F.map_from_arrays(rest, F.transform(rest, joined))
-    rows = checked.where(F.size("errors") == 0)
-    once = rows.dropDuplicates(["file_id", "line_no"])
-    return once.select("file_id", "line_no", *(value(n).try_cast(k).alias(n) for n, k in kinds.items()), more.alias("more"))
+    columns = {**dict.fromkeys((*POSITION, *OPTIONAL), "double"), **dict.fromkeys(COLOUR, "int"), "label": "string"}
+    first = F.transform("names", lambda n, i: F.array_position("names", n) == i + 1)
+    cells = F.arrays_zip("names", "vals", "kinds", first.alias("first"))
+    lost = lambda p: p["names"].isin(*COLOUR) & (p["vals"] != "") & p["vals"].try_cast("int").isNull()
+    cells = F.filter(cells, lambda p: ~p["names"].isin(*TYPED) | ~p["first"] | lost(p))
+    kind = lambda p, *letters: F.coalesce(F.substring(p["kinds"], 1, 1).isin(*letters), F.lit(False))
+
+    def as_typed(p: Column) -> Column:
+        whole, real = F.when(kind(p, "I", "U"), p["vals"].try_cast("decimal(20,0)")), F.when(kind(p, "F"), p["vals"].try_cast("double"))
+        return F.struct(p["kinds"].alias("kind"), whole.alias("whole"), real.alias("real"), F.when(~kind(p, "I", "U", "F"), p["vals"]).alias("text"))
+
+    own = lambda n: F.filter("cells", lambda p: p["names"] == n)
+    held = (lambda n: F.transform(own(n), as_typed)) if typed else (lambda n: F.array_join(F.transform(own(n), lambda p: p["vals"]), " "))
+    rest = F.array_distinct(F.transform("cells", lambda p: p["names"]))
+    once = checked.where(F.size("errors") == 0).dropDuplicates(["file_id", "line_no"]).withColumn("cells", cells)
+    return once.select("file_id", "line_no", *(value(n).try_cast(k).alias(n) for n, k in columns.items()), F.map_from_arrays(rest, F.transform(rest, held)).alias("more"))
 
 
 def check_lines(raw: DataFrame, schemas: DataFrame, headers: DataFrame) -> DataFrame:

@@ -123,3 +123,18 @@ def test_nulls_in_schemas_and_clashing_columns(spark):
     headers = spark.createDataFrame([(2, "a b", "4 4", "F F", None, "ascii"), (3, "a b", "4 4", "F F", "1 ?", "ascii")], "file_id bigint, fields string, sizes string, types string, counts string, data_format string").selectExpr("*", "'z' as line")
     got = {(r.file_id, r.reason) for r in parse_split.failed(parse_split.check_typed(raw, headers)).collect()}
     assert got == {(2, "columns"), (3, "columns")}
+
+
+def test_p4_points_holds_every_value(spark, tmp_path):
+    from pointlake.catalog import drift
+
+    raw = [(1, 1, "1 2 3 4 0.5 7 18446744073709551615 -1 nan"), (1, 1, "1 2 3 4 0.5 7 18446744073709551615 -1 nan"), (2, 1, "1,2,3,a,b")]
+    spark.createDataFrame(raw, "file_id bigint, line_no int, line string").write.parquet(str(tmp_path / "raw_line.parquet"))
+    header = (1, "x py z red tag echo f", "4 8 4 4 1 8 4", "F F F F U U F", "2 1 1 1 1 1 2", "ascii")
+    spark.createDataFrame([header], "file_id bigint, fields string, sizes string, types string, counts string, data_format string").write.parquet(str(tmp_path / "pcd_header.parquet"))
+    spark.createDataFrame([(2, "x,y,z,label,note", "comma", False)], "file_id bigint, column_list string, delimiter string, has_header boolean").write.parquet(str(tmp_path / "xyz_schema.parquet"))
+    got = {r.file_id: r for r in drift.QUERIES["p4_points"](spark, str(tmp_path)).collect()}
+    held = {k: [(v.kind, v.whole, v.real, v.text) for v in vs] for k, vs in got[1].more.items()}
+    assert (got[1].x, got[1].y, got[1].z, got[1].red) == (1.0, None, 4.0, None)
+    assert np.isnan(held["f"].pop()[2]) and held == {"x": [("F4", None, 2.0, None)], "py": [("F8", None, 3.0, None)], "red": [("F4", None, 0.5, None)], "tag": [("U1", 7, None, None)], "echo": [("U8", 2**64 - 1, None, None)], "f": [("F4", None, -1.0, None)]}
+    assert got[2].label == "a" and {k: [v.text for v in vs] for k, vs in got[2].more.items()} == {"note": ["b"]}
