@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,16 +37,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return chain_clusters(table(spark, d, "cloud_normal"), 0.3005, smallest=10)
 
 
-def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """256 clusters of the positions of all clouds by k-means, with their sizes and the members nearest each centre.
-
-    The cloud is a feature that outweighs any distance within a cloud of usual size, so that clusters keep to clouds.
-    """
+def _by_place(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Members and clusters of the positions by k-means within each cloud, k a quarter of the root of the cloud's rows."""
     from pointlake.llm.clusters import similarity_clusters
 
     cloud = table(spark, d, "cloud_normal").where("abs(x) < 1e9 AND abs(y) < 1e9 AND abs(z) < 1e9")
-    _, clusters = similarity_clusters(cloud, ["cloud_id", "pid"], {"x": 1.0, "y": 1.0, "z": 1.0}, {"cloud_id": 500.0}, k=256)
-    return clusters
+    return similarity_clusters(cloud, ["cloud_id", "pid"], {"x": 1.0, "y": 1.0, "z": 1.0}, k=lambda n: math.ceil(math.sqrt(n) / 4), dims=6, within="cloud_id")
+
+
+def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The clusters of each cloud by k-means, with their sizes and the members nearest each centre."""
+    return _by_place(spark, d)[1]
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

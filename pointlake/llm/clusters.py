@@ -1,15 +1,16 @@
 """Dividing records into clusters of mutually similar ones by distributed k-means with parallel oversampled seeding.
 
-Records become vectors of hashed weighted features. Seeding takes, in a few rounds, every record with a probability that grows
+Records become vectors of hashed weighted features; those of a group (a cloud) are seeded, averaged and assigned among
+themselves, all groups in the same passes. Seeding takes, in a few rounds, every record with a probability that grows
 with its distance from the seeds so far, which gives a few times k candidates; these are weighted by the records they stand
-for and reduced to k on the driver. Lloyd rounds follow. What the driver and every task hold are k (or a few k) centres of
-``dims`` numbers, never records.
+for and reduced to k on the driver. Lloyd rounds follow. What the driver and every task hold are k (or a few k) centres a group
+of ``dims`` numbers, never records.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,114 +81,156 @@ def _seed(candidates: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Ge
     return candidates[chosen]
 
 
-def kmeans(vectors: DataFrame, k: int, keys: list[str], dims: int, rounds: int = 3, iterations: int = 4, oversampling: float = 1.0, seed: int = 7) -> np.ndarray:
-    """Centres (at most k, ``dims``) of ``vectors (*keys, f ARRAY<FLOAT>)``; fewer when there are fewer different vectors.
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
+    """The groups of a batch, each with the places of its rows."""
+    g = batch.column("g_").dictionary_encode()
+    code = g.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    cut = np.searchsorted(code[order], np.arange(len(g.dictionary) + 1))
+    for i, name in enumerate(g.dictionary.to_pylist()):
+        yield name, order[cut[i] : cut[i + 1]]
 
-    Sampling is by a hash of the keys, so a run over the same records gives the same centres. An empty table gives none.
+
+def _assigned(batch: pa.RecordBatch, centres: dict[str, np.ndarray], dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row among those of its group, and the squared distance."""
+    f = _vectors(batch, dims)
+    which, d2 = np.empty(len(f), dtype=np.int64), np.empty(len(f))
+    for g, at in _groups(batch):
+        which[at], d2[at] = _nearest(f[at], centres[g])
+    return which, d2
+
+
+def kmeans(vectors: DataFrame, k: int | Callable[[int], int], keys: list[str], dims: int, rounds: int = 3, iterations: int = 4, oversampling: float = 1.0, seed: int = 7) -> dict[str, np.ndarray]:
+    """By group, the centres (at most k, ``dims``) of ``vectors (*keys, g_ STRING, f ARRAY<FLOAT>)``; fewer where there are fewer different vectors.
+
+    ``k`` is a number for every group or a function of a group's rows. Sampling is by a hash of the keys, so a run over the same
+    records gives the same centres. An empty table gives none.
     """
-    if k < 1 or rounds < 1 or iterations < 0:
+    if isinstance(k, int) and k < 1 or rounds < 1 or iterations < 0:
         raise ValueError("k and rounds must be positive")
     spark = vectors.sparkSession
     rng = np.random.default_rng(seed)
     draw = lambda r: ((F.pmod(F.xxhash64(F.lit(seed), F.lit(r), *keys), F.lit(1 << 40)) + 0.5) / float(1 << 40)).alias("u")
-    first = vectors.select("f", draw(-1)).agg(F.min_by("f", "u").alias("f")).first()
-    if first is None or first.f is None:
-        return np.empty((0, dims))
-    centres = np.array([first.f], dtype=float)
-
-    def pass_over(columns: list, work, schema: str, held: np.ndarray) -> DataFrame:
+    start = vectors.select("g_", "f", draw(-1)).groupBy("g_").agg(F.min_by("f", "u").alias("f"), F.count(F.lit(1)).alias("n")).toArrow().to_pylist()
+    start.sort(key=lambda r: r["g_"])
+    centres = {r["g_"]: np.array([r["f"]], dtype=float) for r in start}
+    wanted = {r["g_"]: k if isinstance(k, int) else max(1, k(r["n"])) for r in start}
+    if not centres:
+        return {}
+
+    def pass_over(columns: list, work, schema: str, held: dict[str, np.ndarray]) -> DataFrame:
         shared = spark.sparkContext.broadcast(held)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    out = work(batch, shared.value)
-                    if out is not None:
-                        yield out
+                    yield work(batch, shared.value)
 
-        return vectors.select(*columns).mapInArrow(run, schema)
+        return vectors.select("g_", *columns).mapInArrow(run, schema)
 
-    most = max(1, int(oversampling * k))
+    most = {g: max(1, int(oversampling * n)) for g, n in wanted.items()}
     for turn in range(rounds):
 
-        def pick(batch: pa.RecordBatch, c: np.ndarray) -> pa.RecordBatch | None:
+        def pick(batch: pa.RecordBatch, c: dict[str, np.ndarray]) -> pa.RecordBatch:
             # an exponential clock per record that runs at the rate of its squared distance: the first to ring are the sample
-            d2 = _nearest(_vectors(batch, dims), c)[1]
+            d2 = _assigned(batch, c, dims)[1]
             with np.errstate(divide="ignore"):
                 rings = np.where(d2 > 0, -np.log(batch.column("u").to_numpy()) / d2, np.inf)
-            first = np.argsort(rings, kind="stable")[:most]
+            first = np.concatenate([at[np.argsort(rings[at], kind="stable")[: most[g]]] for g, at in _groups(batch)])
             first = first[np.isfinite(rings[first])]
-            return pa.RecordBatch.from_arrays([batch.column("f").take(pa.array(first)), pa.array(rings[first])], names=["f", "rings"]) if len(first) else None
-
-        # oversampling x k rows a round, whatever the number of records
-        more = pass_over(["f", draw(turn)], pick, "f array<float>, rings double", centres).orderBy("rings").limit(most).collect()
-        if not more:
+            own = batch.select(["g_", "f"]).take(pa.array(first))
+            return pa.RecordBatch.from_arrays([*own.columns, pa.array(rings[first]), pa.array([most[g] for g in own.column("g_").to_pylist()], pa.int64())], names=["g_", "f", "rings", "most"])
+
+        # oversampling x k rows a group and round, whatever the number of records
+        rung = pass_over(["f", draw(turn)], pick, "g_ string, f array<float>, rings double, most bigint", centres)
+        place = F.row_number().over(Window.partitionBy("g_").orderBy("rings"))
+        more = rung.withColumn("i_", place).where(F.col("i_") <= F.col("most")).select("g_", "f").toArrow()
+        if not more.num_rows:
             break
-        centres = np.unique(np.r_[centres, np.array([r.f for r in more], dtype=float)], axis=0)
+        for part in more.combine_chunks().to_batches():
+            f = _vectors(part, dims)
+            for g, at in _groups(part):
+                centres[g] = np.unique(np.r_[centres[g], f[at]], axis=0)
 
-    def sums(batch: pa.RecordBatch, c: np.ndarray) -> pa.RecordBatch:
+    def sums(batch: pa.RecordBatch, c: dict[str, np.ndarray]) -> pa.RecordBatch:
         f = _vectors(batch, dims)
-        which = _nearest(f, c)[0]
-        seen, at = np.unique(which, return_inverse=True)
-        total = np.zeros((len(seen), dims))
-        np.add.at(total, at, f)
-        return pa.RecordBatch.from_arrays([pa.array(seen), pa.array(np.bincount(at).astype(np.int64)), *(pa.array(total[:, i]) for i in range(dims))], names=["c", "n", *(f"s{i}" for i in range(dims))])
-
-    schema = "c bigint, n bigint, " + ", ".join(f"s{i} double" for i in range(dims))
-
-    def totals(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows = pass_over(["f"], sums, schema, c).groupBy("c").agg(F.sum("n").alias("n"), *(F.sum(f"s{i}").alias(f"s{i}") for i in range(dims))).collect()
-        n, s = np.zeros(len(c)), np.zeros((len(c), dims))
-        for r in rows:
-            n[r.c], s[r.c] = r.n, [r[f"s{i}"] for i in range(dims)]
-        return n, s
-
-    n, _ = totals(centres)
-    centres = _seed(centres, np.maximum(n, 1e-9), k, rng)
+        which = _assigned(batch, c, dims)[0]
+        names, centre, n, total = [], [], [], []
+        for g, at in _groups(batch):
+            seen, inverse = np.unique(which[at], return_inverse=True)
+            names += [g] * len(seen)
+            centre.append(seen)
+            n.append(np.bincount(inverse))
+            total.append(np.column_stack([np.bincount(inverse, f[at, i]) for i in range(dims)]))
+        whole = np.concatenate(total)
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate(centre)), pa.array(np.concatenate(n).astype(np.int64)), *(pa.array(whole[:, i]) for i in range(dims))], names=["g_", "c", "n", *(f"s{i}" for i in range(dims))])
+
+    schema = "g_ string, c bigint, n bigint, " + ", ".join(f"s{i} double" for i in range(dims))
+
+    def totals(held: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        rows = pass_over(["f"], sums, schema, held).groupBy("g_", "c").agg(F.sum("n").alias("n"), *(F.sum(f"s{i}").alias(f"s{i}") for i in range(dims))).toArrow()
+        out = {g: (np.zeros(len(c)), np.zeros((len(c), dims))) for g, c in held.items()}
+        for part in rows.combine_chunks().to_batches():
+            c, n = part.column("c").to_numpy(), part.column("n").to_numpy()
+            s = np.column_stack([part.column(f"s{i}").to_numpy() for i in range(dims)])
+            for g, at in _groups(part):
+                out[g][0][c[at]], out[g][1][c[at]] = n[at], s[at]
+        return out
+
+    weights = totals(centres)
+    centres = {g: _seed(c, np.maximum(weights[g][0], 1e-9), wanted[g], rng) for g, c in centres.items()}
     for _ in range(iterations):
-        n, s = totals(centres)
-        moved = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], centres)
-        if np.abs(moved - centres).max() < 1e-6:
+        before = centres
+        centres = {g: np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], before[g]) for g, (n, s) in totals(before).items()}
+        if max(np.abs(centres[g] - c).max() for g, c in before.items()) < 1e-6:
             break
-        centres = moved
-    return centres[np.lexsort(centres.T[::-1])]
+    return {g: c[np.lexsort(c.T[::-1])] for g, c in centres.items()}
 
 
-def similarity_clusters(records: DataFrame, keys: list[str], numbers: dict[str, float], names: dict[str, float] | None = None, k: int = 256, typical: int = 3, dims: int = 16, **options) -> tuple[DataFrame, DataFrame]:
+def similarity_clusters(records: DataFrame, keys: list[str], numbers: dict[str, float], names: dict[str, float] | None = None, k: int | Callable[[int], int] = 256, typical: int = 3, dims: int = 16, within: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """Members ``(*keys, cluster, distance)`` and clusters ``(cluster, size, typical)`` of records with unique ``keys``.
 
+    ``within`` names one of the keys, a string, whose values never share a cluster: each has its own centres, ``k`` of them (or
+    as many as the function ``k`` makes of its rows), numbered from 0, and the clusters begin with that column.
     ``typical`` lists the members nearest the centre, ties by key, as structs of the keys and the distance. Rows delivered
     twice count once, rows with a null key do not take part, null features add nothing; an empty table gives empty tables.
     Members nearest a centre are kept per batch before anything is shuffled, so no cluster meets in one task.
     """
-    whole = records.select(*keys, hashed_features(records, numbers, names or {}, dims).alias("f")).dropna(subset=keys)
-    vectors = scratch.written(whole.dropDuplicates(keys), "vectors")
+    group = F.col(f"`{within}`") if within else F.lit("")
+    whole = records.select(*keys, group.alias("g_"), hashed_features(records, numbers, names or {}, dims).alias("f")).dropna(subset=keys)
+    # by range, so that a task sees few groups
+    ranges = whole.repartitionByRange("g_", *(c for c in keys if c != within))
+    vectors = scratch.written(ranges.dropDuplicates(["g_", *(c for c in keys if c != within)]), "vectors")
     centres = kmeans(vectors, k, keys, dims, **options)
     shared = records.sparkSession.sparkContext.broadcast(centres)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and len(shared.value):
-                which, d2 = _nearest(_vectors(batch, dims), shared.value)
+            if batch.num_rows:
+                which, d2 = _assigned(batch, shared.value, dims)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(which.astype(np.int32)), pa.array(np.sqrt(d2))], names=[*keys, "cluster", "distance"])
 
     kinds = ", ".join(f"`{c}` {records.schema[c].dataType.simpleString()}" for c in keys)
     members = vectors.mapInArrow(assign, f"{kinds}, cluster int, distance double")
+    by = [*([within] if within else []), "cluster"]
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The members of a batch nearest their centre; the first of a cluster carries the count of all in the batch."""
         for batch in assign(batches):
-            order = pa.compute.sort_indices(batch, sort_keys=[("cluster", "ascending"), ("distance", "ascending"), *((c, "ascending") for c in keys)])
+            order = pa.compute.sort_indices(batch, sort_keys=[*((c, "ascending") for c in by), ("distance", "ascending"), *((c, "ascending") for c in keys)])
             batch = batch.take(order)
-            c = batch.column("cluster").to_numpy()
-            start = np.searchsorted(c, c)
-            place = np.arange(len(c)) - start
-            n = np.where(place == 0, np.searchsorted(c, c, side="right") - start, 0)
+            new = np.ones(batch.num_rows, dtype=bool)
+            new[1:] = np.any([pa.compute.not_equal(v[1:], v[:-1]).to_numpy(zero_copy_only=False) for v in map(batch.column, by)], axis=0)
+            first = np.flatnonzero(new)
+            size = np.diff(np.r_[first, batch.num_rows])
+            place = np.arange(batch.num_rows) - np.repeat(first, size)
+            n = np.zeros(batch.num_rows, dtype=np.int64)
+            n[first] = size
             yield batch.append_column("n", pa.array(n)).filter(pa.array(place < typical))
 
     near = scratch.written(vectors.mapInArrow(nearest, f"{kinds}, cluster int, distance double, n bigint"), "near")
-    sizes = near.groupBy("cluster").agg(F.sum("n").alias("size"))
-    order = Window.partitionBy("cluster").orderBy("distance", *keys)
+    sizes = near.groupBy(*by).agg(F.sum("n").alias("size"))
+    order = Window.partitionBy(*by).orderBy("distance", *keys)
     best = near.withColumn("i_", F.row_number().over(order)).where(F.col("i_") <= typical)
-    listed = best.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("distance", *keys))).alias("typical"))
-    return members, sizes.join(listed, "cluster")
+    listed = best.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("distance", *keys))).alias("typical"))
+    return members, sizes.join(listed, by)

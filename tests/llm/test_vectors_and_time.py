@@ -82,6 +82,22 @@ def test_kmeans_of_nothing_and_of_equal_records(spark):
     assert sorted(sizes) == [1, 9]
 
 
+def test_clusters_keep_to_clouds(spark, tmp_path):
+    from pointlake.llm import catalog
+
+    rng = np.random.default_rng(4)
+    rows = [(f"c{c}", int(p), *map(float, rng.normal(0, 1, 3))) for c in range(40) for p in range(60 if c else 900)]
+    df = spark.createDataFrame(rows, "cloud_id string, pid bigint, x double, y double, z double")
+    df.unionAll(df.limit(9)).write.parquet(str(tmp_path / "cloud_normal.parquet"))
+    found = catalog.p3_clusters(spark, str(tmp_path)).collect()
+    assert all(t.cloud_id == r.cloud_id for r in found for t in r.typical)
+    sizes = {}
+    for r in found:
+        sizes.setdefault(r.cloud_id, []).append(r["size"])
+    assert {k: sum(v) for k, v in sizes.items()} == {f"c{c}": 60 if c else 900 for c in range(40)}
+    assert {k: len(v) for k, v in sizes.items()} == {f"c{c}": 2 if c else 8 for c in range(40)}
+
+
 BAG = "msg_id bigint, topic string, ts_ns bigint"
 REF = "ref_id bigint, topic string, ts_ns bigint"
 
