@@ -45,6 +45,18 @@ def _by_place(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return similarity_clusters(cloud, ["cloud_id", "pid"], {"x": 1.0, "y": 1.0, "z": 1.0}, k=lambda n: math.ceil(math.sqrt(n) / 4), dims=6, within="cloud_id")
 
 
+def p3_members(spark: SparkSession, d: str) -> DataFrame:
+    """The members of the clusters of p3_clusters, with the distance to their centre."""
+    return _by_place(spark, d)[0]
+
+
+def p3_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """The clusters of p3_found with their sizes and the three members nearest the mean position, ties to the smaller pid."""
+    from pointlake.llm.clusters import typical_members
+
+    return typical_members(table(spark, d, "cloud_normal"), p3_found(spark, d), ["cloud_id", "cluster_pid"], ["cloud_id", "pid"], list("xyz"))
+
+
 def p3_clusters(spark: SparkSession, d: str) -> DataFrame:
     """The clusters of each cloud by k-means, with their sizes and the members nearest each centre."""
     return _by_place(spark, d)[1]
@@ -122,7 +134,7 @@ WHERE n = 1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_clusters": p3_clusters, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found}
+    return {"p2_found": p2_found, "p2_neighbours": p2_neighbours, "p3_found": p3_found, "p3_clusters": p3_clusters, "p3_members": p3_members, "p3_bodies": p3_bodies, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p7_report": p7_report, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:

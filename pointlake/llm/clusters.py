@@ -234,3 +234,18 @@ def similarity_clusters(records: DataFrame, keys: list[str], numbers: dict[str,
     best = near.withColumn("i_", F.row_number().over(order)).where(F.col("i_") <= typical)
     listed = best.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("distance", *keys))).alias("typical"))
     return members, sizes.join(listed, by)
+
+
+def typical_members(records: DataFrame, members: DataFrame, by: list[str], keys: list[str], numbers: list[str], typical: int = 3) -> DataFrame:
+    """``(*by, size, typical)`` of given ``members (*keys, *by)``: the members nearest the mean of ``numbers``, ties by key.
+
+    ``typical`` holds structs of the distance and the keys, as in :func:`similarity_clusters`. Rows delivered twice count once.
+    """
+    values = [F.col(f"`{c}`").cast("double").alias(f"v{i}_") for i, c in enumerate(numbers)]
+    once = records.select(*keys, *values).dropDuplicates(keys)
+    placed = scratch.written(members.join(once, keys), "placed")
+    mean = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("size"), *(F.avg(f"v{i}_").alias(f"m{i}_") for i in range(len(numbers))))
+    distance = F.sqrt(sum(((F.col(f"v{i}_") - F.col(f"m{i}_")) ** 2 for i in range(len(numbers))), F.lit(0.0)))
+    order = Window.partitionBy(*by).orderBy("distance", *keys)
+    ranked = placed.join(mean, by).withColumn("distance", distance).withColumn("i_", F.row_number().over(order)).where(F.col("i_") <= typical)
+    return ranked.groupBy(*by).agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("distance", *keys))).alias("typical"))

@@ -98,6 +98,22 @@ def test_clusters_keep_to_clouds(spark, tmp_path):
     assert {k: len(v) for k, v in sizes.items()} == {f"c{c}": 2 if c else 8 for c in range(40)}
 
 
+def test_bodies_and_members_come_out(spark, tmp_path):
+    from pointlake.llm import catalog
+
+    rows = [(c, p, 0.1 * p + gap, 0.0, 0.0) for c in ("a", "b") for p, gap in [*((p, 0.0) for p in range(11)), *((p, 50.0) for p in range(11, 24)), (24, 900.0)]]
+    df = spark.createDataFrame(rows, "cloud_id string, pid bigint, x double, y double, z double")
+    df.unionAll(df.limit(9)).write.parquet(str(tmp_path / "cloud_normal.parquet"))
+    queries = catalog.queries()
+    bodies = {(r.cloud_id, r.cluster_pid): (r["size"], [t.pid for t in r.typical]) for r in queries["p3_bodies"](spark, str(tmp_path)).collect()}
+    assert bodies.keys() == {(c, p) for c in "ab" for p in (0, 11)}
+    assert all(n == (13 if p else 11) and t[0] == (17 if p else 5) and set(t) == ({16, 17, 18} if p else {4, 5, 6}) for (_, p), (n, t) in bodies.items())
+    members = queries["p3_members"](spark, str(tmp_path)).collect()
+    assert sorted((r.cloud_id, r.pid) for r in members) == sorted((c, p) for c in "ab" for p in range(25))
+    sizes = {(r.cloud_id, r.cluster): r["size"] for r in queries["p3_clusters"](spark, str(tmp_path)).collect()}
+    assert sizes == {k: sum((r.cloud_id, r.cluster) == k for r in members) for k in sizes} and sum(sizes.values()) == 50
+
+
 BAG = "msg_id bigint, topic string, ts_ns bigint"
 REF = "ref_id bigint, topic string, ts_ns bigint"
 
