@@ -102,6 +102,11 @@ def _normals(s, d, radius=None):
     return rounded(normals.estimate_normals(embeddings(s, d), 10, radius), "nx", "ny", "nz").select("cloud_id", "pid", "nx", "ny", "nz")
 
 
+def _scan_normals(s, d, radius=None):
+    """Positions with normals and curvature, estimated in every recorded cloud."""
+    return normals.estimate_normals(scans(s, d), 10, radius)
+
+
 def _described(s, d):
     return normals.estimate_normals(embeddings(s, d), 10)
 
@@ -147,6 +152,15 @@ QUERIES = {
     "unique_shape_context": lambda s, d: features.unique_shape_context(_described(s, d), 0.2, 10),
     "feature_match": lambda s, d: rounded(neighbors.feature_matches(*_halves(s, d)), "distance", places=4),
     "nearest_correspondence": lambda s, d: rounded(neighbors.nearest(embeddings(s, d), image(s, d), 0.1), "distance"),
+    # over all recorded clouds; those above over the embeddings' cloud have SQL
+    "scan_euclidean_clusters": lambda s, d: segmentation.euclidean_clusters(scans(s, d), 0.3005, 3, 10**9),
+    "scan_normals_knn": lambda s, d: rounded(_scan_normals(s, d), "nx", "ny", "nz").select("cloud_id", "pid", "nx", "ny", "nz"),
+    "scan_normals_radius": lambda s, d: rounded(_scan_normals(s, d, 0.3005), "nx", "ny", "nz").select("cloud_id", "pid", "nx", "ny", "nz"),
+    "scan_surface_variation": lambda s, d: rounded(_scan_normals(s, d), "curvature").select("cloud_id", "pid", "curvature"),
+    "scan_gicp_covariances": lambda s, d: rounded(normals.registration_covariances(scans(s, d), 12), "cxx", "cxy", "cxz", "cyy", "cyz", "czz"),
+    "scan_nearest_correspondence": lambda s, d: rounded(neighbors.nearest(scans(s, d), transforms.transform_points(scans(s, d), POSE), 0.1), "distance"),
+    "scan_shot": lambda s, d: features.shot(oriented(s, d), 0.3005, 10),
+    "scan_unique_shape_context": lambda s, d: features.unique_shape_context(oriented(s, d), 0.3005, 10),
 }
 
 _ORIENTED = "(SELECT cloud_id, pid, x, y, z, nx / len AS nx, ny / len AS ny, nz / len AS nz FROM (SELECT DISTINCT cloud_id, pid, x, y, z, nx, ny, nz, sqrt(nx * nx + ny * ny + nz * nz) AS len FROM cloud_normal WHERE isfinite(x) AND isfinite(y) AND isfinite(z)) WHERE len > 1e-6 AND len < 1e6)"
