@@ -414,7 +414,7 @@ def reconstruct(cloud: DataFrame, quality: str = "balanced", use_case: str = "ge
                 vertices, faces = poisson(cloud)
             elif name in ("mls", "marching_cubes"):
                 normal = cloud if about.has_normals else estimate_normals(cloud, 10)
-                vertices, faces = volumes.mls_surface(normal, max(about.spacing * 3, 1e-9), (30, 30, 30), basis="linear")
+                vertices, faces = volumes.mls_surface(normal, max(about.spacing * 3, 1e-9))
             else:
                 raise ValueError(f"unknown algorithm {name}")
             if name in ("delaunay", "ball_pivoting"):

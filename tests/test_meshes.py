@@ -204,3 +204,11 @@ def test_fusion_saturates_and_ignores_black(spark):
         v = volumes.tsdf_integrate(v, lattice, depth, camera, np.eye(4), 0.15, max_weight=2, color=color)
     rows = {r.k: r for r in v.collect()}
     assert rows[0].weight == 2 and rows[0].tsdf == pytest.approx(0.1) and rows[2].tsdf == pytest.approx(-0.1) and rows[0].r == 200
+
+
+def test_reconstruct_leaves_mls_its_defaults(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(surfaces.volumes, "mls_surface", lambda *a, **k: asked.append((a[2:], k)) or (cloud, spark.createDataFrame([("m", 0, 1, 2, 3)], "mesh_id string, fid bigint, a bigint, b bigint, c bigint")))
+    cloud = spark.createDataFrame([("c", i, float(i % 3), float(i // 3), 0.0, 0.0, 0.0, 1.0) for i in range(9)], "cloud_id string, pid bigint, x double, y double, z double, nx double, ny double, nz double")
+    assert [surfaces.reconstruct(cloud, preferred=name)[0] for name in ("mls", "marching_cubes")] == ["mls", "marching_cubes"]
+    assert asked == [((), {})] * 2
