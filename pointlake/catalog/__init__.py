@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from pointlake.catalog import drift, meshes, points, streams, surfaces
+    from pointlake.catalog import drift, formats, meshes, points, streams, surfaces
 
-    return [drift, points, meshes, surfaces, streams]
+    return [drift, points, meshes, surfaces, streams, formats]
 
 
 def queries() -> dict[str, Query]:

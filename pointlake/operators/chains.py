@@ -46,7 +46,13 @@ def local_clusters(block: np.ndarray, xyz: np.ndarray, origin: np.ndarray, step:
     first tried by one point each, and point by point only where its cells are still apart.
     """
     side = step / np.sqrt(3) * (1 - 1e-12)
-    cell = np.floor((xyz - origin) / side).astype(np.int64) + 3
+    cell = np.floor((xyz - origin) / side)
+    if len(cell) and (cell.max() >= 2**15 or cell.min() < 0):
+        # far apart (coordinates beyond whole-number cells): numbered anew, gaps wider than any step kept as such
+        for a in range(3):
+            seen, place = np.unique(cell[:, a], return_inverse=True)
+            cell[:, a] = np.concatenate([[0], np.cumsum(np.minimum(np.diff(seen), 4))])[place]
+    cell = cell.astype(np.int64) + 3
     bits = max(8, int(cell.max()).bit_length() + 1) if len(cell) else 8
     key = ((block.astype(np.int64) << bits | cell[:, 0]) << bits | cell[:, 1]) << bits | cell[:, 2]
     order = np.argsort(key, kind="stable")
@@ -162,7 +168,7 @@ def chain_clusters(points: DataFrame, step: float, keys: tuple[str, ...] = ("clo
     keys = list(keys)
     spark = points.sparkSession
     axes = [F.col(c).cast("double").alias(c) for c in "xyz"]
-    bounded = [F.abs(c) < 1e300 for c in map(F.col, "xyz")]
+    bounded = [F.abs(c) < float("inf") for c in map(F.col, "xyz")]
     rows = points.select(*keys, F.col("pid").cast("bigint").alias("pid"), *axes).where(bounded[0] & bounded[1] & bounded[2] & F.col("pid").isNotNull())
     cut = _cut(rows, keys, step)
     tasks = max(spark.sparkContext.defaultParallelism, -(-points.count() // TASK_ROWS))

@@ -16,9 +16,11 @@ from pointlake.operators.neighbors import KEY, knn, pairs_within
 from pointlake.operators.normals import estimate_normals
 from pointlake.operators.voxel import bounds
 from pointlake.plans import scratch
-from pointlake.schema import positive
+from pointlake.schema import one_cloud, positive
 
 _FACE = "cloud_id string, a bigint, b bigint, c bigint"
+#: Deepest grid that the driver solves: 256 nodes a side, about 2 GB while it works.
+MOST_DEPTH = 8
 
 
 # -- triangles as Columns -------------------------------------------------------------------------------------------------
@@ -296,12 +298,15 @@ def ball_pivoting(cloud: DataFrame, radii: tuple[float, ...] = (0.05, 0.1, 0.15,
 def poisson_grid(cloud: DataFrame, depth: int = 6, scale: float = 1.1) -> tuple[DataFrame, volumes.Lattice, float]:
     """The indicator's grid, its lattice and the level at the points, of a cloud with normals.
 
-    Normals are spread onto the grid by weighted aggregation in the JVM; the grid, whose size depth bounds (at most 64 cubed),
-    is solved by a fast Fourier transform on the driver. Depth is clamped to 6; fewer than 10 points are an error.
+    Normals are spread onto the grid by weighted aggregation in the JVM; the grid of 2^depth nodes a side is solved by a fast
+    Fourier transform on the driver. A depth below 3 or above ``MOST_DEPTH``, fewer than 10 points and several clouds are errors.
     """
     if not {"nx", "ny", "nz"} <= set(cloud.columns):
         raise ValueError("normals are needed")
-    n = 2 ** max(3, min(depth, 6))
+    if not 3 <= depth <= MOST_DEPTH:
+        raise ValueError(f"depth must be between 3 and {MOST_DEPTH}, not {depth}")
+    one_cloud(cloud)
+    n = 2**depth
     low, high = (np.array(v) for v in volumes.cloud_box(cloud))
     if cloud.count() < 10:
         raise ValueError("at least 10 points are needed")
@@ -312,7 +317,7 @@ def poisson_grid(cloud: DataFrame, depth: int = 6, scale: float = 1.1) -> tuple[
     base = cloud.select(*(v.alias(k) for k, v in at.items()), "nx", "ny", "nz")
     corner = lambda b: F.struct(*((F.floor(f"f{c}") + (b >> t & 1)).cast("int").alias(volumes.IJK[t]) for t, c in enumerate(XYZ)), np.prod([(F.col(f"f{c}") - F.floor(f"f{c}")) if b >> t & 1 else (1 - F.col(f"f{c}") + F.floor(f"f{c}")) for t, c in enumerate(XYZ)]).alias("w"))
     spread = base.select("nx", "ny", "nz", F.explode(F.array(*map(corner, range(8)))).alias("s")).groupBy("s.i", "s.j", "s.k").agg(*(F.sum(F.col("s.w") * F.col(f"n{c}")).alias(f"n{c}") for c in XYZ), F.sum("s.w").alias("w"))
-    rows = spread.toPandas()  # at most 64 cubed rows
+    rows = spread.toPandas()  # at most n cubed rows
     field, weight = np.zeros((3, n, n, n)), np.zeros((n, n, n))
     index = tuple(rows[c].to_numpy().clip(0, n - 1) for c in volumes.IJK)
     for t, c in enumerate(XYZ):

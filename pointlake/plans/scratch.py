@@ -2,7 +2,7 @@
 
 Lineage is cut by writing a Parquet table there and reading it back: it survives the loss of executors, is columnar and
 compressed, and is counted once however often it is read. The folder is the session's ``spark.checkpoint.dir``; where that
-is unset (tests, a laptop) a temporary folder of this process is used and set.
+is unset a temporary folder of this process is used and set, which only a session on one machine may do.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pointlake-")
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/pointlake-{spark.sparkContext.applicationId}"

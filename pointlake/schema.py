@@ -33,6 +33,13 @@ def positive(**values: float) -> None:
             raise ValueError(f"{name} must be positive, not {value}")
 
 
+def one_cloud(df: DataFrame) -> None:
+    """Raise if a table holds more than one cloud, for operators whose result is one grid, volume or pose."""
+    seen = df.agg(F.min("cloud_id").alias("a"), F.max("cloud_id").alias("b")).first()
+    if seen["a"] != seen["b"]:
+        raise ValueError(f"one cloud at a time: the table holds {seen['a']} and {seen['b']}; filter by cloud_id")
+
+
 def cloud(df: DataFrame, pid: Column | str = "pid", cloud_id: Column | str | None = None, x: Column | str = "x", y: Column | str = "y", z: Column | str = "z", *extra: str) -> DataFrame:
     """A tidy cloud: canonical names, coordinates as DOUBLE, rows with unusable coordinates or ids left out, copies once."""
     as_column = lambda c: F.col(c) if isinstance(c, str) else c

@@ -1,18 +1,21 @@
 """A Spark data source for point-cloud files and bags: byte ranges of fixed-stride files, whole files of the others.
 
 ``spark.read.format("pointlake").option("path", ...)`` gives a cloud; ``df.write.format("pointlake")`` writes one file per
-partition. Paths are files, folders or patterns on a file system that driver and executors see alike.
+partition. Paths are files, folders or patterns: local ones where driver and executors see the same disk, or URIs (``hdfs://``,
+``s3://``, ``gs://`` and the like) that the Arrow file systems of the machines can open.
 """
 
 from __future__ import annotations
 
-import glob
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fnmatch import fnmatch
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from pointlake.sources import packets, parsing, ros
@@ -22,21 +25,60 @@ BAG = "topic string, message_type string, ts_ns bigint, data binary"
 _KINDS = {"cloud_id": pa.string(), "pid": pa.int64(), **{c: pa.float64() for c in ("x", "y", "z", "nx", "ny", "nz")}, **{c: pa.int32() for c in "rgb"}, "intensity": pa.float64()}
 _NAMES = {"red": "r", "green": "g", "blue": "b", "normal_x": "nx", "normal_y": "ny", "normal_z": "nz", "scalar_intensity": "intensity"}
 EXTENSIONS = {".ply": "ply", ".pcd": "pcd", ".bin": "kitti", ".obj": "obj", ".stl": "stl", ".pcap": "velodyne", ".lvx": "lvx", ".lvx2": "lvx2", ".mcap": "mcap", ".db3": "db3"}
-#: Points of a byte range.
-RANGE_ROWS = 2_000_000
+LINES = "path string, pid bigint, value string"
+#: Points and bytes of text of a byte range.
+RANGE_ROWS, RANGE_BYTES = 2_000_000, 32 << 20
 
 
 class UnsupportedFormat(ValueError):
     """The format is known but cannot be read or written."""
 
 
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path there."""
+    if "://" in path and not path.startswith("file://"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), os.path.abspath(path.removeprefix("file://").removeprefix("file:"))
+
+
+def opened(path: str) -> BinaryIO:
+    """A file for reading at any place."""
+    system, place = located(path)
+    return system.open_input_file(place)
+
+
+def size_of(path: str) -> int:
+    system, place = located(path)
+    return system.get_file_info(place).size
+
+
+def written_file(path: str, data: bytes) -> None:
+    """Write a file aside and move it, so that a task that runs twice leaves one whole file."""
+    system, place = located(path)
+    system.create_dir(os.path.dirname(place), recursive=True)
+    aside = f"{place}.{os.getpid()}.tmp"
+    with system.open_output_stream(aside) as out:
+        out.write(data)
+    system.move(aside, place)
+
+
 def files_of(path: str) -> list[str]:
-    """Files of a path, a folder or a pattern, in order; none is an error."""
-    path = path.removeprefix("file://")
-    found = sorted(os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs if not f.startswith((".", "_"))) if os.path.isdir(path) else sorted(glob.glob(path))
+    """Files of a path, a folder or a pattern, in order; none is an error. Names that begin with a point or line are no files."""
+    system, place = located(path)
+    head = path[: path.index("://") + 3] if "://" in path and not path.startswith("file://") else ""
+    about = system.get_file_info(place)
+    if about.type == fs.FileType.File:
+        return [head + place]
+    base = place
+    while any(c in base for c in "*?["):
+        base = os.path.dirname(base)
+    inside = system.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
+    found = sorted(i.path for i in inside if i.type == fs.FileType.File and not os.path.basename(i.path).startswith((".", "_")))
+    if base != place:
+        found = [f for f in found if fnmatch(f, place) and f.count("/") == place.count("/")]
     if not found:
         raise FileNotFoundError(path)
-    return found
+    return [head + f for f in found]
 
 
 def format_of(path: str, hint: str | None = None) -> str:
@@ -46,7 +88,7 @@ def format_of(path: str, hint: str | None = None) -> str:
     known = EXTENSIONS.get(os.path.splitext(path)[1].lower())
     if known:
         return known
-    with open(path, "rb") as f:
+    with opened(path) as f:
         seen = parsing.sniff(f.read(4096))
     if seen in ("las", "e57") or os.path.splitext(path)[1].lower() in (".las", ".laz", ".e57"):
         raise UnsupportedFormat(f"{path}: LAS, LAZ and E57 are not supported")
@@ -65,15 +107,19 @@ class Range(InputPartition):
 
 def _strided(path: str, form: str) -> tuple[np.dtype, int, int, dict[str, str]] | None:
     """Row layout, first byte, number of rows and column names of a file whose points have a fixed size."""
-    size = os.path.getsize(path)
+    size = size_of(path)
     if form == "kitti":
         if size % 16:
             raise ValueError(f"{path}: the size is no multiple of 16")
         return parsing.KITTI, 0, size // 16, {c: c for c in parsing.KITTI.names}
     if form not in ("ply", "pcd"):
         return None
-    with open(path, "rb") as f:
+    # a header may be longer than any guess: more is read until its end is in sight
+    last = b"end_header" if form == "ply" else b"DATA "
+    with opened(path) as f:
         head = f.read(1 << 16)
+        while len(head) < size and b"\n" not in head[head.find(last) :] if last in head else len(head) < size:
+            head += f.read(len(head))
     if form == "ply":
         h = parsing.ply_header(head)
         if h.form == "ascii" or not h.elements or h.elements[0].name != "vertex" or not h.elements[0].is_fixed:
@@ -93,7 +139,7 @@ def _strided(path: str, form: str) -> tuple[np.dtype, int, int, dict[str, str]]
 
 def cloud_columns(path: str, form: str) -> dict[str, np.ndarray]:
     """Columns of a whole file."""
-    with open(path, "rb") as f:
+    with opened(path) as f:
         data = f.read()
     if form == "ply":
         return dict(parsing.read_ply(data).get("vertex", {}))
@@ -157,10 +203,12 @@ class CloudReader(DataSourceReader):
             yield _batch(partition.path, cloud_columns(partition.path, partition.form), 0)
             return
         kind, start, _, names = _strided(partition.path, partition.form)
-        rows = np.fromfile(partition.path, kind, partition.rows, offset=start + partition.start * kind.itemsize)
-        for a in range(0, len(rows), 100_000):
-            part = rows[a : a + 100_000]
-            yield _batch(partition.path, {n: part[c].reshape(len(part)) for c, n in names.items()}, partition.start + a)
+        with opened(partition.path) as f:
+            f.seek(start + partition.start * kind.itemsize)
+            for a in range(0, partition.rows, 100_000):
+                n = min(100_000, partition.rows - a)
+                part = np.frombuffer(f.read(n * kind.itemsize), kind, n)
+                yield _batch(partition.path, {n: part[c].reshape(len(part)) for c, n in names.items()}, partition.start + a)
 
 
 class BagReader(DataSourceReader):
@@ -172,20 +220,92 @@ class BagReader(DataSourceReader):
         self.start, self.end = (int(options[k]) if k in options else None for k in ("start", "end"))
 
     def partitions(self) -> list[Range]:
-        path = self.path.removeprefix("file://")
-        files = [str(ros.bag_file(path))] if os.path.isdir(path) and any(f.endswith(".db3") for f in os.listdir(path)) else files_of(path)
+        files = files_of(self.path)
+        # a bag's folder holds files about the bag too
+        files = [f for f in files if f.endswith((".db3", ".mcap"))] or files
         return [Range(f, format_of(f)) for f in files]
 
     def read(self, partition: Range) -> Iterator[tuple]:
         if partition.form == "db3":
-            yield from ros.sqlite_messages(partition.path, self.topics, self.start, self.end)
+            data = None
+            if not isinstance(located(partition.path)[0], fs.LocalFileSystem):
+                with opened(partition.path) as f:
+                    data = f.read()
+            yield from ros.sqlite_messages(partition.path, self.topics, self.start, self.end, data)
         elif partition.form == "mcap":
-            with open(partition.path, "rb") as f:
+            with opened(partition.path) as f:
                 yield from ros.mcap_messages(f.read(), self.topics, self.start, self.end)
         else:
             raise UnsupportedFormat(f"{partition.path} is no bag")
 
 
+class LineReader(DataSourceReader):
+    """``(path, pid, value)``: lines of text files by byte ranges; ``pid`` is the byte at which a line starts in its file.
+
+    A line belongs to the range in which it starts, so ids do not depend on how files are cut. Lines keep their line end: the
+    bytes of a range are handed on as they are. With ``heads`` only the first line of each file that is no comment comes out.
+    """
+
+    def __init__(self, options: dict) -> None:
+        self.path, self.width, self.heads = options["path"], int(options.get("rangebytes", RANGE_BYTES)), options["kind"] == "heads"
+
+    def partitions(self) -> list[Range]:
+        if self.heads:
+            return [Range(f, "text") for f in files_of(self.path)]
+        return [Range(f, "text", a, self.width) for f in files_of(self.path) for a in range(0, size_of(f), self.width)]
+
+    @staticmethod
+    def _head(path: str) -> Iterator[pa.RecordBatch]:
+        at = 0
+        with opened(path) as f:
+            held = b""
+            while True:
+                more = f.read(1 << 16)
+                held += more
+                while (end := held.find(b"\n") + 1) or (not more and (end := len(held))):
+                    line, held = held[:end], held[end:]
+                    bare = line.strip()
+                    if bare and not bare.startswith((b"#", b"//")):
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([at]), pa.array([line.decode("utf-8", "replace")])], names=["path", "pid", "value"])
+                        return
+                    at += len(line)
+                if not more:
+                    return
+
+    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        if self.heads:
+            yield from self._head(partition.path)
+            return
+        start, end = partition.start, partition.start + partition.rows
+        with opened(partition.path) as f:
+            first = max(0, start - 1)
+            f.seek(first)
+            data = f.read(end - first)
+            while data and not data.endswith(b"\n"):
+                more = f.read(1 << 16)
+                if not more:
+                    break
+                cut = more.find(b"\n") + 1
+                data += more[:cut] if cut else more
+        begin = data.find(b"\n") + 1 if start else 0
+        if start and not begin or begin + first >= end:
+            return
+        stops = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 10) + 1
+        stops = stops[stops > begin]
+        if not len(stops) or stops[-1] < len(data):
+            stops = np.append(stops, len(data))
+        starts = np.concatenate([[begin], stops[:-1]])
+        kept = int(np.searchsorted(starts + first, end))
+        edges = np.append(starts[:kept], stops[kept - 1])
+        whole = pa.py_buffer(data)
+        for a in range(0, kept, 50_000):
+            part = edges[a : a + 50_001]
+            value = pa.StringArray.from_buffers(len(part) - 1, pa.py_buffer(part.astype(np.int32).tobytes()), whole)
+            # a copy of the batch's own bytes: a slice would carry the whole range along
+            value = pa.concat_arrays([value, pa.array([], pa.string())])
+            yield pa.RecordBatch.from_arrays([pa.array([partition.path] * len(value)), pa.array(part[:-1] + first), value], names=["path", "pid", "value"])
+
+
 @dataclass
 class Written(WriterCommitMessage):
     path: str
@@ -196,13 +316,13 @@ class CloudWriter(DataSourceArrowWriter):
     """One file per partition; a single partition writes to the path itself where that names a file."""
 
     def __init__(self, options: dict, overwrite: bool) -> None:
-        self.path = options["path"].removeprefix("file://")
+        self.path = options["path"]
         self.form = options.get("form") or EXTENSIONS.get(os.path.splitext(self.path)[1].lower(), "ply")
         self.ascii = options.get("ascii", "false").lower() == "true"
         self.single = os.path.splitext(self.path)[1].lower() in EXTENSIONS
         if self.form not in ("ply", "pcd", "kitti", "obj"):
             raise UnsupportedFormat(f"{self.form} cannot be written")
-        if not overwrite and self.single and os.path.exists(self.path):
+        if not overwrite and self.single and located(self.path)[0].get_file_info(located(self.path)[1]).type != fs.FileType.NotFound:
             raise FileExistsError(self.path)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -235,12 +355,7 @@ class CloudWriter(DataSourceArrowWriter):
             if rows:
                 raise ValueError("a single file is written from a single partition: coalesce(1) first")
             return Written("", 0)
-        os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
-        # written aside and moved, so that a task that runs twice leaves one whole file
-        aside = f"{target}.{os.getpid()}.tmp"
-        with open(aside, "wb") as f:
-            f.write(data)
-        os.replace(aside, target)
+        written_file(target, data)
         return Written(target, rows)
 
     def commit(self, messages: list) -> None:
@@ -248,24 +363,26 @@ class CloudWriter(DataSourceArrowWriter):
 
     def abort(self, messages: list) -> None:
         for m in messages:
-            if m is not None and m.path and os.path.exists(m.path):
-                os.remove(m.path)
+            if m is not None and m.path:
+                system, place = located(m.path)
+                if system.get_file_info(place).type == fs.FileType.File:
+                    system.delete_file(place)
 
 
 class PointSource(DataSource):
-    """Clouds (``kind`` cloud, the default) and bags (``kind`` bag)."""
+    """Clouds (``kind`` cloud, the default), bags (``bag``), lines of text (``lines``) and first lines (``heads``)."""
 
     @classmethod
     def name(cls) -> str:
         return "pointlake"
 
     def schema(self) -> str:
-        return BAG if self.options.get("kind") == "bag" else CLOUD
+        return {"bag": BAG, "lines": LINES, "heads": LINES}.get(self.options.get("kind"), CLOUD)
 
     def reader(self, schema) -> DataSourceReader:
         if "path" not in self.options:
             raise ValueError("option path is missing")
-        return (BagReader if self.options.get("kind") == "bag" else CloudReader)(dict(self.options))
+        return {"bag": BagReader, "lines": LineReader, "heads": LineReader}.get(self.options.get("kind"), CloudReader)(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> CloudWriter:
         return CloudWriter(dict(self.options), overwrite)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointlake.sources import parsing, ros
-from pointlake.sources.datasource import BAG, EXTENSIONS, PointSource, UnsupportedFormat
+from pointlake.sources.datasource import BAG, EXTENSIONS, PointSource, UnsupportedFormat, written_file
 
 Reader = Callable[[SparkSession, str], DataFrame]
 _readers: dict[str, Reader] = {}
@@ -87,19 +87,89 @@ def xyz_points(lines: DataFrame, schema: parsing.XyzSchema, value: str = "value"
     return rows.select("*", *(v.alias(k) for k, v in out.items())).drop(value)
 
 
+_SCHEMA = "path string, names array<string>, delimiter string, has_header boolean, head bigint, problem string"
+
+
+def _detected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for path, at, line in batch.itertuples(index=False):
+            try:
+                found = parsing.detect_xyz(line)
+                rows.append((path, list(found.columns), found.delimiter, found.has_header, at, None))
+            except ValueError as e:
+                rows.append((path, None, None, None, at, str(e)))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
+
+
+def file_schemas(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, names, delimiter, has_header, head, problem)``: the schema of each file, from its first line that is no comment.
+
+    ``head`` is the byte at which that line starts; a file whose first line shows no schema has nulls and the ``problem``.
+    """
+    spark.dataSource.register(PointSource)
+    heads = spark.read.format("pointlake").option("kind", "heads").option("path", path).load()
+    return heads.mapInPandas(_detected, _SCHEMA)
+
+
 def detect_schema(spark: SparkSession, path: str) -> parsing.XyzSchema:
     """The schema of the first file of a path."""
-    first = spark.read.text(path).where(F.trim("value") != "").first()
-    if first is None:
+    found = file_schemas(spark, path).orderBy("path").first()
+    if found is None:
         raise ValueError(f"{path} is empty")
-    return parsing.detect_xyz(first.value)
+    if found.problem:
+        raise ValueError(f"{found.path}: {found.problem}")
+    return parsing.XyzSchema(tuple(found.names), found.delimiter, found.has_header)
+
+
+def xyz_lines(spark: SparkSession, path: str, schema: parsing.XyzSchema | None = None) -> DataFrame:
+    """``(cloud_id, pid, line, names, vals, reason)``: every data line of text files, each by the schema of its own file.
+
+    ``cloud_id`` is the file's name, ``pid`` the byte at which the line starts. ``reason`` is null for a point, else ``schema``
+    (the file shows none), ``columns`` (another number of values) or ``value`` (x, y, z not a number, or another known column
+    neither empty nor a number). Headers, blank lines and comments are no data. Runs of blanks separate once.
+    """
+    spark.dataSource.register(PointSource)
+    lines = spark.read.format("pointlake").option("kind", "lines").option("path", path).load()
+    if schema is None:
+        known = file_schemas(spark, path)
+    else:
+        known = lines.select("path").distinct().select("path", F.array(*map(F.lit, schema.columns)).alias("names"), F.lit(schema.delimiter).alias("delimiter"), F.lit(schema.has_header).alias("has_header"), F.lit(None).cast("bigint").alias("head"), F.lit(None).cast("string").alias("problem"))
+    line = F.col("line")
+    # the header of a given schema is the line that names the columns
+    named = F.lower(F.get(F.col("vals"), F.array_position("names", "x").cast("int") - 1)).isin(*parsing.XYZ_NAMES["x"].split())
+    header = F.col("has_header") & (named if schema is not None else F.col("pid") == F.col("head"))
+    split = lambda d: F.transform(F.split(line, r"[ \t]+" if d == " " else d), lambda v: F.trim(v))
+    values = F.coalesce(*(F.when(F.col("delimiter") == d, split(d)) for d in (",", ";", "\t", " ")), F.array().cast("array<string>"))
+    rows = lines.withColumn("line", F.btrim("value", F.lit(" \t\r\n"))).where((line != "") & ~line.startswith("#") & ~line.startswith("//")).join(known, "path")
+    rows = rows.withColumn("vals", values).where(~F.coalesce(header, F.lit(False)))
+    # a file without header may carry further values beside its first three
+    least = F.when(F.col("has_header"), F.size("vals") == F.size("names")).otherwise(F.size("vals") >= F.size("names"))
+    wrong = F.exists(F.arrays_zip("names", "vals"), lambda p: p["names"].isin("x", "y", "z", "intensity", "r", "g", "b", "nx", "ny", "nz") & p["vals"].try_cast("double").isNull() & (p["names"].isin("x", "y", "z") | (p["vals"] != "")))
+    reason = F.when(F.col("problem").isNotNull(), "schema").when(~least, "columns").when(F.coalesce(wrong, F.lit(False)), "value")
+    return rows.select(F.element_at(F.split("path", "/"), -1).alias("cloud_id"), "pid", "line", "names", "vals", reason.alias("reason"))
 
 
 def read_xyz(spark: SparkSession, path: str, schema: parsing.XyzSchema | None = None) -> DataFrame:
-    """XYZ, CSV or TXT files of one schema as a cloud; files are split like any text."""
-    schema = schema or detect_schema(spark, path)
-    lines = spark.read.text(path).select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("cloud_id"), F.monotonically_increasing_id().alias("pid"))
-    return xyz_points(lines, schema)
+    """XYZ, CSV or TXT files as clouds, each file by its own delimiter, header and order of columns; files are split like any text.
+
+    ``(cloud_id, pid, x, y, z, intensity, nx, ny, nz, r, g, b)``; columns a file lacks are null, colours are clamped to 0..255.
+    Lines of another width than their file's and files without a schema come out with the reason in :func:`xyz_failures` only;
+    a value that is no number is null here, and its line is there too. A path of which no file shows a schema is an error.
+    """
+    if schema is None and file_schemas(spark, path).where("problem IS NULL").isEmpty():
+        raise ValueError(f"{path}: no file shows a schema")
+    rows = xyz_lines(spark, path, schema).where("reason IS NULL OR reason = 'value'")
+    at = lambda c: F.try_element_at("vals", F.nullif(F.array_position("names", F.lit(c)), F.lit(0)).cast("int"))
+    numbers = [at(c).try_cast("double").alias(c) for c in ("x", "y", "z", "intensity", "nx", "ny", "nz")]
+    value = {c: at(c).try_cast("double") for c in "rgb"}
+    colours = [F.when(v.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(255), v.cast("int")))).alias(c) for c, v in value.items()]
+    return rows.select("cloud_id", "pid", *numbers, *colours)
+
+
+def xyz_failures(spark: SparkSession, path: str, schema: parsing.XyzSchema | None = None) -> DataFrame:
+    """``(cloud_id, pid, line, reason)``: the lines that :func:`read_xyz` leaves out or reads with a null."""
+    return xyz_lines(spark, path, schema).where("reason IS NOT NULL").select("cloud_id", "pid", "line", "reason")
 
 
 def stream_xyz(spark: SparkSession, folder: str, schema: parsing.XyzSchema, files_per_trigger: int = 1) -> DataFrame:
@@ -180,8 +250,7 @@ def write_mesh(vertices: DataFrame, faces: DataFrame, path: str, text: bool = Fa
         data = parsing.write_obj(points, place, normals).encode()
     else:
         data = parsing.write_stl(points[place], "ascii" if text else "binary")
-    with open(path.removeprefix("file://"), "wb") as out:
-        out.write(data)
+    written_file(path, data)
 
 
 # -- bags and messages ----------------------------------------------------------------------------------------------------

@@ -255,9 +255,14 @@ def sqlite_topics(path: str) -> list[tuple[str, str]]:
         return db.execute("SELECT name, type FROM topics ORDER BY id").fetchall()
 
 
-def sqlite_messages(path: str, topics: set[str] | None = None, start: int | None = None, end: int | None = None) -> Iterator[Message]:
-    """Messages by topic and (inclusive) time, in order of time; an unknown topic is an error."""
-    with sqlite3.connect(f"file:{bag_file(path)}?mode=ro", uri=True) as db:
+def sqlite_messages(path: str, topics: set[str] | None = None, start: int | None = None, end: int | None = None, data: bytes | None = None) -> Iterator[Message]:
+    """Messages by topic and (inclusive) time, in order of time; an unknown topic is an error.
+
+    ``data`` is the content of a file that does not lie on a local disk.
+    """
+    with sqlite3.connect(":memory:") if data is not None else sqlite3.connect(f"file:{bag_file(path)}?mode=ro", uri=True) as db:
+        if data is not None:
+            db.deserialize(data)
         known = {r[0] for r in db.execute("SELECT name FROM topics")}
         if topics is not None and topics - known:
             raise ValueError(f"topic not in the bag: {', '.join(sorted(topics - known))}")

@@ -180,3 +180,35 @@ def test_bags(spark, tmp_path):
         assert registry.bag_topics(registry.read_bag(spark, str(path))).count() == 2
     with pytest.raises(Exception, match="not in the bag"):
         registry.read_bag(spark, str(folder), topics=["/zzz"]).collect()
+
+
+def test_a_folder_of_text_files_with_schemas_of_their_own(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.csv").write_text("x,y,z\n1,2,3\n4,5,6\n")
+    (folder / "b.xyz").write_text("# made by hand\nz;y;x;label\r\n7;8;9;q\r\n10;11;12;r\r\n13;14\r\n")
+    (folder / "c.txt").write_text("1.5   2.5  3.5\n\n 4.5 5.5 6.5")
+    (folder / "d.txt").write_text("one word\n")
+    (folder / "e.csv").write_text("")
+    rows = {(r.cloud_id, r.x, r.y, r.z) for r in registry.read_xyz(spark, str(folder)).collect()}
+    assert rows == {("a.csv", 1.0, 2.0, 3.0), ("a.csv", 4.0, 5.0, 6.0), ("b.xyz", 9.0, 8.0, 7.0), ("b.xyz", 12.0, 11.0, 10.0), ("c.txt", 1.5, 2.5, 3.5), ("c.txt", 4.5, 5.5, 6.5)}
+    assert {(r.cloud_id, r.line, r.reason) for r in registry.xyz_failures(spark, str(folder)).collect()} == {("b.xyz", "13;14", "columns"), ("d.txt", "one word", "schema")}
+    with pytest.raises(ValueError):
+        registry.read_xyz(spark, str(folder / "d.txt"))
+    with pytest.raises(FileNotFoundError):
+        datasource.files_of(str(tmp_path / "none" / "*.csv"))
+
+
+def test_lines_are_the_same_however_files_are_cut(spark, tmp_path):
+    text = "".join(f"{i},{i * 2},{'9' * (i % 7)}1\n" for i in range(300)) + "5,6,7"
+    (tmp_path / "l.csv").write_text(text)
+    read = lambda width: sorted((r.pid, r.value.rstrip("\n")) for r in spark.read.format("pointlake").option("kind", "lines").option("path", str(tmp_path / "l.csv")).option("rangebytes", width).load().collect())
+    starts = [0, *(i + 1 for i, c in enumerate(text) if c == "\n")]
+    assert read(1 << 20) == read(7) == read(100) == sorted(zip(starts, text.split("\n")))
+
+
+def test_a_header_longer_than_the_first_look(tmp_path):
+    comment = b"comment " + b"x" * 200_000 + b"\n"
+    data = parsing.write_ply({c: np.arange(4.0) for c in "xyz"}, form="binary_little_endian").replace(b"element vertex", comment + b"element vertex")
+    (tmp_path / "long.ply").write_bytes(data)
+    assert datasource._strided(str(tmp_path / "long.ply"), "ply")[2] == 4
