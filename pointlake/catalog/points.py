@@ -139,7 +139,7 @@ QUERIES = {
     "statistical_outlier_threshold": lambda s, d: _ids(filters.statistical_outlier_threshold(scans(s, d), 8, 0.31)),
     "relative_mean_outlier_removal": lambda s, d: _ids(filters.relative_mean_outlier_removal(scans(s, d), 8, 0.8)),
     "plane_inliers": lambda s, d: _ids(segmentation.plane_inliers(scans(s, d), (0.0, 0.1, 1.0, -1.7), 0.2)),
-    "ransac_plane": lambda s, d: rounded(segmentation.ransac_plane(embeddings(s, d), 0.05, _TRIPLES), *"abcd"),
+    "ransac_plane": lambda s, d: rounded(segmentation.ransac_plane(embeddings(s, d), 0.05, _TRIPLES), *"abcd").drop("cloud_id"),
     "euclidean_clusters": lambda s, d: segmentation.euclidean_clusters(embeddings(s, d), 0.05, 3, 10**9),
     "czm_buckets": lambda s, d: ground.zone_buckets(scans(s, d)).select("cloud_id", "pid", "zone", "ring", "sector"),
     "ground_segmentation": lambda s, d: _ids(ground.segment_ground(scans(s, d), ground.GroundConfig(sensor_height=-1.8)).where("is_ground")),
@@ -154,6 +154,7 @@ QUERIES = {
     "nearest_correspondence": lambda s, d: rounded(neighbors.nearest(embeddings(s, d), image(s, d), 0.1), "distance"),
     # over all recorded clouds; those above over the embeddings' cloud have SQL
     "scan_euclidean_clusters": lambda s, d: segmentation.euclidean_clusters(scans(s, d), 0.3005, 3, 10**9),
+    "scan_planes": lambda s, d: rounded(segmentation.ransac_plane(scans(s, d), 0.05, seed=0), *"abcd"),
     "scan_normals_knn": lambda s, d: rounded(_scan_normals(s, d), "nx", "ny", "nz").select("cloud_id", "pid", "nx", "ny", "nz"),
     "scan_normals_radius": lambda s, d: rounded(_scan_normals(s, d, 0.3005), "nx", "ny", "nz").select("cloud_id", "pid", "nx", "ny", "nz"),
     "scan_surface_variation": lambda s, d: rounded(_scan_normals(s, d), "curvature").select("cloud_id", "pid", "curvature"),

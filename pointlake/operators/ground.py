@@ -81,7 +81,8 @@ def segment_ground(cloud: DataFrame, config: GroundConfig = GroundConfig()) -> D
         up = F.when(F.col("vz") < 0, -1.0).otherwise(1.0)
         plane = shape.select(*patch, "n", *((F.col(f"v{c}") * up).alias(f"p{c}") for c in "xyz"), (-(F.col("vx") * F.col("mean_x") + F.col("vy") * F.col("mean_y") + F.col("vz") * F.col("mean_z")) * up).alias("pd"))
         near = points.join(plane, patch).where(F.abs(F.col("px") * F.col("x") + F.col("py") * F.col("y") + F.col("pz") * F.col("z") + F.col("pd")) <= config.distance)
-        near = scratch.written(near.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy(*patch))).where("m >= 3"), "inliers")
+        near = scratch.written(near, "inliers")
+        near = near.join(near.groupBy(*patch).agg(F.count(F.lit(1)).alias("m")).where("m >= 3"), patch)
         last = turn == config.iterations - 1
         ready = near if last else near.where("m = n")
         fitted = ready if fitted is None else fitted.unionByName(ready)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pointlake.functions.geometry import XYZ
+from pointlake.functions.geometry import XYZ, cross, dot, sub, vec
 from pointlake.operators.chains import chain_clusters
-from pointlake.schema import positive
+from pointlake.plans import scratch
+from pointlake.plans.ranks import ranked
+from pointlake.schema import one_cloud, positive
 
 KEY = "cloud_id"
 
@@ -38,58 +41,86 @@ def plane_inliers(cloud: DataFrame, plane: tuple[float, float, float, float], th
     return cloud.where(plane_distance(plane) <= threshold)
 
 
-def sample_triples(n: int, count: int, seed: int | None = None) -> list[tuple[int, int, int]]:
-    """Triples of different ranks below n: pseudo-random for a seed, else by the fixed recurrence (i, 37i+1, 101i+2) mod n."""
-    if seed is None:
-        triples = [(i % n, (37 * i + 1) % n, (101 * i + 2) % n) for i in range(count)]
-    else:
-        rng = np.random.default_rng(seed)
-        triples = [tuple(map(int, rng.choice(n, 3, replace=False))) for _ in range(count)]
-    return [t for t in triples if len(set(t)) == 3]
-
+#: Points and candidates that meet at a time: a chunk of a cloud against a block of planes.
+CHUNK, PLANES = 50_000, 200
 
-def ransac_plane(cloud: DataFrame, threshold: float = 0.01, iterations: int = 1000, seed: int | None = None, block: int = 200) -> DataFrame:
-    """``(candidate, a, b, c, d, inliers)``: the plane through three points with most points within ``threshold``, ties to the first.
 
-    Candidates are drawn on the driver by rank in pid order; their points are looked up by one join, and all of a block of
-    candidates are counted in one pass over the points as conditional sums, so points are never copied per candidate. Fewer
-    than 3 points or non-positive parameters are errors. One cloud at a time.
+def _corners(sizes: DataFrame, iterations: int, seed: int | None) -> DataFrame:
+    """``(cloud_id, candidate, corner, rank)``: three different ranks below n for each candidate."""
+    i, n = F.col("candidate"), F.col("n")
+    drawn = sizes.where("n >= 3").select(KEY, "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(iterations - 1).cast("bigint"))).alias("candidate"))
+    if seed is None:
+        ranks = [F.pmod(i, n), F.pmod(37 * i + 1, n), F.pmod(101 * i + 2, n)]
+    else:
+        # three different ranks: each draw is among those left, shifted past the ones before it
+        draw = lambda c, left: F.pmod(F.xxhash64(F.lit(seed), F.lit(c), KEY, i), left)
+        first, second = draw(0, n), draw(1, n - 1)
+        second = second + (second >= first).cast("bigint")
+        low, high, third = F.least(first, second), F.greatest(first, second), draw(2, n - 2)
+        third = third + (third >= low).cast("bigint")
+        ranks = [first, second, third + (third >= high).cast("bigint")]
+    a, b, c = ranks
+    apart = drawn.withColumns({"r0": a, "r1": b, "r2": c}).where("r0 <> r1 AND r1 <> r2 AND r0 <> r2")
+    return apart.select(KEY, "candidate", F.posexplode(F.array("r0", "r1", "r2")).alias("corner", "rank"))
+
+
+def _planes(points: DataFrame, sizes: DataFrame, iterations: int, seed: int | None) -> DataFrame:
+    """``(cloud_id, candidate, a, b, c, d)``: planes through the drawn points, those of collinear ones left out."""
+    drawn = _corners(sizes, iterations, seed).join(points.select(KEY, "rank", *XYZ), [KEY, "rank"])
+    corner = [F.max(F.when(F.col("corner") == t, F.col(c))).alias(f"{c}{t}") for t in range(3) for c in XYZ]
+    met = drawn.groupBy(KEY, "candidate").agg(*corner)
+    at = [vec(*(f"{c}{t}" for c in XYZ)) for t in range(3)]
+    met = met.withColumns(dict(zip(("m0", "m1", "m2"), cross(sub(at[1], at[0]), sub(at[2], at[0])))))
+    length = F.sqrt(dot(vec("m0", "m1", "m2"), vec("m0", "m1", "m2")))
+    met = met.withColumn("length", length).where("length >= 1e-8").withColumns({n: F.col(m) / F.col("length") for n, m in (("a", "m0"), ("b", "m1"), ("c", "m2"))})
+    return met.select(KEY, "candidate", "a", "b", "c", (-dot(vec("a", "b", "c"), at[0])).alias("d"))
+
+
+def ransac_plane(cloud: DataFrame, threshold: float = 0.01, iterations: int = 1000, seed: int | None = None) -> DataFrame:
+    """``(cloud_id, candidate, a, b, c, d, inliers)``: of each cloud the plane through three points with most points within ``threshold``.
+
+    Ties go to the first candidate. Candidates are drawn by rank in pid order: by a hash of the seed over all points, without
+    a seed by the fixed recurrence. Chunks of a cloud meet its planes in vectorised tasks, so a cloud of any size is spread;
+    only counts per chunk and plane are added up. Clouds with fewer than 3 points have no plane; if no cloud has 3, and for
+    non-positive parameters, it is an error.
     """
     positive(threshold=threshold, iterations=iterations)
-    points = cloud.select("pid", *XYZ)
-    n = points.count()
-    if n < 3:
+    points = ranked(cloud.select(KEY, "pid", *XYZ), [KEY, "pid"])
+    first = points.groupBy(KEY).agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
+    sizes = scratch.written(first, "sizes")
+    if sizes.where("n >= 3").isEmpty():
         raise ValueError("at least 3 points are needed")
-    triples = sample_triples(n, iterations, seed)
-    wanted = sorted({r for t in triples for r in t})
-    spark = cloud.sparkSession
-    ranked = _ranked(points)
-    asked = spark.createDataFrame([(r,) for r in wanted], "rank bigint")
-    found = {r.rank: (r.x, r.y, r.z) for r in ranked.join(asked, "rank").collect()}
-    planes = [(i, p) for i, t in enumerate(triples) if (p := plane_from_points(*(found[r] for r in t))) is not None]
-    best = None
-    for at in range(0, len(planes), block):
-        part = planes[at : at + block]
-        counts = points.agg(*(F.count_if(plane_distance(p) <= threshold).alias(f"c{i}") for i, p in part)).first()
-        for i, p in part:
-            c = counts[f"c{i}"]
-            if best is None or c > best[2]:
-                best = (i, p, c)
-    rows = [] if best is None else [(best[0], *best[1], best[2])]
-    return spark.createDataFrame(rows, "candidate bigint, a double, b double, c double, d double, inliers bigint")
-
-
-def _ranked(points: DataFrame) -> DataFrame:
-    """Points with ``rank`` 0.. in pid order without one task holding them: counts per range of pids, then ranks within."""
-    width = F.lit(65_536)
-    parts = points.withColumn("part", F.floor(F.col("pid") / width))
-    before = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    inside = F.row_number().over(Window.partitionBy("part").orderBy("pid")) - 1
-    return parts.withColumn("i", inside).join(before, "part").withColumn("rank", F.coalesce("before", F.lit(0)) + F.col("i")).drop("part", "n", "before", "i")
+    points = points.join(sizes.select(KEY, "first"), KEY).select(KEY, *XYZ, (F.col("rank") - F.col("first")).alias("rank"))
+    planes = scratch.written(_planes(points, sizes, iterations, seed), "planes")
+    chunks = planes.join(sizes, KEY).select(KEY, "candidate", *"abcd", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK).cast("int"))).alias("chunk"))
+    parts = points.select(KEY, *XYZ, F.floor(F.col("rank") / CHUNK).cast("int").alias("chunk"))
+    kind = cloud.schema[KEY].dataType.simpleString()
+
+    def count(key: tuple, group: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        p, h = group[list(XYZ)].to_numpy(), held[list("abcd")].to_numpy()
+        n = np.zeros(len(h), dtype=np.int64)
+        for i in range(0, len(h), PLANES):
+            a, b, c, d = (h[i : i + PLANES, t] for t in range(4))
+            # summed in the order of the Column form, so that borders fall alike
+            n[i : i + PLANES] = (np.abs(p[:, :1] * a + p[:, 1:2] * b + p[:, 2:] * c + d) <= threshold).sum(axis=0)
+        return pd.DataFrame({KEY: key[0], "candidate": held["candidate"], "n": n})
+
+    counted = parts.groupBy(KEY, "chunk").cogroup(chunks.groupBy(KEY, "chunk")).applyInPandas(count, f"{KEY} {kind}, candidate bigint, n bigint")
+    hits = counted.groupBy(KEY, "candidate").agg(F.sum("n").alias("inliers"))
+    best = hits.groupBy(KEY).agg(F.max(F.struct("inliers", (-F.col("candidate")).alias("back"))).alias("m")).select(KEY, (-F.col("m.back")).alias("candidate"), F.col("m.inliers").alias("inliers"))
+    return best.join(planes, [KEY, "candidate"]).select(KEY, "candidate", *"abcd", "inliers")
+
+
+def segment_planes(cloud: DataFrame, threshold: float = 0.01, iterations: int = 1000, seed: int | None = 0) -> DataFrame:
+    """The inliers of each cloud's best plane."""
+    planes = ransac_plane(cloud, threshold, iterations, seed).select(KEY, *(F.col(c).alias(f"plane_{c}") for c in "abcd"))
+    gap = F.abs(F.col("x") * F.col("plane_a") + F.col("y") * F.col("plane_b") + F.col("z") * F.col("plane_c") + F.col("plane_d"))
+    return cloud.join(planes, KEY).where(gap <= threshold).select(*cloud.columns)
 
 
 def segment_plane(cloud: DataFrame, threshold: float = 0.01, iterations: int = 1000, seed: int | None = 0) -> tuple[DataFrame, tuple[float, float, float, float] | None]:
-    """The inliers of the best plane, and the plane."""
+    """The inliers of the best plane of one cloud, and the plane; for several clouds see :func:`segment_planes`."""
+    one_cloud(cloud)
     row = ransac_plane(cloud, threshold, iterations, seed).first()
     if row is None:
         return cloud.limit(0), None
