@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointlake.functions.geometry import cross, dot, scale, sub, vec
-from pointlake.operators.neighbors import KEY, neighborhoods
+from pointlake.operators.neighbors import KEY, knn, neighborhoods
 from pointlake.operators.normals import estimate_normals
 from pointlake.plans import scratch
+from pointlake.plans.blocks import Blocks, in_blocks
 from pointlake.schema import positive
 
 BINS = 11
@@ -60,28 +64,125 @@ def _spfh(pairs: DataFrame) -> DataFrame:
     return counts.join(total, [KEY, "pid"]).select(KEY, "pid", "bin", (F.col("c") / F.col("n")).alias("value"))
 
 
+#: Pairs whose histograms are added up at a time.
+PAIRS = 200_000
+
+
+def _bins(own: np.ndarray, normal: np.ndarray, to: np.ndarray, normals: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The three bins of each pair (n, 3), and which pairs are not degenerate: :func:`pair_features` on arrays."""
+    near = distance >= 1e-10
+    d = (to - own) / np.where(near, distance, 1)[:, None]
+    u = np.cross(normal, d)
+    m = np.linalg.norm(u, axis=1)
+    near &= m >= 1e-10
+    v = u / np.where(m > 0, m, 1)[:, None]
+    w = np.cross(normal, v)
+    dot_ = lambda a, b: (a * b).sum(axis=1)
+    bin_ = lambda value, low, wide: np.clip(np.floor((value - low) / wide * BINS), 0, BINS - 1).astype(np.int64)
+    angle = np.arctan2(dot_(w, normals), dot_(normal, normals))
+    return np.stack([bin_(dot_(v, normals), -1, 2), BINS + bin_(dot_(normal, d), -1, 2), 2 * BINS + bin_(angle, -np.pi, 2 * np.pi)], axis=1), near
+
+
+def _lists(values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
+
+
+def _even(value: np.ndarray) -> np.ndarray:
+    """Each third of the values over its sum; zeros stay."""
+    thirds = value.reshape(-1, 3, BINS)
+    total = thirds.sum(axis=2, keepdims=True)
+    return np.divide(thirds, total, out=np.zeros_like(thirds), where=total > 0).reshape(value.shape)
+
+
+def _dense(b: Blocks, column: str, width: int) -> np.ndarray:
+    return np.asarray(b.table[column].combine_chunks().flatten(), dtype=float).reshape(-1, width)
+
+
 def fpfh(cloud: DataFrame, radius: float = 0.1, k: int = 10) -> DataFrame:
     """``(cloud_id, pid, feature ARRAY<DOUBLE>)``: 33 values per point, each third summing to 1.
 
     A point's own histogram plus those of its neighbours weighted by inverse distance over the sum of weights. Points whose
     pairs are all degenerate get zeros.
+
+    Two passes over blocks with a rim of the radius: simplified histograms, then their weighted sums, so that a point's 33
+    values travel once or twice and not once for each neighbour. Points with fewer than k others within the radius take
+    their k nearest instead, by the neighbour search.
     """
     positive(radius=radius)
     width = 3 * BINS
-    pairs = _around(cloud, radius, k)
-    links = scratch.written(pair_features(pairs).select(KEY, "pid", "neighbor", "distance", "b0", "b1", "b2"), "links")
-    at = lambda i: F.col(f"b{i // BINS}") == i
-    counts = links.groupBy(KEY, "pid").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(at(i)).alias(f"h{i}") for i in range(width)))
-    own = scratch.written(counts.select(KEY, "pid", *((F.col(f"h{i}") / F.col("n")).alias(f"h{i}") for i in range(width))), "spfh")
-    # pairs that have no angles still lend their histogram
-    near = pairs.where(F.col("distance") >= 1e-10).select(KEY, "pid", "neighbor", (1 / F.col("distance")).alias("w"))
-    lent = near.join(own.withColumnRenamed("pid", "neighbor"), [KEY, "neighbor"], "left")
-    lent = lent.groupBy(KEY, "pid").agg(F.sum("w").alias("w"), *(F.sum(F.col("w") * F.coalesce(f"h{i}", F.lit(0.0))).alias(f"l{i}") for i in range(width)))
-    both = cloud.select(KEY, "pid").join(own, [KEY, "pid"], "left").join(lent, [KEY, "pid"], "left")
-    value = lambda i: F.coalesce(f"h{i}", F.lit(0.0)) + F.coalesce(F.try_divide(F.col(f"l{i}"), F.col("w")), F.lit(0.0))
-    parts = both.select(KEY, "pid", *(F.array(*(value(i) for i in range(t * BINS, (t + 1) * BINS))).alias(f"t{t}") for t in range(3)))
-    even = lambda t: F.transform(t, lambda v: F.coalesce(F.try_divide(v, F.aggregate(t, F.lit(0.0).cast("double"), lambda a, x: a + x)), F.lit(0.0)))
-    return parts.select(KEY, "pid", F.concat(*(even(F.col(f"t{t}")) for t in range(3))).alias("feature"))
+    kind = cloud.schema[KEY].dataType.simpleString()
+    points = scratch.written(cloud.select(KEY, F.col("pid").cast("bigint").alias("pid"), *(F.col(c).cast("double").alias(c) for c in _POINT)), "points")
+
+    def pairs(b: Blocks, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Neighbour pairs (place in home, row, distance) without the point itself."""
+        pid = b.table["pid"].to_numpy()
+        for q, m, d2 in b.grid().within(b.block[home], b.xyz[home], radius):
+            other = pid[home[q]] != pid[m]
+            q, m, d = q[other], m[other], np.sqrt(d2[other])
+            order = np.argsort(q, kind="stable")
+            q, m, d = q[order], m[order], d[order]
+            for at in range(0, len(q), PAIRS):
+                yield q[at : at + PAIRS], m[at : at + PAIRS], d[at : at + PAIRS]
+
+    def simple(b: Blocks) -> Iterator[pa.RecordBatch]:
+        home = np.flatnonzero(b.home)
+        normals = np.column_stack([b.table[f"n{c}"].to_numpy() for c in "xyz"])
+        count, total = np.zeros(len(home), dtype=np.int64), np.zeros(len(home))
+        histogram = np.zeros(len(home) * width)
+        for q, m, d in pairs(b, home):
+            count += np.bincount(q, minlength=len(home))
+            bins, good = _bins(b.xyz[home[q]], normals[home[q]], b.xyz[m], normals[m], d)
+            total += np.bincount(q[good], minlength=len(home))
+            histogram += np.bincount((q[good, None] * width + bins[good]).ravel(), minlength=len(histogram))
+        values = histogram.reshape(-1, width) / np.maximum(total, 1)[:, None]
+        rows = pa.array(home)
+        columns = [b.table[c].combine_chunks().take(rows) for c in (KEY, "pid")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(count < k), _lists(values)], names=[KEY, "pid", "thin", "h"])
+
+    first = scratch.written(in_blocks(points, radius, simple, f"{KEY} {kind}, pid bigint, thin boolean, h array<double>"), "spfh")
+    thin = points.join(first.where("thin").select(KEY, "pid"), [KEY, "pid"], "left_semi")
+    some = not first.where("thin").isEmpty()
+    histograms = first.select(KEY, "pid", "h", "thin")
+    if some:
+        near = scratch.written(knn(thin, points, k, exclude_self=True, carry=_POINT).drop("rank"), "thin")
+        angles = pair_features(near.join(points.select(KEY, "pid", F.struct(*_POINT).alias("own")), [KEY, "pid"]))
+        at = lambda i: F.col(f"b{i // BINS}") == i
+        few = angles.groupBy(KEY, "pid").agg(F.array(*(F.count_if(at(i)) / F.count(F.lit(1)) for i in range(width))).alias("own_h"))
+        histograms = histograms.join(few, [KEY, "pid"], "left").select(KEY, "pid", F.when(F.col("thin"), F.coalesce("own_h", F.array_repeat(F.lit(0.0), width))).otherwise(F.col("h")).alias("h"), "thin")
+    carried = scratch.written(points.select(KEY, "pid", *"xyz").join(histograms, [KEY, "pid"]), "histograms")
+
+    def weighted(b: Blocks) -> Iterator[pa.RecordBatch]:
+        home = np.flatnonzero(b.home)
+        home = home[~b.table["thin"].to_numpy(zero_copy_only=False).astype(bool)[home]]
+        h = _dense(b, "h", width)
+        total, lent = np.zeros(len(home)), np.zeros((len(home), width))
+        for q, m, d in pairs(b, home):
+            far = d >= 1e-10
+            q, m, w = q[far], m[far], 1 / d[far]
+            if not len(q):
+                continue
+            total += np.bincount(q, weights=w, minlength=len(home))
+            starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+            lent[q[starts]] += np.add.reduceat(h[m] * w[:, None], starts, axis=0)
+        rows = pa.array(home)
+        value = h[home] + lent / np.where(total > 0, total, 1)[:, None]
+        yield pa.RecordBatch.from_arrays([*(b.table[c].combine_chunks().take(rows) for c in (KEY, "pid")), _lists(_even(value))], names=[KEY, "pid", "feature"])
+
+    schema = f"{KEY} {kind}, pid bigint, feature array<double>"
+    out = in_blocks(carried, radius, weighted, schema)
+    if some:
+        lent = near.where(F.col("distance") >= 1e-10).select(KEY, "pid", F.col("neighbor"), (1 / F.col("distance")).alias("w")).join(carried.select(KEY, F.col("pid").alias("neighbor"), "h"), [KEY, "neighbor"])
+        sums = lent.groupBy(KEY, "pid").agg(F.sum("w").alias("w"), F.array(*(F.sum(F.col("w") * F.col("h")[i]) for i in range(width))).alias("l"))
+        few = carried.where("thin").select(KEY, "pid", "h").join(sums, [KEY, "pid"], "left").select(KEY, "pid", "h", F.coalesce("w", F.lit(1.0)).alias("w"), F.coalesce("l", F.array_repeat(F.lit(0.0), width)).alias("l"))
+
+        def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                h, lent = (np.asarray(batch.column(c).flatten(), dtype=float).reshape(-1, width) for c in ("h", "l"))
+                value = h + lent / batch.column("w").to_numpy()[:, None]
+                yield pa.RecordBatch.from_arrays([batch.column(KEY), batch.column("pid"), _lists(_even(value))], names=[KEY, "pid", "feature"])
+
+        out = out.unionByName(few.mapInArrow(finish, schema))
+    return out
 
 
 def fpfh_of_positions(cloud: DataFrame) -> DataFrame:

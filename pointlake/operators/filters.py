@@ -1,11 +1,16 @@
-"""Outlier removal: neighbour joins followed by aggregates."""
+"""Outlier removal: neighbours in blocks, followed by aggregates."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointlake.operators.neighbors import knn, pairs_within
+from pointlake.operators.neighbors import knn
+from pointlake.plans.blocks import Blocks, in_blocks
 from pointlake.schema import positive
 
 KEY = "cloud_id"
@@ -14,11 +19,35 @@ KEY = "cloud_id"
 def radius_outlier_removal(cloud: DataFrame, radius: float, min_neighbors: int) -> DataFrame:
     """Points with at least ``min_neighbors`` others within ``radius`` (inclusive); points at the same place count."""
     positive(radius=radius, min_neighbors=min_neighbors)
-    ids = cloud.select(KEY, "pid", "x", "y", "z")
-    near = pairs_within(ids, ids, radius).groupBy(F.col("a.cloud_id").alias(KEY), F.col("a.pid").alias("pid")).agg(F.count(F.lit(1)).alias("n"))
+    near = radius_counts(cloud, radius)
     return cloud.join(near.where(F.col("n") - 1 >= min_neighbors).select(KEY, "pid"), [KEY, "pid"], "left_semi")
 
 
+def radius_counts(cloud: DataFrame, radius: float) -> DataFrame:
+    """``(cloud_id, pid, n)``: how many points, itself among them, lie within ``radius`` of each.
+
+    Counted in blocks with a rim; points at one place are counted as one with a weight, so a place may hold any share of them.
+    """
+    positive(radius=radius)
+    kind = cloud.schema[KEY].dataType.simpleString()
+
+    def count(b: Blocks) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((*b.xyz.T, b.block))
+        new = np.r_[True, (b.block[order][1:] != b.block[order][:-1]) | (b.xyz[order][1:] != b.xyz[order][:-1]).any(axis=1)]
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.cumsum(new) - 1
+        first = order[new]
+        weight = np.bincount(place)
+        wanted = np.unique(place[b.home])
+        n = np.zeros(len(first), dtype=np.int64)
+        for q, m, _ in b.grid(first).within(b.block[first[wanted]], b.xyz[first[wanted]], radius):
+            n += np.bincount(wanted[q], weights=weight[m], minlength=len(n)).astype(np.int64)
+        rows = pa.array(np.flatnonzero(b.home))
+        yield pa.RecordBatch.from_arrays([b.table[KEY].combine_chunks().take(rows), b.table["pid"].combine_chunks().take(rows), pa.array(n[place[b.home]])], names=[KEY, "pid", "n"])
+
+    return in_blocks(cloud.select(KEY, F.col("pid").cast("bigint").alias("pid"), *(F.col(c).cast("double").alias(c) for c in "xyz")), radius, count, f"{KEY} {kind}, pid bigint, n bigint")
+
+
 def mean_distances(cloud: DataFrame, k: int) -> DataFrame:
     """``(cloud_id, pid, mean)``: mean distance to the k+1 nearest points less those at the point's own place; 0 if none is left."""
     ids = cloud.select(KEY, "pid", "x", "y", "z")

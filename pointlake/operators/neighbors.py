@@ -1,19 +1,24 @@
-"""Neighbour search as equality joins on grid cells.
+"""Neighbour search: pairs within a radius by equality joins on grid cells, k nearest neighbours by blocks with a rim.
 
-Cells are cubes as wide as the search radius; one side is filed under its cell, the other under the 27 cells around it, and
-the join on (cloud, cell) is an ordinary hash or sort-merge join that adaptive execution can split where a cell is crowded.
-Without a radius, k nearest neighbours come from rounds of growing cells in which only unfinished queries take part.
+For pairs, cells are cubes as wide as the radius; one side is filed under its cell, the other under the 27 cells around it, and
+the join on (cloud, cell) is an ordinary hash or sort-merge join. For k nearest neighbours, space is cut into blocks that tasks
+search in memory; a block brings a rim of its neighbours along, and only queries that the rim does not settle go on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointlake.functions.geometry import XYZ, distance2
+from pointlake.functions.grid import Grid
 from pointlake.plans import scratch
+from pointlake.plans.blocks import codes
 from pointlake.schema import positive
 
 KEY = "cloud_id"
@@ -61,89 +66,304 @@ def radius_neighbors(queries: DataFrame, base: DataFrame, radius: float, exclude
     return found.select(F.col("a.cloud_id"), F.col("a.pid"), F.col("b.pid").alias("neighbor"), F.sqrt("d2").alias("distance"))
 
 
-def _best(found: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(KEY, "pid").orderBy("d2", "neighbor"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+#: Blocks are this many cells wide, with a rim of so many cells on every side; a block with more rows is cut into eighths.
+SPAN, RIM, BLOCK_ROWS, CUTS = 24, 1.5, 100_000, 4
+#: Rows of a task; searches of unfinished queries in pieces of whole clouds that are done at once; and rows of a table that is
+#: handed to every task (32 bytes a row and what is carried).
+TASK_ROWS, FEW, SMALL = 100_000, 20_000, 400_000
 
 
-def _extent(*clouds: DataFrame) -> float:
-    """A distance that no two points of one cloud exceed: the diagonal of the largest cube around a cloud."""
-    both = clouds[0].select(KEY, *XYZ)
-    for c in clouds[1:]:
-        both = both.unionByName(c.select(KEY, *XYZ))
-    boxes = both.groupBy(KEY).agg(F.greatest(*(F.max(c) - F.min(c) for c in XYZ)).alias("wide"))
-    return (boxes.agg(F.max("wide")).first()[0] or 0.0) * 3**0.5
+def search_scales(base: DataFrame, k: int) -> DataFrame:
+    """``(cloud_id, n, low_x, low_y, low_z, wide, edge)``: per cloud, its box and a cell that holds about k points where it is occupied.
 
+    Two small aggregations: boxes, then distinct counts of occupied cells at a dozen sizes in one pass of sketches. The result,
+    a row per cloud, is written, as every round of a search reads it.
+    """
+    ids = base.select(KEY, *XYZ)
+    boxes = ids.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), *(F.min(c).alias(f"low_{c}") for c in XYZ), F.greatest(*(F.max(c) - F.min(c) for c in XYZ)).alias("wide"))
+    steps = range(1, 13)
+    at = lambda i: F.xxhash64(*(F.floor((F.col(c) - F.col(f"low_{c}")) / F.col("wide") * 2**i) for c in XYZ))
+    seen = ids.join(boxes.where("wide > 0"), KEY).groupBy(KEY).agg(*(F.approx_count_distinct(at(i), 0.05).alias(f"e{i}") for i in steps))
+    fits = [F.when(F.col("n") / F.col(f"e{i}") <= max(2.0, k + 1.0), F.col("wide") / 2**i) for i in steps]
+    edge = F.coalesce(*fits, F.when(F.col("wide") > 0, F.col("wide") / 2**12), F.lit(1.0))
+    return scratch.written(boxes.join(seen, KEY, "left").select(*boxes.columns, edge.alias("edge")), "scales")
 
-def search_edge(base: DataFrame, k: int) -> float:
-    """The cell to begin a search of k neighbours with: few points per occupied cell, as sketches tell.
 
-    Two small aggregations: boxes per cloud, then distinct counts of occupied cells at a dozen sizes in one pass.
-    """
-    wide = _extent(base)
-    if wide <= 0:
-        return 1e-9
-    edges = [wide / 2**i for i in range(1, 13)]
-    seen = base.agg(F.count(F.lit(1)).alias("n"), *(F.approx_count_distinct(F.xxhash64(KEY, *cell(e)), 0.03).alias(f"e{i}") for i, e in enumerate(edges))).first()
-    fitting = [e for i, e in enumerate(edges) if seen[f"e{i}"] and seen["n"] / seen[f"e{i}"] <= max(2.0, k + 1)]
-    return fitting[0] if fitting else edges[-1]
+def _block(edge: Column, rim: Column | float = 0.0) -> Column:
+    """Blocks of a point as an array of structs (bx, by, bz), its own first; with a rim also those whose rim holds it."""
+
+    def axis(c: str) -> Column:
+        at = F.col(c) - F.col(f"low_{c}")
+        own = F.floor(at / edge)
+        return F.array(own) if isinstance(rim, float) else F.array_distinct(F.array(own, F.floor((at - rim) / edge), F.floor((at + rim) / edge)))
+
+    plane = F.flatten(F.transform(axis("x"), lambda x: F.transform(axis("y"), lambda y: F.struct(x.alias("bx"), y.alias("by")))))
+    return F.flatten(F.transform(plane, lambda p: F.transform(axis("z"), lambda z: F.struct(p["bx"].alias("bx"), p["by"].alias("by"), z.alias("bz")))))
+
+
+_BLOCK = ("bx", "by", "bz")
 
 
-def knn(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = False, exclude_place: bool = False, max_distance: float | None = None, carry: tuple[str, ...] = (), edge: float | None = None) -> DataFrame:
+def _reach(unit: Column) -> Column:
+    """How far around a point its block with the rim reaches."""
+    edge = unit * SPAN
+    sides = []
+    for c, b in zip(XYZ, _BLOCK):
+        inside = F.col(c) - F.col(f"low_{c}") - F.col(b) * edge
+        sides += [inside, edge - inside]
+    # a little less, for what rounding of the borders may hide
+    return (F.least(*sides) + unit * RIM) * (1 - 1e-9)
+
+
+def _placed(rows: DataFrame, unit: Column) -> DataFrame:
+    """Rows with the blocks they go to: members also to those whose rim holds them, and asked only in their own."""
+    wide = _block(unit * SPAN, unit * RIM)
+    blocks = F.when(F.col("member"), wide).otherwise(_block(unit * SPAN))
+    out = rows.select("*", F.posexplode(blocks).alias("n_", "b_"))
+    return out.withColumns({"unit": unit, **{b: F.col(f"b_.{b}") for b in _BLOCK}, "asked": F.col("asked") & (F.col("n_") == 0)}).drop("n_", "b_")
+
+
+def _cut(rows: DataFrame, most: int) -> DataFrame:
+    """Rows in blocks of bounded size: one with too many rows is cut into blocks an eighth as wide, from the rows it holds."""
+    if most <= BLOCK_ROWS:  # no cloud could fill a block too much
+        return rows
+    where = [KEY, "unit", *_BLOCK]
+    out = None
+    for _ in range(CUTS):
+        hot = scratch.written(rows.groupBy(*where).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_ROWS).select(*where), "hot")
+        if hot.isEmpty():
+            break
+        calm = rows.join(hot, where, "left_anti")
+        out = calm if out is None else out.unionByName(calm)
+        again = rows.join(hot, where, "left_semi").withColumnsRenamed({b: f"p{b}" for b in _BLOCK})
+        again = _placed(again, F.col("unit") / 8)
+        rows = again.where(" AND ".join(f"floor({b} / 8) = p{b}" for b in _BLOCK)).drop(*(f"p{b}" for b in _BLOCK))
+    return rows if out is None else out.unionByName(rows)
+
+
+def _solver(k: int, exclude_self: bool, exclude_place: bool, limit: float, carry: tuple[str, ...], merge: bool):
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = list(batches)
+        if not parts:
+            return
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        numbers = {c: whole[c].to_numpy() for c in ("pid", *XYZ, "unit", *_BLOCK, "piece", "reach")}
+        asked, member = (whole[c].to_numpy(zero_copy_only=False).astype(bool) for c in ("asked", "member"))
+        name = whole[KEY].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        block = codes(name, numbers["unit"], *(numbers[b] for b in _BLOCK), numbers["piece"])
+        unit = np.empty(int(block.max()) + 1)
+        unit[block] = numbers["unit"]
+        xyz = np.column_stack([numbers[c] for c in XYZ])
+        m, q = np.flatnonzero(member), np.flatnonzero(asked)
+        grid = Grid(block[m], xyz[m], numbers["pid"][m], unit)
+        reach = None if merge else numbers["reach"][q]
+        who, to, d2, done = grid.nearest(block[q], xyz[q], k, numbers["pid"][q] if exclude_self else None, exclude_place, limit, reach)
+        start = np.searchsorted(who, np.arange(len(q))) if np.all(who[1:] >= who[:-1]) else None
+        if start is None:
+            order = np.argsort(who, kind="stable")
+            who, to, d2 = who[order], to[order], d2[order]
+            start = np.searchsorted(who, np.arange(len(q)))
+        rank = np.arange(len(who)) - start[who] + 1
+        # one more row for each query that is not settled here
+        left = np.flatnonzero(~done)
+        rows = pa.array(np.concatenate([q[who], q[left]]))
+        none = pa.nulls(len(left))
+        columns = [whole[KEY].combine_chunks().take(rows), pa.array(numbers["pid"][rows.to_numpy()])]
+        columns.append(pa.concat_arrays([pa.array(numbers["pid"][m[to]], pa.int64()), none.cast(pa.int64())]))
+        columns.append(pa.concat_arrays([pa.array(d2, pa.float64()), none.cast(pa.float64())]))
+        columns.append(pa.concat_arrays([pa.array(rank.astype(np.int32)), none.cast(pa.int32())]))
+        columns += [pa.concat_arrays([pa.nulls(len(who), pa.float64()), pa.array(numbers[c][q[left]], pa.float64())]) for c in XYZ]
+        columns.append(pa.array(numbers["reach"][rows.to_numpy()]))
+        if carry:
+            at = pa.array(np.concatenate([m[to], np.zeros(len(left), dtype=np.int64)]))
+            columns.append(pa.StructArray.from_arrays([whole[c if c in XYZ or c == "pid" else f"c_{c}"].combine_chunks().take(at) for c in carry], names=list(carry)))
+        names = [KEY, "pid", "neighbor", "d2", "rank", *XYZ, "reach", *(["to"] if carry else [])]
+        for batch in pa.Table.from_arrays(columns, names=names).to_batches(max_chunksize=100_000):
+            yield batch
+
+    return solve
+
+
+class _Held:
+    """A small table of clouds with the grid over it, built where it is used and kept by the Python process."""
+
+    def __init__(self, table: pa.Table, k: int) -> None:
+        self.table, self.k, self.grid = table, k, None
+
+    def __getstate__(self) -> tuple:
+        return self.table, self.k
+
+    def __setstate__(self, state: tuple) -> None:
+        self.table, self.k = state
+        self.grid = None
+
+    def ready(self) -> Grid:
+        if self.grid is None:
+            names = self.table[KEY].combine_chunks().dictionary_encode()
+            self.codes = {n: i for i, n in enumerate(names.dictionary.to_pylist())}
+            block = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            self.pid = self.table["pid"].to_numpy()
+            xyz = np.column_stack([self.table[c].to_numpy() for c in XYZ])
+            low, high = np.full((len(self.codes), 3), np.inf), np.full((len(self.codes), 3), -np.inf)
+            np.minimum.at(low, block, xyz)
+            np.maximum.at(high, block, xyz)
+            n = np.bincount(block, minlength=len(self.codes))
+            # points as of a surface; the grid goes finer where they are denser
+            unit = (high - low).max(axis=1, initial=0) * np.sqrt((self.k + 1) / np.maximum(n, 1))
+            self.grid = Grid(block, xyz, self.pid, np.where(unit > 0, unit, 1.0))
+        return self.grid
+
+
+class Prepared:
+    """A table made ready to be searched for up to about ``k`` neighbours, once for any number of searches.
+
+    The table is written to the shared folder. One of at most ``SMALL`` rows, which is counted, is handed to every task whole;
+    for others the scales of their clouds are measured.
+    """
+
+    def __init__(self, base: DataFrame, k: int, carry: tuple[str, ...] = ()) -> None:
+        self.carry, self.kinds = carry, {c: base.schema[c].dataType.simpleString() for c in carry}
+        self.more = [c for c in carry if c not in (*XYZ, "pid")]
+        tidy = [KEY, F.col("pid").cast("bigint").alias("pid"), *(F.col(c).cast("double").alias(c) for c in XYZ)]
+        plain = not self.more and base.columns == [KEY, "pid", *XYZ] and scratch.is_written(base) and dict(base.dtypes)["pid"] == "bigint"
+        self.rows = base if plain else scratch.written(base.select(*tidy, *(F.col(c).alias(f"c_{c}") for c in self.more)), "base")
+        self.total, self.held, self.scales = self.rows.count(), None, None
+        if self.total <= SMALL:
+            self.held = base.sparkSession.sparkContext.broadcast(_Held(self.rows.where(F.col(KEY).isNotNull()).toArrow(), k))
+        else:
+            self.scales = search_scales(self.rows, k)
+            self.most = self.scales.agg(F.max("n")).first()[0] or 0
+
+    def schema(self, key_kind: str) -> str:
+        to = [f"to struct<{', '.join(f'`{c}`: {t}' for c, t in self.kinds.items())}>"] if self.carry else []
+        return ", ".join([f"{KEY} {key_kind}", "pid bigint, neighbor bigint, d2 double, rank int, x double, y double, z double, reach double", *to])
+
+
+def _in_held(found: Prepared, queries: DataFrame, k: int, exclude_self: bool, exclude_place: bool, limit: float, schema: str, pose: np.ndarray | None = None) -> DataFrame:
+    """The search in a table that every task holds; queries are moved by the pose first.
+
+    The pose is applied here and not as Columns: the plan is then the same in every iteration of a loop, and its code is
+    generated once.
+    """
+    held, carry = found.held, found.carry
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grid = held.value.ready()
+            code = held.value.codes
+            block = np.array([code.get(n, -1) for n in batch.column(0).to_pylist()], dtype=np.int64)
+            q = np.flatnonzero(block >= 0)
+            if not len(q):
+                continue
+            pid = batch.column(1).to_numpy()[q]
+            xyz = np.column_stack([batch.column(i).to_numpy() for i in (2, 3, 4)])[q]
+            if pose is not None:
+                x, y, z = xyz.T
+                xyz = np.column_stack([x * pose[i, 0] + y * pose[i, 1] + z * pose[i, 2] + pose[i, 3] for i in range(3)])
+            who, to, d2, _ = grid.nearest(block[q], xyz, k, pid if exclude_self else None, exclude_place, limit)
+            order = np.argsort(who, kind="stable")
+            who, to, d2 = who[order], to[order], d2[order]
+            rank = (np.arange(len(who)) - np.searchsorted(who, np.arange(len(q)))[who] + 1).astype(np.int32)
+            at_query = [pa.array(xyz[who, i]) for i in range(3)]
+            columns = [batch.column(0).take(pa.array(q[who])), pa.array(pid[who]), pa.array(held.value.pid[to]), pa.array(d2), pa.array(rank), *at_query, pa.nulls(len(who), pa.float64())]
+            if carry:
+                at, table = pa.array(to), held.value.table
+                columns.append(pa.StructArray.from_arrays([table[c if c in XYZ or c == "pid" else f"c_{c}"].take(at).combine_chunks() for c in carry], names=list(carry)))
+            yield pa.RecordBatch.from_arrays(columns, names=[KEY, "pid", "neighbor", "d2", "rank", *XYZ, "reach", *(["to"] if carry else [])])
+
+    return queries.mapInArrow(search, schema)
+
+
+def knn(queries: DataFrame, base: DataFrame, k: int, exclude_self: bool = False, exclude_place: bool = False, max_distance: float | None = None, carry: tuple[str, ...] = (), prepared: Prepared | None = None) -> DataFrame:
     """``(cloud_id, pid, neighbor, distance, rank)``: the k nearest points of ``base`` for each query, exactly.
 
     Ties go to the smaller pid. ``exclude_self`` leaves out the point with the query's pid, ``exclude_place`` all points at the
     query's place. k of 0 gives no rows, fewer than k points all of them; ``max_distance`` (inclusive) bounds the search.
-
-    A round joins the unfinished queries with the cells around them; a query is finished when it has k neighbours within the
-    cell width, which the 27 cells cover for sure. Cells grow until every query is finished or they hold whole clouds.
-    Columns of ``base`` named in ``carry`` come along as the struct ``to``. ``edge`` is the first cell where it is known,
-    as in loops that search one table again and again.
+    Columns of ``base`` named in ``carry`` come along as the struct ``to``. Queries of a cloud that the base lacks, or of none,
+    have no rows. ``prepared`` is the base made ready once (with the same ``carry``), for loops that search it again and again.
+
+    A small base is handed to all tasks. Otherwise space is cut into blocks with a rim, sized by each cloud's density; a point is sent to its block and to
+    those whose rim holds it, about 1.2 copies in one shuffle, and many blocks are searched per task by sorted grids in memory. A
+    block with too many rows is cut further. A query whose k neighbours are nearer than the rim's border is settled; the few
+    others, in sparse places, go to rounds of wider blocks, of which only those that are asked for are filled, split by row
+    where they are large.
     """
     if k < 0:
         raise ValueError("k must not be negative")
-    columns = [KEY, "pid", *XYZ]
-    queries, base = queries.select(*columns), base.select(*columns, *(c for c in carry if c not in columns))
-    to = ["to"] if carry else []
-
-    def joined(asked: DataFrame, edge: float) -> DataFrame:
-        found = pairs_within(asked, base, edge)
-        if exclude_self:
-            found = found.where(F.col("a.pid") != F.col("b.pid"))
-        if exclude_place:
-            found = found.where(F.col("d2") > 0)
-        return found.select(F.col("a.cloud_id").alias(KEY), F.col("a.pid").alias("pid"), F.col("b.pid").alias("neighbor"), "d2", *([F.struct(*(F.col(f"b.{c}").alias(c) for c in carry)).alias("to")] if carry else []))
-
     if max_distance is not None:
         positive(max_distance=max_distance)
-        return _best(joined(queries, max_distance), k).select(KEY, "pid", "neighbor", F.sqrt("d2").alias("distance"), "rank", *to)
-    edge, wide = edge or search_edge(base, k), None
-    done: list[DataFrame] = []
-    asked = queries
-    while True:
-        last = wide is not None and edge > wide * 1.0001
-        best = scratch.written(_best(joined(asked, edge), k), "near")
-        full = best.groupBy(KEY, "pid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(KEY, "pid")
+    limit = np.inf if max_distance is None else float(max_distance)
+    columns = [KEY, "pid", *XYZ]
+    out = [KEY, "pid", "neighbor", F.sqrt("d2").alias("distance"), "rank", *(["to"] if carry else [])]
+    found = Prepared(base, k, carry) if prepared is None else prepared
+    schema = found.schema(base.schema[KEY].dataType.simpleString())
+    spark = base.sparkSession
+    if k == 0 or not found.total:
+        return spark.createDataFrame([], schema).select(*out)
+    same = queries is base
+    tidy = [KEY, F.col("pid").cast("bigint").alias("pid"), *(F.col(c).cast("double").alias(c) for c in XYZ)]
+    asked = found.rows.select(*columns) if same else queries.select(*tidy)
+    if found.held is not None:
+        spread = asked.repartition(spark.sparkContext.defaultParallelism, "pid")
+        return _in_held(found, spread, k, exclude_self, exclude_place, limit, schema).select(*out)
+    members = found.rows.withColumns({"member": F.lit(True), "asked": F.lit(same)})
+    empty = [F.lit(None).cast(found.rows.schema[f"c_{c}"].dataType).alias(f"c_{c}") for c in found.more]
+    wanted = lambda df: df.select(*columns, *empty).withColumns({"member": F.lit(False), "asked": F.lit(True)})
+    scale = found.scales.select(KEY, *(f"low_{c}" for c in XYZ), "wide", "edge")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-found.total // TASK_ROWS))
+    shape = [*columns, *(f"c_{c}" for c in found.more), "member", "asked", "unit", *_BLOCK, "piece", "reach"]
+    where = [KEY, "unit", *_BLOCK, "piece"]
+
+    rows = members if same else members.unionByName(wanted(asked))
+    rows = _cut(_placed(rows.join(scale, KEY), F.col("edge")), found.most).withColumns({"piece": F.lit(0), "reach": _reach(F.col("unit"))})
+    near = rows.select(*shape).repartition(tasks, *where).mapInArrow(_solver(k, exclude_self, exclude_place, limit, carry, False), schema)
+    near = scratch.written(near, "near")
+    done = [near.where("neighbor IS NOT NULL")]
+    asked = near.where("neighbor IS NULL").select(*columns)
+    factor = 1.0
+    while (left := asked.count()) > 0:
+        factor *= 4
+        unit = F.col("edge") * factor
+        # the last round searches whole clouds, in pieces; before it, clouds that a block would hold are searched so too
+        last = left * -(-found.most // BLOCK_ROWS) <= max(FEW, found.total // 100)
+        everything = F.lit(last) | (unit * SPAN > F.col("wide"))
+        whole = lambda df: df.withColumns({"unit": F.when(everything, F.col("edge")).otherwise(F.col("unit")), **{b: F.when(everything, F.lit(0).cast("bigint")).otherwise(F.col(b)) for b in _BLOCK}, "whole": everything})  # noqa: B023, E731
+        block = [KEY, "unit", *_BLOCK]
+        sent = whole(_placed(wanted(asked).join(scale, KEY), unit))
+        sent = sent.withColumn("reach", F.when(F.col("whole"), F.lit(float("inf"))).otherwise(_reach(unit)))
+        filled = members.withColumn("asked", F.lit(False)).join(scale, KEY)
+        # in whole clouds a member has one place, in blocks also the rims
+        filled = whole(filled.withColumns({"unit": unit, **dict.fromkeys(_BLOCK, F.lit(0).cast("bigint"))})) if last else whole(_placed(filled, unit)).dropDuplicates([*block, "pid"])
+        if not last:
+            sent = scratch.written(sent, "asked")
+        filled = filled.join(sent.select(*block).distinct(), block, "left_semi").withColumn("reach", F.lit(0.0))
+        if found.most > BLOCK_ROWS:
+            pieces = scratch.written(filled.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("pieces")), "pieces")
+            filled = filled.join(pieces, block).withColumn("piece", F.pmod(F.xxhash64("pid"), F.col("pieces")).cast("int"))
+            each = sent.join(pieces, block).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        else:
+            filled, each = filled.withColumn("piece", F.lit(0)), sent.withColumn("piece", F.lit(0))
+        both = filled.select(*shape).unionByName(each.select(*shape))
+        part = both.repartition(tasks, *where).mapInArrow(_solver(k, exclude_self, exclude_place, limit, carry, True), schema).where("neighbor IS NOT NULL")
+        best = part.withColumn("rank", F.row_number().over(Window.partitionBy(KEY, "pid").orderBy("d2", "neighbor"))).where(F.col("rank") <= k)
+        best = scratch.written(best, "near")
         if last:
             done.append(best)
             break
-        done.append(best.join(full, [KEY, "pid"], "left_semi"))
-        asked = scratch.written(asked.join(full, [KEY, "pid"], "left_anti"), "asked")
-        if asked.isEmpty():
-            break
-        if wide is None:
-            wide = _extent(base, asked)
-        # what is left lies apart from the rest, so cells grow fast
-        edge = edge * 4 if edge * 16 < wide else wide * 1.001 + 1e-9
-    out = done[0]
+        full = best.groupBy(KEY, "pid").agg(F.count(F.lit(1)).alias("n"), F.max("d2").alias("far"))
+        ends = sent.select(*columns, "reach").join(full, [KEY, "pid"], "left")
+        settled = (F.col("reach") >= limit) | (F.coalesce(F.col("n") >= k, F.lit(False)) & (F.sqrt("far") <= F.col("reach")))
+        done.append(best.join(ends.where(settled).select(KEY, "pid"), [KEY, "pid"], "left_semi"))
+        asked = scratch.written(ends.where(~F.coalesce(settled, F.lit(False))).select(*columns), "left")
+    result = done[0]
     for part in done[1:]:
-        out = out.unionByName(part)
-    return out.select(KEY, "pid", "neighbor", F.sqrt("d2").alias("distance"), "rank", *to)
+        result = result.unionByName(part)
+    return result.select(*out)
 
 
-def nearest(queries: DataFrame, base: DataFrame, max_distance: float | None = None, carry: tuple[str, ...] = (), edge: float | None = None) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, max_distance: float | None = None, carry: tuple[str, ...] = (), prepared: Prepared | None = None) -> DataFrame:
     """``(cloud_id, pid, neighbor, distance)``: the nearest point of ``base`` for each query that has one."""
-    return knn(queries, base, 1, max_distance=max_distance, carry=carry, edge=edge).drop("rank")
+    return knn(queries, base, 1, max_distance=max_distance, carry=carry, prepared=prepared).drop("rank")
 
 
 def neighborhoods(cloud: DataFrame, k: int, radius: float | None = None, carry: tuple[str, ...] = XYZ) -> DataFrame:
@@ -164,6 +384,16 @@ def neighborhoods(cloud: DataFrame, k: int, radius: float | None = None, carry:
     return wide.join(enough, [KEY, "pid"], "left_semi").unionByName(knn(rest, base, k, exclude_self=True, carry=carry).drop("rank"))
 
 
+def moved_nearest(queries: DataFrame, prepared: Prepared, max_distance: float | None, pose: np.ndarray) -> DataFrame | None:
+    """``(cloud_id, pid, x, y, z, neighbor, distance, to)`` of moved queries by one pass where they lie, if the base is a small one."""
+    if prepared.held is None:
+        return None
+    rows = queries.select(KEY, "pid", *XYZ)
+    limit = np.inf if max_distance is None else float(max_distance)
+    found = _in_held(prepared, rows, 1, False, False, limit, prepared.schema(queries.schema[KEY].dataType.simpleString()), pose)
+    return found.select(KEY, "pid", *XYZ, "neighbor", F.sqrt("d2").alias("distance"), "to")
+
+
 def feature_matches(source: DataFrame, target: DataFrame, key: str = "pid", feature: str = "feature") -> DataFrame:
     """``(source, target, distance)``: for each source descriptor the nearest target descriptor (L2), ties to the smaller id.
 

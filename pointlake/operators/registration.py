@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pointlake.functions.geometry import XYZ
 from pointlake.functions.linear import SYMMETRIC, matrices
 from pointlake.operators import features, transforms
-from pointlake.operators.neighbors import KEY, cell, feature_matches, nearest, search_edge
+from pointlake.operators.neighbors import KEY, Prepared, cell, feature_matches, moved_nearest, nearest
 from pointlake.operators.normals import COVARIANCE, estimate_normals, registration_covariances
 from pointlake.operators.voxel import voxel_downsample
 from pointlake.plans import scratch
@@ -45,24 +45,22 @@ class Registration:
 def _pair(source: DataFrame, target: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
     """Both clouds under one key, cut off from their plans as they are read in every iteration."""
     tidy = lambda df, extra: scratch.written(df.select(F.lit("pair").alias(KEY), "pid", *XYZ, *extra), "cloud")
-    source, target = tidy(source, ()), tidy(target, more)
+    source, target = tidy(source.repartition(source.sparkSession.sparkContext.defaultParallelism, "pid"), ()), tidy(target, more)
     if source.isEmpty() or target.isEmpty():
         raise ValueError("source or target cloud is empty")
     return source, target
 
 
-def _edge(target: DataFrame, max_distance: float | None) -> float | None:
-    """The first cell of unbounded searches in the target, found once for all iterations."""
-    return search_edge(target, 7) if max_distance is None else None
-
-
-def correspondences(source: DataFrame, target: DataFrame, pose: np.ndarray | None = None, max_distance: float | None = None, carry: tuple[str, ...] = XYZ, edge: float | None = None) -> DataFrame:
+def correspondences(source: DataFrame, target: DataFrame, pose: np.ndarray | None = None, max_distance: float | None = None, carry: tuple[str, ...] = XYZ, prepared: Prepared | None = None) -> DataFrame:
     """``(pid, x, y, z, neighbor, distance, to)``: moved source points with their nearest target point within the distance.
 
     The bound is inclusive; without one every point has a partner. Of equally near target points that of smallest pid counts.
     """
-    moved = transforms.transform_points(source, np.eye(4) if pose is None else pose)
-    near = nearest(moved, target, max_distance, carry=carry, edge=edge)
+    pose = np.eye(4) if pose is None else pose
+    if prepared is not None and np.array_equal(pose[3], [0, 0, 0, 1]) and (found := moved_nearest(source, prepared, max_distance, pose)) is not None:
+        return found.join(source.select(KEY, "pid", *extra), [KEY, "pid"]) if (extra := [c for c in source.columns if c not in (KEY, "pid", *XYZ)]) else found
+    moved = transforms.transform_points(source, pose)
+    near = nearest(moved, target, max_distance, carry=carry, prepared=prepared)
     return moved.join(near, [KEY, "pid"])
 
 
@@ -112,9 +110,9 @@ def icp_point_to_point(source: DataFrame, target: DataFrame, init: np.ndarray |
 
 
 def _icp(source: DataFrame, target: DataFrame, pose: np.ndarray, max_iterations: int, threshold: float, max_distance: float | None) -> Registration:
-    before, edge = np.inf, _edge(target, max_distance)
+    before, ready = np.inf, Prepared(target, 1, XYZ)
     for turn in range(max_iterations):
-        n, s, t, h, d2 = _sums(cross_covariance(correspondences(source, target, pose, max_distance, edge=edge)).first())
+        n, s, t, h, d2 = _sums(cross_covariance(correspondences(source, target, pose, max_distance, prepared=ready)).first())
         if n < 3:
             raise ValueError("fewer than 3 correspondences")
         step = kabsch(n, s, t, h)
@@ -124,7 +122,7 @@ def _icp(source: DataFrame, target: DataFrame, pose: np.ndarray, max_iterations:
             return Registration(pose, mse, turn + 1, True, {"pairs": n})
         before = mse
     # the last pairs under the last pose
-    pairs = correspondences(source, target, last, max_distance, edge=edge)
+    pairs = correspondences(source, target, last, max_distance, prepared=ready)
     gap = transforms.transform_points(pairs, step).select(sum(((F.col(a) - F.col(f"to.{a}")) ** 2 for a in XYZ), F.lit(0.0)).alias("d2"))
     return Registration(pose, gap.agg(F.avg("d2")).first()[0], max_iterations, False, {"pairs": n})
 
@@ -180,9 +178,9 @@ def icp_point_to_plane(source: DataFrame, target: DataFrame, init: np.ndarray |
     s, t, n = [F.col(a) for a in XYZ], [F.col(f"to.{a}") for a in XYZ], [F.col(f"to.n{a}") for a in XYZ]
     row = [s[1] * n[2] - s[2] * n[1], s[2] * n[0] - s[0] * n[2], s[0] * n[1] - s[1] * n[0], *n]
     gap = sum(((b - a) * c for a, b, c in zip(s, t, n)), F.lit(0.0))
-    edge = _edge(target, max_distance)
+    ready = Prepared(target, 1, (*XYZ, "nx", "ny", "nz"))
     for turn in range(max_iterations):
-        pairs = correspondences(source, target, pose, max_distance, carry=(*XYZ, "nx", "ny", "nz"), edge=edge)
+        pairs = correspondences(source, target, pose, max_distance, carry=(*XYZ, "nx", "ny", "nz"), prepared=ready)
         lined = pairs.select(*(c.alias(f"a{i}") for i, c in enumerate(row)), gap.alias("b"))
         sums = [F.sum(F.col(f"a{i}") * F.col(f"a{j}")).alias(f"h{i}{j}") for i in range(6) for j in range(i, 6)] + [F.sum(F.col(f"a{i}") * F.col("b")).alias(f"g{i}") for i in range(6)]
         got = lined.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("b") * F.col("b")).alias("e"), *sums).first()
@@ -244,8 +242,9 @@ def gicp(source: DataFrame, target: DataFrame, init: np.ndarray | None = None, m
     source = scratch.written(source.join(registration_covariances(source, k), [KEY, "pid"]), "covariances")
     target = scratch.written(target.join(registration_covariances(target, k), [KEY, "pid"]), "covariances")
     pose, before = np.eye(4) if init is None else init, np.inf
+    ready = Prepared(target, 1, (*XYZ, *parts))
     for turn in range(max_iterations):
-        pairs = correspondences(source, target, pose, max_distance, carry=(*XYZ, *parts))
+        pairs = correspondences(source, target, pose, max_distance, carry=(*XYZ, *parts), prepared=ready)
         flat = pairs.select(*XYZ, *parts, "distance", *(F.col(f"to.{c}").alias(f"t_{c}") for c in (*XYZ, *parts)))
         r = pose[:3, :3]
 
@@ -291,8 +290,9 @@ def kiss_icp(source: DataFrame, target: DataFrame, init: np.ndarray | None = Non
         raise ValueError("no source points within the range")
     pose = np.eye(4) if init is None else init
     sigma, before = adaptive_threshold(pose, voxel_size), np.inf
+    ready = Prepared(target, 1, XYZ)
     for turn in range(max_iterations):
-        row = correspondences(down, target, pose, sigma)
+        row = correspondences(down, target, pose, sigma, prepared=ready)
         squares = row.agg(F.sum(sum((F.col(a) * F.col(a) + F.col(f"to.{a}") * F.col(f"to.{a}") for a in XYZ), F.lit(0.0))).alias("q"))
         got = cross_covariance(row).crossJoin(F.broadcast(squares)).first()  # one row each
         n, s, t, h, _ = _sums(got)

@@ -49,6 +49,11 @@ def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFram
     return out
 
 
+def is_written(df: DataFrame) -> bool:
+    """Whether a table is one that :func:`written` gave back."""
+    return hasattr(df, "_pointlake_path")
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table made by :func:`written` that no later plan reads."""
     path = getattr(df, "_pointlake_path", None)
