@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from pointlake.functions.geometry import XYZ, cross, dot, sub, vec
 from pointlake.operators import volumes
-from pointlake.operators.neighbors import KEY, knn, pairs_within
-from pointlake.operators.normals import estimate_normals
+from pointlake.functions.linear import SYMMETRIC, matrices, with_eigen
+from pointlake.operators.neighbors import KEY, knn, neighborhoods, pairs_within
+from pointlake.operators.normals import COVARIANCE, estimate_normals
 from pointlake.operators.voxel import bounds
 from pointlake.plans import scratch
 from pointlake.schema import one_cloud, positive
@@ -41,6 +42,8 @@ def triangle_area(a, b, c) -> Column:
     return F.sqrt(dot(n, n)) / 2
 
 
+# The parts of a triangle's score and their weights, here and in ball pivoting: the least angle over 30 degrees,
+# twice the ratio of inner to outer radius, and 3 over the ratio of the longest to the shortest side, each at most 1 but the second.
 def triangle_quality(triangles: DataFrame) -> DataFrame:
     """Triangles (structs a, b, c) with area, aspect_ratio, min_angle, max_angle, edge_ratio and a score from 0 to 1."""
     p = {n: vec(*(f"{n}.{x}" for x in XYZ)) for n in "abc"}
@@ -347,7 +350,7 @@ def poisson(cloud: DataFrame, depth: int = 6, scale: float = 1.1) -> tuple[DataF
 
 @dataclass(frozen=True)
 class Character:
-    """What the choice of an algorithm looks at."""
+    """What the choice of an algorithm looks at; all shares lie between 0 and 1."""
 
     points: int
     has_normals: bool
@@ -355,51 +358,92 @@ class Character:
     noise: float
     spacing: float
     flatness: float
+    complexity: float = 0.0
+    distribution: str = "arbitrary"
+    closed: bool = False
 
 
 def analyze(cloud: DataFrame) -> Character:
-    """Counts, spacing of nearest neighbours and shape of one cloud, as aggregates over all its points."""
-    ids = cloud.select(KEY, "pid", *XYZ)
+    """Counts, spacing, relief and shape of one cloud, as aggregates over all its points; several clouds are an error.
+
+    ``complexity`` is three times the mean share of the least eigenvalue of neighbourhoods, ``distribution`` is planar (the
+    least spread below a tenth of the greatest), spherical or cylindrical (distances to the centre, to the main axis, vary by
+    less than 15 %) or arbitrary, ``closed`` tells whether points lie in all octants around the centre.
+    """
+    one_cloud(cloud)
+    ids = scratch.written(cloud.select(KEY, F.col("pid").cast("bigint").alias("pid"), *(F.col(c).cast("double").alias(c) for c in XYZ)), "ids")
     box = bounds(ids).first()
     if box is None:
         raise ValueError("the cloud is empty")
-    d = knn(ids, ids, 1, exclude_self=True).agg(F.avg("distance").alias("m"), F.stddev_pop("distance").alias("s")).first()
+    near = scratch.written(neighborhoods(ids, 10), "near")
+    d = near.groupBy("pid").agg(F.min("distance").alias("d")).agg(F.avg("d").alias("m"), F.stddev_pop("d").alias("s")).first()
     mean, deviation = d["m"] or 0.0, d["s"] or 0.0
+    own = ids.select(KEY, "pid", F.struct(*XYZ).alias("to"))
+    local = near.select(KEY, "pid", "to").unionByName(own).groupBy(KEY, "pid").agg(*(F.covar_pop(f"to.{ab[0]}", f"to.{ab[1]}").alias(c) for c, ab in COVARIANCE.items()))
+    total = F.col("e_min") + F.col("e_mid") + F.col("e_max")
+    relief = with_eigen(local).agg(F.avg(F.try_divide(F.greatest("e_min", F.lit(0.0)), total)).alias("c")).first()["c"] or 0.0
+    whole = ids.agg(*(F.avg(c).alias(c) for c in XYZ), *(F.covar_pop(*ab).alias(c) for c, ab in COVARIANCE.items())).first()
+    values, vectors = np.linalg.eigh(matrices(*(np.array([whole[c]]) for c in SYMMETRIC))[0])
+    at = [F.col(c) - float(whole[c]) for c in XYZ]
+    along = sum((a * float(v) for a, v in zip(at, vectors[:, 2])), F.lit(0.0))
+    far = F.sqrt(sum((a * a for a in at), F.lit(0.0)))
+    round_ = F.sqrt(F.greatest(sum((a * a for a in at), F.lit(0.0)) - along * along, F.lit(0.0)))
+    octant = sum((F.when(a > 0, 1 << t).otherwise(0) for t, a in enumerate(at)), F.lit(0))
+    shape = ids.agg(*(f(v).alias(f"{n}{k}") for n, v in (("far", far), ("round", round_)) for k, f in (("m", F.avg), ("s", F.stddev_pop))), F.count_distinct(octant).alias("octants")).first()
+    varies = lambda n: shape[f"{n}s"] / shape[f"{n}m"] if shape[f"{n}m"] else np.inf
+    kind = "planar" if values[0] < 0.01 * values[2] else "spherical" if varies("far") < 0.15 else "cylindrical" if varies("round") < 0.15 else "arbitrary"
     extent = sorted(box[f"max_{c}"] - box[f"min_{c}"] for c in XYZ)
     spread = deviation / mean if mean > 0 else 0.0
-    return Character(box["n"], "nx" in cloud.columns, 1 / (1 + spread), min(1.0, spread**2), mean, extent[0] / extent[2] if extent[2] > 0 else 0.0)
+    return Character(box["n"], "nx" in cloud.columns, 1 / (1 + spread), min(1.0, spread**2), mean, extent[0] / extent[2] if extent[2] > 0 else 0.0, min(1.0, 3 * relief), kind, kind != "planar" and shape["octants"] == 8)
 
 
-#: Order in which equal scores are resolved.
-ALGORITHMS = ("delaunay", "ball_pivoting", "mls", "marching_cubes", "poisson")
+@dataclass(frozen=True)
+class Trait:
+    """How an algorithm of this package behaves: its work, and what it bears (0 not at all, 1 fully)."""
+
+    seconds: float  # for a thousand points
+    growth: float  # exponent of the points in the work
+    noise: float
+    gaps: float
+    sheet: float  # a flat sheet of points
+    solid: float  # a closed body
+    needs_normals: bool = False
+
+
+#: Seconds and growth as measured on one machine (8 threads) for 500 to 4 000 points of a sphere; what is borne and served is a
+#: judgement of how the algorithms work: which of them smooth, need even spacing, project to a plane or bound a volume.
+TRAITS = {
+    "delaunay": Trait(0.4, 0.9, 0.3, 0.9, 1.0, 0.1),
+    "ball_pivoting": Trait(0.4, 0.8, 0.4, 0.3, 0.8, 0.6),
+    "mls": Trait(2.8, 0.0, 0.9, 0.5, 0.6, 0.7),
+    "marching_cubes": Trait(2.8, 0.0, 0.8, 0.5, 0.5, 0.7),
+    "poisson": Trait(6.8, 0.0, 0.9, 0.8, 0.2, 1.0, True),
+}
+ALGORITHMS = tuple(TRAITS)
+#: What a second more (as a power of ten) costs against a fault of the surface.
+HASTE = {"fast": 0.6, "balanced": 0.15, "high": 0.03, "max": 0.0}
 
 
 def choose(c: Character, quality: str = "balanced", use_case: str = "general") -> str:
-    """The algorithm with the highest score; ties follow the fixed order. Scores grow by what suits the data and the purpose."""
-    score = dict.fromkeys(ALGORITHMS, 0.5)
-    if not c.has_normals:
-        score["poisson"] = 0.0
-    gains: list[tuple[bool, dict[str, float]]] = [
-        (c.points <= 100, {"delaunay": 0.3, "mls": 0.2}),
-        (100 < c.points <= 1000, {"delaunay": 0.3, "ball_pivoting": 0.2}),
-        (1000 < c.points <= 10_000, {"ball_pivoting": 0.3, "poisson": 0.3}),
-        (c.points > 10_000, {"marching_cubes": 0.2, "poisson": 0.4}),
-        (c.uniformity > 0.7, {"ball_pivoting": 0.2, "poisson": 0.2}),
-        (c.uniformity <= 0.7, {"mls": 0.3, "delaunay": 0.2}),
-        (c.noise > 0.3, {"mls": 0.3, "delaunay": 0.1, "ball_pivoting": -0.2}),
-        (c.flatness < 0.1, {"delaunay": 0.3}),
-        (quality == "fast", {"delaunay": 0.3}),
-        (quality == "balanced", {"ball_pivoting": 0.2}),
-        (quality in ("high", "max"), {"poisson": 0.3, "mls": 0.2}),
-        (use_case == "engineering", {"delaunay": 0.2, "poisson": 0.2}),
-        (use_case == "organic", {"mls": 0.3, "poisson": 0.2}),
-        (use_case == "prototyping", {"delaunay": 0.4}),
-    ]
-    for holds, gain in gains:
-        for name, g in gain.items():
-            if holds and (name != "poisson" or c.has_normals):
-                score[name] += g
-    return max(ALGORITHMS, key=lambda n: (round(score[n], 9), -ALGORITHMS.index(n)))
+    """The algorithm of least regret: its expected faults on such points plus its time, weighed by the quality asked for.
+
+    Faults: noise and gaps beyond what it bears, and the distance between the cloud's shape, from a sheet to a closed body, and
+    those it serves. ``use_case`` doubles what matters there: ``engineering`` gaps, ``organic`` and ``noisy`` noise,
+    ``prototyping`` time. Ties go to the first in ``ALGORITHMS``.
+    """
+    if quality not in HASTE:
+        raise ValueError(f"unknown quality {quality}")
+    body = 0.0 if c.distribution == "planar" else 1.0 if c.closed or c.distribution == "spherical" else min(1.0, 2 * c.flatness)
+    noise = max(c.noise, c.complexity / 2)
+    double = lambda *cases: 2.0 if use_case in cases else 1.0
+
+    def regret(t: Trait) -> float:
+        serves = (1 - body) * t.sheet + body * t.solid
+        faults = double("organic", "noisy") * noise * (1 - t.noise) + double("engineering") * (1 - c.uniformity) * (1 - t.gaps) + (1 - serves)
+        time = np.log10(1 + t.seconds * (max(1, c.points) / 1000) ** t.growth)
+        return faults + double("prototyping") * HASTE[quality] * time
+
+    return min((n for n, t in TRAITS.items() if c.has_normals or not t.needs_normals), key=lambda n: round(regret(TRAITS[n]), 9))
 
 
 def reconstruct(cloud: DataFrame, quality: str = "balanced", use_case: str = "general", preferred: str | None = None, fallbacks: tuple[str, ...] = ("delaunay", "ball_pivoting", "mls")) -> tuple[str, DataFrame, DataFrame]:

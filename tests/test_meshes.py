@@ -212,3 +212,25 @@ def test_reconstruct_leaves_mls_its_defaults(spark, monkeypatch):
     cloud = spark.createDataFrame([("c", i, float(i % 3), float(i // 3), 0.0, 0.0, 0.0, 1.0) for i in range(9)], "cloud_id string, pid bigint, x double, y double, z double, nx double, ny double, nz double")
     assert [surfaces.reconstruct(cloud, preferred=name)[0] for name in ("mls", "marching_cubes")] == ["mls", "marching_cubes"]
     assert asked == [((), {})] * 2
+
+
+def test_the_character_of_clouds(spark):
+    rng = np.random.default_rng(3)
+    u = rng.normal(0, 1, (300, 3))
+    ball = u / np.linalg.norm(u, axis=1)[:, None]
+    tube = np.column_stack([np.cos(rng.uniform(0, 6.28, 300)), np.sin(rng.uniform(0, 6.28, 300)), rng.uniform(-4, 4, 300)])
+    tube[:, :2] /= np.linalg.norm(tube[:, :2], axis=1)[:, None]
+    flat = np.column_stack([rng.uniform(0, 1, (300, 2)), np.zeros(300)])
+    about = {}
+    for name, p in (("spherical", ball), ("cylindrical", tube), ("planar", flat), ("arbitrary", rng.uniform(0, 1, (300, 3)))):
+        about[name] = surfaces.analyze(spark.createDataFrame([(name, i, *map(float, q)) for i, q in enumerate(p)], "cloud_id string, pid bigint, x double, y double, z double"))
+        assert about[name].distribution == name
+    assert about["spherical"].closed and not about["planar"].closed
+    assert about["planar"].complexity < 1e-6 < about["spherical"].complexity < about["arbitrary"].complexity
+    assert surfaces.choose(about["planar"], "fast") in ("delaunay", "ball_pivoting")
+    two = spark.createDataFrame([("a", 0, 0.0, 0.0, 0.0), ("b", 0, 1.0, 0.0, 0.0)], "cloud_id string, pid bigint, x double, y double, z double")
+    for call in (surfaces.analyze, surfaces.poisson_grid):
+        with pytest.raises(ValueError):
+            call(two.withColumns({f"n{c}": F.lit(1.0) for c in "xyz"}))
+    with pytest.raises(ValueError):
+        surfaces.poisson_grid(two, 9)
