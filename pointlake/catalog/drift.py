@@ -16,9 +16,18 @@ def _checked(spark: SparkSession, d: str) -> DataFrame:
     return parse_split.check_lines(table(spark, d, "raw_line"), table(spark, d, "xyz_schema"), table(spark, d, "pcd_header"))
 
 
+def _typed(spark: SparkSession, d: str) -> DataFrame:
+    return parse_split.check_typed(table(spark, d, "raw_line"), table(spark, d, "pcd_header"))
+
+
+def _unified(spark: SparkSession, d: str) -> DataFrame:
+    return schema_drift.unified(_layouts(spark, d), schema_drift.value_sketches(_typed(spark, d)))
+
+
 QUERIES = {
     "p1_found": lambda s, d: schema_drift.changes(_layouts(s, d)),
-    "p1_unified": lambda s, d: schema_drift.unified(_layouts(s, d)),
+    "p1_unified": _unified,
+    "p1_table": lambda s, d: schema_drift.unified_values(_typed(s, d), _unified(s, d)),
     "p4_found": lambda s, d: parse_split.failed(_checked(s, d)),
     "p4_points": lambda s, d: parse_split.points(_checked(s, d), typed=True),
 }

@@ -138,3 +138,43 @@ def test_p4_points_holds_every_value(spark, tmp_path):
     assert (got[1].x, got[1].y, got[1].z, got[1].red) == (1.0, None, 4.0, None)
     assert np.isnan(held["f"].pop()[2]) and held == {"x": [("F4", None, 2.0, None)], "py": [("F8", None, 3.0, None)], "red": [("F4", None, 0.5, None)], "tag": [("U1", 7, None, None)], "echo": [("U8", 2**64 - 1, None, None)], "f": [("F4", None, -1.0, None)]}
     assert got[2].label == "a" and {k: [v.text for v in vs] for k, vs in got[2].more.items()} == {"note": ["b"]}
+
+
+def test_a_column_put_in_front_does_not_tear_a_rename_apart(spark):
+    one = [("a", 7, 0, 1), ("intensity", 7, 4, 1), ("stamp", 8, 8, 1)]
+    two = [("new", 2, 0, 1), ("a", 7, 1, 1), ("intensty", 7, 5, 1), ("stamp", 8, 9, 1)]
+    f = fields(spark, [(1, datetime(2025, 1, 1), one), (2, datetime(2025, 1, 2), two)])
+    got = {(r.file_id, r.field_name): r.column_name for r in schema_drift.unified(f).collect()}
+    assert got == {(1, "a"): "a", (1, "intensity"): "intensity", (1, "stamp"): "stamp", (2, "new"): "new", (2, "a"): "a", (2, "intensty"): "intensity", (2, "stamp"): "stamp"}
+
+
+def test_renames_are_one_to_one_and_need_likeness(spark):
+    f = fields(spark, [(1, datetime(2025, 1, 1), [("a", 7, 0, 1)]), (2, datetime(2025, 1, 2), [("b", 7, 0, 1), ("c", 7, 0, 1), ("ring", 4, 4, 1)])])
+    names = [r.column_name for r in schema_drift.unified(f).where("file_id = 2").collect()]
+    assert sorted(names) in (["a", "b", "ring"], ["a", "c", "ring"])
+    assert schema_drift.match_columns([{"name": "label", "kind": "U1", "elem_count": 1, "byte_offset": 0}], [{"name": "temperature", "kind": "F8", "elem_count": 1, "byte_offset": 9}]) == []
+
+
+def test_values_tell_columns_apart_that_names_do_not(spark):
+    column = lambda n, at, q: {"name": n, "kind": "F4", "elem_count": 1, "byte_offset": at, "sketch": {"quantiles": q, "missing": 0.0}}
+    small, large = [0.1 * i for i in range(8)], [1e4 + i for i in range(8)]
+    old = [column("q1", 0, small), column("q2", 4, large)]
+    assert schema_drift.match_columns(old, [column("v_b", 12, small), column("v_a", 8, large)]) == [("q1", "v_b"), ("q2", "v_a")]
+
+
+def test_types_are_widened_over_the_files_of_a_stream(spark):
+    cases = {"u1 i1": (["2", "1"], "I2"), "i u4": (["1", "U4"], "I8"), "u8 i": (["U8", "I1"], "D20"), "f": (["7", "8"], "F8"), "i f": (["5", "7"], "F8"), "i8 f": (["I8", "F4"], "text"), "odd": (["F4", "what"], "text"), "one": (["what"], "what"), "u": (["2", "4"], "U2"), "null": ([None], "text")}
+    rows = [(c, k, 1 + n) for c, (ks, _) in cases.items() for n, k in enumerate(ks)]
+    df = spark.createDataFrame(rows, "c string, kind string, n bigint")
+    got = {r.c: (r.column_kind, r.column_count) for r in df.groupBy("c").agg(*schema_drift.widest(df["kind"], df["n"])).collect()}
+    assert got == {c: (k, len(ks)) for c, (ks, k) in cases.items()}
+
+
+def test_lines_of_all_files_in_one_table(spark):
+    h = spark.createDataFrame([(1, 7, datetime(2025, 1, 1), "x value", "4 4", "F F", "1 1", "ascii"), (2, 7, datetime(2025, 1, 2), "x values", "4 8", "F F", "1 2", "ascii")], "file_id bigint, stream_id bigint, written_at timestamp, fields string, sizes string, types string, counts string, data_format string")
+    raw = spark.createDataFrame([(1, 1, "1 2"), (1, 1, "1 2"), (1, 2, "1"), (2, 1, "3 2.5 nan")], "file_id bigint, line_no int, line string")
+    checked = parse_split.check_typed(raw, h)
+    columns = schema_drift.unified(schema_drift.layout_of_headers(h), schema_drift.value_sketches(checked))
+    got = {(r.file_id, r.line_no, r.column_name, r.element, r.column_kind, str(r.number), r.text) for r in schema_drift.unified_values(checked, columns).collect()}
+    assert got == {(1, 1, "x", 0, "F4", "1.0", "1"), (1, 1, "value", 0, "F8", "2.0", "2"), (2, 1, "x", 0, "F4", "3.0", "3"), (2, 1, "value", 0, "F8", "2.5", "2.5"), (2, 1, "value", 1, "F8", "nan", "nan")}
+    assert schema_drift.unified_values(checked.limit(0), columns).count() == 0
