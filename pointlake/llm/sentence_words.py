@@ -2,7 +2,7 @@
 
 # Abbreviations that a sentence does not end with: titles, and words that need what follows them.
 NEVER_LAST = {
-    "en": "mr mrs ms messrs dr prof st rev hon gen col capt lt sgt maj gov sen rep pres supt mt ft approx esp incl excl vs cf viz e.g i.e eg ie temp ed eds trans max min avg dept est ca resp cp",
+    "en": "wash calif mass mr mrs ms messrs dr prof st rev hon gen col capt lt sgt maj gov sen rep pres supt mt ft approx esp incl excl vs cf viz e.g i.e eg ie temp ed eds trans max min avg dept est ca resp cp",
     "de": "hr fr frl dr prof dipl ing st ca bzw vgl inkl exkl zzgl lt max min evtl ggf z.b d.h z.hd u.u i.d.r o.g s.o s.u fa sog str geb verh abs hd resp bes tel gem einschl",
     "fr": "m mm mme mmes mlle mlles dr pr me mgr st ste env max min cf c.-à-d p.ex ex av bd boul tél réf resp",
     "es": "sr sra srta sres dr dra d dña prof profa ing lic arq gral aprox máx mín max min cf p.ej ej av avda c tel ref vs núm s.a.r",
@@ -14,7 +14,7 @@ NEVER_LAST = {
 }
 # Abbreviations before a number.
 BEFORE_NUMBER = {
-    "en": "no nos nr ver mk p pp fig figs vol vols ch sec art par eq tab pt op jan feb mar apr jun jul aug sep sept oct nov dec",
+    "en": "no nos nr ver mk p pp sect sects para paras eqn app ed fig figs vol vols ch sec art par eq tab pt op jan feb mar apr jun jul aug sep sept oct nov dec",
     "de": "nr s bd kap abb tab z jan feb mär apr jun jul aug sep sept okt nov dez",
     "fr": "n no p pp fig vol chap art janv févr avr juil sept oct nov déc",
     "es": "n núm pág págs p pp fig vol cap art ene feb mar abr jun jul ago sep sept oct nov dic",
@@ -46,14 +46,14 @@ TIED = {
     "hi": "का की के को में से पर और या जो कि यह वह",
     "ar": "في من على إلى عن مع هذا هذه و أو",
 }
-# Words that open sentences, for texts whose letter case tells nothing.
+# Function words that open sentences, for texts whose letter case tells nothing; the corpus adds its own.
 OPENS = {
-    "en": "the a an i it he she we you they this that these those my our his her their your there here what who when where why how if even every everyone everybody nobody somebody two three after before since at on in for would could should did does do is are was were don't not never all some no one bought setup total parts see rating firmware delivery best well dr mrs mr temp highly as use mail and but so over during within while because although however then now",
-    "de": "der die das ein eine einer ich er sie es wir ihr man mein meine unser unsere dieser diese dieses auch am im in nach seit für vor bei mit ohne auf warum wie was wer wo wann würde endlich schrauben zwei drei alles selbst herr frau preis gewicht max klare naja so",
-    "fr": "le la les l' un une des je j'ai il elle on nous vous ils elles ce cette ces mon ma mes notre même pourquoi comment quand où qui peut-on toute tout depuis pendant après avant dans cet livraison m mme bof si",
-    "es": "el la los las un una yo lo mi mis nuestro nuestra su este esta esto ni hasta ya no con cuando donde por para desde durante después antes en me se llegó cabe pesa vive faltaban pagué trae pague llego",
-    "ru": "я он она мы вы они это этот эта здесь там наш наша даже уже всем после до с в на через почему как кто когда где купил никто доставили помещается вес версия зазор деньги не зимой заплатил проф г-н винты ну",
-    "el": "ο η το οι τα ένας μια εγώ αυτός αυτή αυτό θα δεν γιατί πώς πού πότε ήρθε ζυγίζει βίδες",
+    "en": "the a an i it he she we you they this that these those my our his her their your there here what who when where why how if even every everyone everybody nobody somebody two three after before since at on in for would could should did does do is are was were don't not never all some no one dr mrs mr as use and but so over during within while because although however then now",
+    "de": "der die das ein eine einer ich er sie es wir ihr man mein meine unser unsere dieser diese dieses auch am im in nach seit für vor bei mit ohne auf warum wie was wer wo wann würde zwei drei alles selbst herr frau naja so",
+    "fr": "le la les l' un une des je j'ai il elle on nous vous ils elles ce cette ces mon ma mes notre même pourquoi comment quand où qui peut-on toute tout depuis pendant après avant dans cet m mme si",
+    "es": "el la los las un una yo lo mi mis nuestro nuestra su este esta esto ni hasta ya no con cuando donde por para desde durante después antes en me se",
+    "ru": "я он она мы вы они это этот эта здесь там наш наша даже уже всем после до с в на через почему как кто когда где никто не проф г-н ну",
+    "el": "ο η το οι τα ένας μια εγώ αυτός αυτή αυτό θα δεν γιατί πώς πού πότε",
 }
 # Words that carry a sentence on after speech or a pause.
 CARRIES_ON = "and or but nor then und oder aber denn sondern dann et ou mais puis donc car y e o u pero luego и а но или да потом затем και ή αλλά μετά ثم و أو لكن और या लेकिन फिर तो ที่ และ หรือ แต่ เพราะ ก็ ซึ่ง literally casi"
@@ -63,6 +63,11 @@ SAYS = "said asked says asks replied answered shouted whispered sighed laughed c
 THAI_FINAL = "ครับ ค่ะ คะ ครับผม นะครับ นะคะ นะค่ะ จ้ะ จ้า จ๊ะ ฮะ ฮ่ะ ขอรับ เจ้าค่ะ"
 # Thai words beside them, for the word lattice.
 THAI_WORDS = "และ หรือ แต่ เพราะ ก็ ว่า ที่ ซึ่ง โดย กับ ของ ใน จาก ถ้า เมื่อ เลย แล้ว ไป มา มาก ดี อยู่ ยัง ไม่ มี ใช้ ได้ ให้ เป็น จะ ซื้อ อีก แน่นอน บอก คน ทำไม ใคร อะไร เร็ว ส่ง ปัญหา ราคา บาท วัน สัปดาห์ เดือน ปี นะ น่ะ สิ ซิ ละ ล่ะ หรอก จริง ตาม"
+# Thai: words that open a statement, and words that close one without a particle.
+THAI_OPENS = "ผม ฉัน ดิฉัน เรา เขา เธอ มัน พวกเขา นี่ นั่น วันนี้ เมื่อวาน ตอนนี้ แต่ว่า อย่างไรก็ตาม ดังนั้น นอกจากนี้"
+THAI_CLOSES = "แล้ว เลย มาก ด้วย จริงๆ อีกครั้ง ทันที เท่านั้น นะ"
+# Chinese and Japanese: words that open a sentence.
+CJK_OPENS = "我 我们 你 你们 他 她 它 他们 这 这个 那 那个 但是 不过 所以 而且 另外 如果 虽然 今天 昨天 总之 私 彼 彼女 これ それ あれ この その でも しかし だから ただ また さらに もし 今日 昨日"
 # Chinese and Japanese: words before a pause that cannot end a sentence.
 CJK_BEFORE = "以后 之后 以前 之前 的时候 如果 因为 虽然 但是 而且 可是 于是 然后 和 与 的 把 被 在 是 对 从 到 たら なら れば ので から けど けれど が し て で と は を に へ も の たり ながら"
 # Chinese and Japanese: words that end sentences.

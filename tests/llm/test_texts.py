@@ -167,3 +167,35 @@ def test_sentence_table(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as start_pos")
     got = sentences.sentences(df).groupBy("doc_id").count().collect()
     assert {r.doc_id: r["count"] for r in got} == {1: 2, 5: 5001}
+
+
+@pytest.mark.parametrize(
+    "text,pieces",
+    [
+        ("ဒီပစ္စည်းကောင်းတယ်။ ဈေးလည်းသက်သာတယ်။", ["ဒီပစ္စည်းကောင်းတယ်။", "ဈေးလည်းသက်သာတယ်။"]),
+        ("ይህ ጥሩ ነው። በጣም እወደዋለሁ።", ["ይህ ጥሩ ነው።", "በጣም እወደዋለሁ።"]),
+        ("Սա լավ է։ Ես գոհ եմ։", ["Սա լավ է։", "Ես գոհ եմ։"]),
+        ("See Sect. 4 for details. It works.", ["See Sect. 4 for details.", "It works."]),
+        ("东西很好了 我很喜欢", ["东西很好了", "我很喜欢"]),
+        ("黑色 手机", ["黑色 手机"]),
+        ("これはとても良いです でも高い", ["これはとても良いです", "でも高い"]),
+        ("ส่งเร็วมากเลย ผมชอบ", ["ส่งเร็วมากเลย", "ผมชอบ"]),
+        ('She said "' + "word " * 200 + 'and left. Then more." and went home. Next one.', None),
+    ],
+)
+def test_scripts_and_long_speech(text, pieces):
+    got = [text[a:b] for a, b in sentences.split(text)]
+    assert got == pieces if pieces else len(got) == 2 and got[1] == "Next one."
+
+
+def test_the_lattice_takes_the_division_of_most_evidence(monkeypatch):
+    texts = ["He came at 9 p.m. last night, tired... and slept. Dr. Ray vs. Mr. Poe, no. 4! ok. fine", "a.m. or p.m. the shop is open. see fig. 3. etc. and so on.", "В 2019 г. он стоил 17 руб. 50 коп. за штуку. Да... нет."]
+    narrow = [sentences.split(t) for t in texts]
+    monkeypatch.setattr(sentences, "MARGIN", 1e9)  # every path is followed to the end
+    assert narrow == [sentences.split(t) for t in texts]
+
+
+def test_opening_words_are_counted_in_the_corpus(spark):
+    df = spark.createDataFrame([(i, "Zorble is new. Zorble works. The end.", ) for i in range(20)], "doc_id bigint, text string")
+    assert {"zorble", "the"} - sentences.opening_words(df, "text") == set()
+    assert sentences.opening_words(df.limit(0), "text") == frozenset()
