@@ -49,6 +49,18 @@ def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFram
     return out
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A file at a path in the shared folder, by the file system that the path's address names."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(sc._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        for at in range(0, len(data), 1 << 22):
+            out.write(bytearray(data[at : at + (1 << 22)]))
+    finally:
+        out.close()
+
+
 def is_written(df: DataFrame) -> bool:
     """Whether a table is one that :func:`written` gave back."""
     return hasattr(df, "_pointlake_path")
