@@ -41,7 +41,7 @@ def _by_place(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Members and clusters of the positions by k-means within each cloud, k a quarter of the root of the cloud's rows."""
     from pointlake.llm.clusters import similarity_clusters
 
-    cloud = table(spark, d, "cloud_normal").where("abs(x) < 1e9 AND abs(y) < 1e9 AND abs(z) < 1e9")
+    cloud = table(spark, d, "cloud_normal").where(" AND ".join(f"abs({c}) < double('infinity')" for c in "xyz"))
     return similarity_clusters(cloud, ["cloud_id", "pid"], {"x": 1.0, "y": 1.0, "z": 1.0}, k=lambda n: math.ceil(math.sqrt(n) / 4), dims=6, within="cloud_id")
 
 

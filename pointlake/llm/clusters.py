@@ -25,9 +25,9 @@ DISTANCES = 4_000_000
 
 
 def hashed_features(df: DataFrame, numbers: dict[str, float], names: dict[str, float], dims: int = 16) -> Column:
-    """ARRAY<FLOAT> of ``dims`` slots: weighted numeric columns at hashed slots of their own, weighted values at hashed slots.
+    """ARRAY<DOUBLE> of ``dims`` slots: weighted numeric columns at hashed slots of their own, weighted values at hashed slots.
 
-    A numeric column adds value x weight to its slot (null and NaN add nothing), a value of another column adds its weight,
+    A numeric column adds value x weight to its slot (null and NaN add nothing, what lies beyond 1e100 counts as that), a value of another column adds its weight,
     with a hashed sign, to one of the slots left. More numeric columns than half the slots are an error.
     """
     if len(numbers) > dims // 2:
@@ -38,7 +38,7 @@ def hashed_features(df: DataFrame, numbers: dict[str, float], names: dict[str, f
         while slot in slots:
             slot = (slot + 1) % dims
         v = F.col(f"`{c}`").cast("double")
-        slots[slot] = F.when(F.abs(v) < 1e30, v * w).otherwise(0.0)
+        slots[slot] = F.when(~F.isnan(v), F.greatest(F.least(v, F.lit(1e100)), F.lit(-1e100)) * w).otherwise(0.0)
     free = [i for i in range(dims) if i not in slots]
     added: dict[int, list[Column]] = {}
     for c, w in names.items():
@@ -47,7 +47,7 @@ def hashed_features(df: DataFrame, numbers: dict[str, float], names: dict[str, f
         for i, slot in enumerate(free):
             added.setdefault(slot, []).append(F.when(F.col(f"`{c}`").isNotNull() & (at == i), sign).otherwise(0.0))
     value = lambda i: slots[i] if i in slots else sum(added.get(i, []), F.lit(0.0))
-    return F.array(*(value(i).cast("float") for i in range(dims)))
+    return F.array(*(value(i).cast("double") for i in range(dims)))
 
 
 def _vectors(batch: pa.RecordBatch, dims: int) -> np.ndarray:
@@ -100,11 +100,12 @@ def _assigned(batch: pa.RecordBatch, centres: dict[str, np.ndarray], dims: int)
     return which, d2
 
 
-def kmeans(vectors: DataFrame, k: int | Callable[[int], int], keys: list[str], dims: int, rounds: int = 3, iterations: int = 4, oversampling: float = 1.0, seed: int = 7) -> dict[str, np.ndarray]:
-    """By group, the centres (at most k, ``dims``) of ``vectors (*keys, g_ STRING, f ARRAY<FLOAT>)``; fewer where there are fewer different vectors.
+def kmeans(vectors: DataFrame, k: int | Callable[[int], int], keys: list[str], dims: int, rounds: int = 3, iterations: int = 12, oversampling: float = 1.0, tolerance: float = 0.01, seed: int = 7) -> dict[str, np.ndarray]:
+    """By group, the centres (at most k, ``dims``) of ``vectors (*keys, g_ STRING, f ARRAY<DOUBLE>)``; fewer where there are fewer different vectors.
 
     ``k`` is a number for every group or a function of a group's rows. Sampling is by a hash of the keys, so a run over the same
-    records gives the same centres. An empty table gives none.
+    records gives the same centres. Lloyd rounds, at most ``iterations``, end when one lowers the sum of squared distances of all
+    records by less than the share ``tolerance``. An empty table gives none.
     """
     if isinstance(k, int) and k < 1 or rounds < 1 or iterations < 0:
         raise ValueError("k and rounds must be positive")
@@ -142,7 +143,7 @@ def kmeans(vectors: DataFrame, k: int | Callable[[int], int], keys: list[str], d
             return pa.RecordBatch.from_arrays([*own.columns, pa.array(rings[first]), pa.array([most[g] for g in own.column("g_").to_pylist()], pa.int64())], names=["g_", "f", "rings", "most"])
 
         # oversampling x k rows a group and round, whatever the number of records
-        rung = pass_over(["f", draw(turn)], pick, "g_ string, f array<float>, rings double, most bigint", centres)
+        rung = pass_over(["f", draw(turn)], pick, "g_ string, f array<double>, rings double, most bigint", centres)
         place = F.row_number().over(Window.partitionBy("g_").orderBy("rings"))
         more = rung.withColumn("i_", place).where(F.col("i_") <= F.col("most")).select("g_", "f").toArrow()
         if not more.num_rows:
@@ -154,45 +155,49 @@ def kmeans(vectors: DataFrame, k: int | Callable[[int], int], keys: list[str], d
 
     def sums(batch: pa.RecordBatch, c: dict[str, np.ndarray]) -> pa.RecordBatch:
         f = _vectors(batch, dims)
-        which = _assigned(batch, c, dims)[0]
-        names, centre, n, total = [], [], [], []
+        which, d2 = _assigned(batch, c, dims)
+        names, centre, n, total, cost = [], [], [], [], []
         for g, at in _groups(batch):
             seen, inverse = np.unique(which[at], return_inverse=True)
             names += [g] * len(seen)
             centre.append(seen)
             n.append(np.bincount(inverse))
+            cost.append(np.bincount(inverse, d2[at]))
             total.append(np.column_stack([np.bincount(inverse, f[at, i]) for i in range(dims)]))
         whole = np.concatenate(total)
-        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate(centre)), pa.array(np.concatenate(n).astype(np.int64)), *(pa.array(whole[:, i]) for i in range(dims))], names=["g_", "c", "n", *(f"s{i}" for i in range(dims))])
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate(centre)), pa.array(np.concatenate(n).astype(np.int64)), pa.array(np.concatenate(cost)), *(pa.array(whole[:, i]) for i in range(dims))], names=["g_", "c", "n", "d2", *(f"s{i}" for i in range(dims))])
 
-    schema = "g_ string, c bigint, n bigint, " + ", ".join(f"s{i} double" for i in range(dims))
+    schema = "g_ string, c bigint, n bigint, d2 double, " + ", ".join(f"s{i} double" for i in range(dims))
 
-    def totals(held: dict[str, np.ndarray]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-        rows = pass_over(["f"], sums, schema, held).groupBy("g_", "c").agg(F.sum("n").alias("n"), *(F.sum(f"s{i}").alias(f"s{i}") for i in range(dims))).toArrow()
-        out = {g: (np.zeros(len(c)), np.zeros((len(c), dims))) for g, c in held.items()}
+    def totals(held: dict[str, np.ndarray]) -> tuple[dict[str, tuple[np.ndarray, np.ndarray]], float]:
+        rows = pass_over(["f"], sums, schema, held).groupBy("g_", "c").agg(F.sum("n").alias("n"), F.sum("d2").alias("d2"), *(F.sum(f"s{i}").alias(f"s{i}") for i in range(dims))).toArrow()
+        out, cost = {g: (np.zeros(len(c)), np.zeros((len(c), dims))) for g, c in held.items()}, 0.0
         for part in rows.combine_chunks().to_batches():
             c, n = part.column("c").to_numpy(), part.column("n").to_numpy()
+            cost += float(part.column("d2").to_numpy().sum())
             s = np.column_stack([part.column(f"s{i}").to_numpy() for i in range(dims)])
             for g, at in _groups(part):
                 out[g][0][c[at]], out[g][1][c[at]] = n[at], s[at]
-        return out
+        return out, cost
 
-    weights = totals(centres)
+    weights, _ = totals(centres)
     centres = {g: _seed(c, np.maximum(weights[g][0], 1e-9), wanted[g], rng) for g, c in centres.items()}
+    last = np.inf
     for _ in range(iterations):
-        before = centres
-        centres = {g: np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], before[g]) for g, (n, s) in totals(before).items()}
-        if max(np.abs(centres[g] - c).max() for g, c in before.items()) < 1e-6:
+        sums_, cost = totals(centres)
+        if cost >= last * (1 - tolerance):
             break
+        last = cost
+        centres = {g: np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], centres[g]) for g, (n, s) in sums_.items()}
     return {g: c[np.lexsort(c.T[::-1])] for g, c in centres.items()}
 
 
 def similarity_clusters(records: DataFrame, keys: list[str], numbers: dict[str, float], names: dict[str, float] | None = None, k: int | Callable[[int], int] = 256, typical: int = 3, dims: int = 16, within: str | None = None, **options) -> tuple[DataFrame, DataFrame]:
-    """Members ``(*keys, cluster, distance)`` and clusters ``(cluster, size, typical)`` of records with unique ``keys``.
+    """Members ``(*keys, cluster, distance)`` and clusters ``(cluster, size, spread, typical)`` of records with unique ``keys``.
 
     ``within`` names one of the keys, a string, whose values never share a cluster: each has its own centres, ``k`` of them (or
     as many as the function ``k`` makes of its rows), numbered from 0, and the clusters begin with that column.
-    ``typical`` lists the members nearest the centre, ties by key, as structs of the keys and the distance. Rows delivered
+    ``spread`` is the root mean square of the members' distances, ``typical`` lists the members nearest the centre, ties by key, as structs of the keys and the distance. Rows delivered
     twice count once, rows with a null key do not take part, null features add nothing; an empty table gives empty tables.
     Members nearest a centre are kept per batch before anything is shuffled, so no cluster meets in one task.
     """
@@ -215,7 +220,7 @@ def similarity_clusters(records: DataFrame, keys: list[str], numbers: dict[str,
     by = [*([within] if within else []), "cluster"]
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The members of a batch nearest their centre; the first of a cluster carries the count of all in the batch."""
+        """The members of a batch nearest their centre; the first of a cluster carries count and squares of all in the batch."""
         for batch in assign(batches):
             order = pa.compute.sort_indices(batch, sort_keys=[*((c, "ascending") for c in by), ("distance", "ascending"), *((c, "ascending") for c in keys)])
             batch = batch.take(order)
@@ -224,12 +229,13 @@ def similarity_clusters(records: DataFrame, keys: list[str], numbers: dict[str,
             first = np.flatnonzero(new)
             size = np.diff(np.r_[first, batch.num_rows])
             place = np.arange(batch.num_rows) - np.repeat(first, size)
-            n = np.zeros(batch.num_rows, dtype=np.int64)
+            n, d2 = np.zeros(batch.num_rows, dtype=np.int64), np.zeros(batch.num_rows)
             n[first] = size
-            yield batch.append_column("n", pa.array(n)).filter(pa.array(place < typical))
+            d2[first] = np.add.reduceat(batch.column("distance").to_numpy() ** 2, first)
+            yield batch.append_column("n", pa.array(n)).append_column("d2", pa.array(d2)).filter(pa.array(place < typical))
 
-    near = scratch.written(vectors.mapInArrow(nearest, f"{kinds}, cluster int, distance double, n bigint"), "near")
-    sizes = near.groupBy(*by).agg(F.sum("n").alias("size"))
+    near = scratch.written(vectors.mapInArrow(nearest, f"{kinds}, cluster int, distance double, n bigint, d2 double"), "near")
+    sizes = near.groupBy(*by).agg(F.sum("n").alias("size"), F.sqrt(F.sum("d2") / F.sum("n")).alias("spread"))
     order = Window.partitionBy(*by).orderBy("distance", *keys)
     best = near.withColumn("i_", F.row_number().over(order)).where(F.col("i_") <= typical)
     listed = best.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("distance", *keys))).alias("typical"))

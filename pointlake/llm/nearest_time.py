@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-END = 2**62
+LONG = 2**63 - 1
 
 
 def topic_key(topic: Column) -> Column:
@@ -28,7 +28,9 @@ def nearest_in_time(left: DataFrame, right: DataFrame, left_id: str, right_id: s
 
     At equal difference the earlier right row is taken, of right rows at one time that with the smallest id. A right row may
     serve several left rows. Rows with a null key or time do not take part; rows delivered twice count once. Times are whole
-    numbers; those beyond 2^62 in size are no times and do not take part. Empty tables give an empty result; other columns are not looked at.
+    numbers of 64 bits; those within two spans of the ends of that range are no times and do not take part. Where a left id comes
+    with several times or keys, the match of least difference is taken. Empty tables give an empty result; other columns are
+    not looked at.
 
     Neighbours of right rows are found by windows over (key, span of ``span`` tolerances) to which rows within two tolerances
     of its ends are copied, so that a key with any share of the rows is split by time; before that, rows of one key and time
@@ -41,7 +43,7 @@ def nearest_in_time(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     width = max(1, 2 * tolerance)
     chunk = max(1, tolerance) * span
     t = F.col("t")
-    usable = F.col("k").isNotNull() & t.between(-END, END)
+    usable = F.col("k").isNotNull() & t.between(-LONG + 2 * chunk, LONG - 2 * chunk)
     once = right.select(right_key.alias("k"), F.col(time).cast("bigint").alias("t"), F.col(right_id).alias("r")).where(usable).groupBy("k", "t").agg(F.min("r").alias("r"))
     home = t - F.pmod(t, F.lit(chunk))
     low_copy = F.when(t - home <= 2 * tolerance, home - chunk)
@@ -53,8 +55,9 @@ def nearest_in_time(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     half = lambda gap: F.shiftright(gap, 1)
     low = F.greatest(F.col("before") + half(gap_before) + 1, t - tolerance)
     high = F.least(t + half(gap_after), t + tolerance)
-    spans = beside.select("k", "r", low.alias("low"), high.alias("high"))
-    filed = spans.select("k", "r", "low", "high", F.explode(F.sequence(_bucket(F.col("low"), width), _bucket(F.col("high"), width))).alias("b"))
+    spans = beside.select("k", "r", t.alias("rt"), low.alias("low"), high.alias("high"))
+    filed = spans.select("k", "r", "rt", "low", "high", F.explode(F.sequence(_bucket(F.col("low"), width), _bucket(F.col("high"), width))).alias("b"))
     asked = left.select(left_key.alias("k"), F.col(time).cast("bigint").alias("t"), F.col(left_id).alias("l")).where(usable).withColumn("b", _bucket(t, width))
     hits = asked.join(filed, ["k", "b"]).where("t BETWEEN low AND high")
-    return hits.select(F.col("l").alias(left_id), F.col("r").alias(right_id)).dropDuplicates([left_id])
+    best = hits.groupBy("l").agg(F.min(F.struct(F.abs(t - F.col("rt")).alias("gap"), "rt", "r")).alias("m"))
+    return best.select(F.col("l").alias(left_id), F.col("m.r").alias(right_id))

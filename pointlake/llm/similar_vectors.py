@@ -5,8 +5,10 @@ of vectors. Every vector is filed once per table; a query goes to its own bucket
 estimated success, the squared distance to the slot borders that a perturbation crosses. Buckets are compared exactly, and the
 best of all probes and tables are merged and ranked by exact distance.
 
-Directions of a table are orthonormal, so a bucket not visited is at least its border distance away: with 2^hashes probes all
-neighbours nearer than half a slot are found.
+Two liberties are taken with the scheme. The Gaussian directions of a table are made orthonormal, so a bucket not visited is at
+least its border distance away, and with 2^hashes probes all neighbours nearer than half a slot are found; of ``DRAWS`` such draws
+the one along which the vectors spread most is kept. And slots have no random offset. Hash functions are so no longer
+independent of the data; recall is measured and not derived.
 """
 
 from __future__ import annotations
@@ -58,6 +60,8 @@ def _search(groups: list[str], dims: int, k: int, key: str, self_match: bool):
         head = np.stack([name_of, *(whole[g].to_numpy() for g in groups)])
         ids = whole["id"].to_numpy()
         vectors = np.column_stack([whole[c].to_numpy() for c in columns])
+        if np.abs(vectors).max() > 1e150:  # squares of these need a wider exponent
+            vectors = vectors.astype(np.longdouble)
         rank = np.lexsort((ids, asked, *head[::-1]))
         head, ids, vectors, asked = head[:, rank], ids[rank], vectors[rank], asked[rank]
         cut = np.nonzero((head[:, 1:] != head[:, :-1]).any(axis=0))[0] + 1
@@ -73,7 +77,7 @@ def _search(groups: list[str], dims: int, k: int, key: str, self_match: bool):
             step = max(1, DISTANCES // len(own))
             for s in range(0, len(queries), step):
                 q, who = queries[s : s + step], theirs[s : s + step]
-                d = np.zeros((len(q), len(own)))
+                d = np.zeros((len(q), len(own)), dtype=vectors.dtype)
                 for j in range(dims):
                     d += (q[:, j, None] - own[None, :, j]) ** 2
                 if not self_match:
@@ -90,7 +94,10 @@ def _search(groups: list[str], dims: int, k: int, key: str, self_match: bool):
                 found.append((np.full(kept.sum(), head[0, a]), who[row[kept]], mine[col[kept]], dist[kept]))
         if found:
             code, q, n, d = (np.concatenate(x) for x in zip(*found))
-            yield pa.RecordBatch.from_arrays([pa.array(names[code], whole.schema.field(key).type), pa.array(q), pa.array(n), pa.array(d)], names=[key, "id", "neighbour", "squared"])
+            far = np.sqrt(d).astype(float)
+            with np.errstate(over="ignore"):
+                d = d.astype(float)
+            yield pa.RecordBatch.from_arrays([pa.array(names[code], whole.schema.field(key).type), pa.array(q), pa.array(n), pa.array(d), pa.array(far)], names=[key, "id", "neighbour", "squared", "distance"])
 
     return search
 
@@ -114,16 +121,19 @@ def nearest_vectors(base: DataFrame, queries: DataFrame, vector: list[str], k: i
     dims = len(vector)
     v = [F.col(f"v{i}") for i in range(dims)]
     parts = [F.col(f"`{c}`").cast("double").alias(f"v{i}") for i, c in enumerate(vector)]
-    usable = reduce(lambda a, b: a & b, (F.abs(c) < 1e150 for c in v)) & F.col(key).isNotNull() & F.col("id").isNotNull()
+    usable = reduce(lambda a, b: a & b, (F.abs(c) < float("inf") for c in v)) & F.col(key).isNotNull() & F.col("id").isNotNull()
     tidy = lambda df: df.select(key, F.col(row_id).cast("bigint").alias("id"), *parts).where(usable)
     members, asked = tidy(base), tidy(queries)
 
     pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
     moments = scratch.written(members.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *(F.covar_pop(v[i], v[j]).alias(f"c{i}_{j}") for i, j in pairs)), "moments")
-    pooled = moments.agg(*(F.avg(F.col(f"c{i}_{j}")).alias(f"c{i}_{j}") for i, j in pairs)).first()
+    pooled = moments.agg(F.sum("n").alias("n"), *(F.avg(F.col(f"c{i}_{j}")).alias(f"c{i}_{j}") for i, j in pairs)).first()
+    total = pooled["n"] or 0
     covariance = np.zeros((dims, dims))
     for i, j in pairs:
         covariance[i, j] = covariance[j, i] = pooled[f"c{i}_{j}"] or 0.0
+    if not np.isfinite(covariance).all() or np.abs(covariance).max(initial=0) > 1e200:
+        covariance = np.eye(dims)  # some key's spread has no measure: any directions do
     directions = _directions(covariance, tables, hashes, seed)
     slots = F.pow(F.col("n") / bucket_rows, F.lit(1.0 / hashes))
     widths = []
@@ -131,7 +141,7 @@ def nearest_vectors(base: DataFrame, queries: DataFrame, vector: list[str], k: i
         a = directions[t, h]
         variance = reduce(add, (F.lit(float(a[i] * a[j] * (1 if i == j else 2))) * F.col(f"c{i}_{j}") for i, j in pairs))
         # four standard deviations hold nearly all of a key; a spread of nothing, or less than two slots, is one slot
-        widths.append(F.when((slots >= 1.5) & (variance > 0), 4 * F.sqrt(variance) / slots).alias(f"w{t}_{h}"))
+        widths.append(F.when((slots >= 1.5) & (variance > 0) & (variance < 1e300), 4 * F.sqrt(variance) / slots).alias(f"w{t}_{h}"))
     fitted = moments.select(key, *widths)
 
     place = lambda t, h: _dot(directions[t, h], v) / F.col(f"w{t}_{h}")
@@ -163,11 +173,11 @@ def nearest_vectors(base: DataFrame, queries: DataFrame, vector: list[str], k: i
         filed = filed.join(hot, where, "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int"), F.lit(0))).drop("pieces")
         sent = sent.join(hot, where, "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("pieces") - 1, F.lit(0))))).drop("pieces")
     both = filed.withColumn("asked", F.lit(False)).unionByName(sent.withColumn("asked", F.lit(True)))
-    tasks = max(spark.sparkContext.defaultParallelism, -(-base.count() * tables // TASK_ROWS))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total * tables // TASK_ROWS))
     groups = [*head, "piece"]
     kind = base.schema[key].dataType.simpleString()
-    near = both.repartition(tasks, key, *groups).mapInArrow(_search(groups, dims, k, key, False), f"`{key}` {kind}, id bigint, neighbour bigint, squared double")
-    merged = near.groupBy(key, "id", "neighbour").agg(F.min("squared").alias("squared"))
-    rank = F.row_number().over(Window.partitionBy(key, "id").orderBy("squared", "neighbour"))
+    near = both.repartition(tasks, key, *groups).mapInArrow(_search(groups, dims, k, key, False), f"`{key}` {kind}, id bigint, neighbour bigint, squared double, distance double")
+    merged = near.groupBy(key, "id", "neighbour").agg(F.min("squared").alias("squared"), F.min("distance").alias("distance"))
+    rank = F.row_number().over(Window.partitionBy(key, "id").orderBy("squared", "distance", "neighbour"))
     best = merged.withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.select(key, F.col("id").alias(row_id), "neighbour", F.sqrt("squared").alias("distance"), "rank")
+    return best.select(key, F.col("id").alias(row_id), "neighbour", "distance", "rank")

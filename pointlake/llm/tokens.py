@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-import os
-import tempfile
 from collections.abc import Iterator
 from itertools import chain
 
@@ -87,29 +85,22 @@ def frequent_words(texts: DataFrame, column: str, most: int = LEXICON_WORDS) ->
     return counted.where("n > 1").orderBy(F.desc("n"), "word").limit(most)
 
 
-def compile_lexicon(spark: SparkSession, words: list[str], vocabulary: str) -> tuple[str, bool]:
-    """A packed lexicon of the words and the vocabulary itself, where executors can read it: (path, is a Spark file)."""
+def compile_lexicon(spark: SparkSession, words: list[str], vocabulary: str) -> str:
+    """A packed lexicon of the words and the vocabulary itself, as a Spark file: its name.
+
+    It is written to the shared folder by the file system that the folder's address names; Spark hands every executor a copy,
+    which its Python processes map.
+    """
     ranks = read_ranks(vocabulary)
     arrays = lexicon.build({w: merge(w, ranks) for w in (w.encode() for w in words)})
     tokens = sorted(ranks, key=ranks.__getitem__)
     arrays["token_bytes"] = np.frombuffer(b"".join(tokens), dtype=np.uint8)
     arrays["token_end"] = np.cumsum([len(t) for t in tokens], dtype=np.int64)
     arrays["token_id"] = np.array([ranks[t] for t in tokens], dtype=np.int32)
-    data = lexicon.pack(arrays)
     path = scratch.new_path(spark, "lexicon")
-    if path.startswith("file:") or path.startswith("/"):
-        path = path.removeprefix("file:")
-        path = "/" + path.lstrip("/")
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "wb") as f:
-            f.write(data)
-        return path, False
-    with tempfile.TemporaryDirectory() as folder:  # only the driver's copy; Spark hands the file to every executor
-        own = os.path.join(folder, os.path.basename(path))
-        with open(own, "wb") as f:
-            f.write(data)
-        spark.sparkContext.addFile(own)
-    return os.path.basename(path), True
+    scratch.write_bytes(spark, path, lexicon.pack(arrays))
+    spark.sparkContext.addFile(path)
+    return path.rsplit("/", 1)[-1]
 
 
 class Encoder:
@@ -124,10 +115,10 @@ class Encoder:
         self.known: dict[str, np.ndarray] = {}
 
     @classmethod
-    def of(cls, path: str, shipped: bool) -> Encoder:
-        if path not in cls._made:
-            cls._made[path] = cls(SparkFiles.get(path) if shipped else path)
-        return cls._made[path]
+    def of(cls, name: str) -> Encoder:
+        if name not in cls._made:
+            cls._made[name] = cls(SparkFiles.get(name))
+        return cls._made[name]
 
     def _merged(self, word: bytes) -> list[int]:
         if self.ranks is None:
@@ -180,10 +171,10 @@ def token_ids(documents: DataFrame, vocabulary: str = VOCABULARY, key: str = "do
     spark = documents.sparkSession
     rows = documents.select(F.col(key), F.col(text).cast("string").alias("text"))
     words = [r.word for r in frequent_words(rows, "text", most).collect()]
-    path, shipped = compile_lexicon(spark, words, vocabulary)
+    name = compile_lexicon(spark, words, vocabulary)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(path, shipped)
+        encoder = Encoder.of(name)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):

@@ -142,3 +142,62 @@ def test_ties_topics_nulls_and_limits(spark):
     assert matched(spark, left, right) == {(10, 1), (11, 2), (12, 5)}
     assert matched(spark, [], right) == set() and matched(spark, left, []) == set()
     assert matched(spark, left, right, tolerance=0) == set()
+
+
+def test_seeding_and_rounds_come_near_to_full_k_means(spark):
+    rng = np.random.default_rng(4)
+    middle = rng.uniform(-50, 50, (12, 3))
+    points = np.concatenate([m + rng.normal(0, 0.5, (40 + 10 * i, 3)) for i, m in enumerate(middle)])
+
+    def lloyd(c):
+        for _ in range(30):
+            own = ((points[:, None] - c) ** 2).sum(2).argmin(1)
+            c = np.array([points[own == j].mean(0) if (own == j).any() else c[j] for j in range(len(c))])
+        return ((points[:, None] - c) ** 2).sum(2).min(1).sum()
+
+    def plus():
+        c = [points[rng.integers(len(points))]]
+        while len(c) < 12:
+            d2 = ((points[:, None] - np.array(c)) ** 2).sum(2).min(1)
+            c.append(points[rng.choice(len(points), p=d2 / d2.sum())])
+        return np.array(c)
+
+    best = min(lloyd(plus()) for _ in range(8))
+    random_ = np.mean([lloyd(points[rng.choice(len(points), 12, replace=False)]) for _ in range(8)])
+    records = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(points)], "pid bigint, x double, y double, z double")
+    members, found = clusters.similarity_clusters(records, ["pid"], dict.fromkeys("xyz", 1.0), k=12, dims=6)
+    cost = sum(r.distance**2 for r in members.collect())
+    rows = found.collect()
+    assert cost <= 1.3 * best and cost < random_
+    assert abs(sum(r["size"] * r.spread**2 for r in rows) - cost) < 1e-6 * cost and sum(r["size"] for r in rows) == len(points)
+
+
+def test_far_values_take_part(spark):
+    rows = [("c", i, float(10 ** (10 * i)), 0.0) for i in range(31)]
+    df = spark.createDataFrame([*rows, ("c", 99, float("inf"), 0.0)], "cloud_id string, pid bigint, a double, b double")
+    got = {(r.pid, r.neighbour) for r in similar_vectors.nearest_vectors(df, df, ["a", "b"], 1).collect()}
+    assert {p for p, _ in got} == set(range(31)) and all(n == max(0, p - 1) or p == 0 for p, n in got)
+    members, found = clusters.similarity_clusters(df.where("pid < 5"), ["pid"], {"a": 1.0}, k=5, dims=4)
+    assert members.count() == 5 and sum(r["size"] for r in found.collect()) == 5
+
+
+def test_an_id_with_two_times_gets_its_nearest_match(spark):
+    left = spark.createDataFrame([(1, "t", 100), (1, "t", 205), (2, "t", 2**62 + 7)], "l bigint, k string, ts bigint")
+    right = spark.createDataFrame([(7, "t", 110), (8, "t", 200), (9, "t", 2**62 + 1)], "r bigint, k string, ts bigint")
+    got = {tuple(r) for r in nearest_in_time(left, right, "l", "r", F.col("k"), F.col("k"), "ts", 20).collect()}
+    assert got == {(1, 8), (2, 9)}
+
+
+def test_recall_in_sixty_four_dimensions(spark):
+    # vectors in groups, as descriptors are; every bucket of every table may be probed
+    rng = np.random.default_rng(5)
+    middle = rng.normal(0, 3, (40, 64))
+    v = middle[rng.integers(0, 40, 2000)] + rng.normal(0, 0.5, (2000, 64))
+    names = [f"e{i}" for i in range(64)]
+    df = spark.createDataFrame([("c", i, *map(float, x)) for i, x in enumerate(v)], "cloud_id string, pid bigint, " + ", ".join(f"{n} double" for n in names))
+    asked = df.where("pid % 100 = 0")
+    got = {(r.pid, r.neighbour) for r in similar_vectors.nearest_vectors(df, asked, names, 10, tables=4, probes=9).collect()}
+    d2 = ((v[::100, None] - v) ** 2).sum(2)
+    d2[np.arange(20), np.arange(0, 2000, 100)] = np.inf
+    true = {(100 * i, int(j)) for i in range(20) for j in np.argsort(d2[i])[:10]}
+    assert len(true & got) / len(true) >= 0.9
