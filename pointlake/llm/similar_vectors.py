@@ -29,6 +29,8 @@ from pointlake.plans import scratch
 TASK_ROWS, BUCKET_MOST, DISTANCES = 150_000, 200_000, 2_000_000
 #: Draws among which a table takes the directions along which the vectors spread most.
 DRAWS = 64
+#: Widest vectors whose moments are columns; those of wider ones are summed in Arrow batches.
+WIDE = 16
 
 
 def _directions(covariance: np.ndarray, tables: int, hashes: int, seed: int) -> np.ndarray:
@@ -41,6 +43,25 @@ def _directions(covariance: np.ndarray, tables: int, hashes: int, seed: int) ->
     return np.array(out)
 
 
+def _pooled(vectors: DataFrame, dims: int) -> np.ndarray:
+    """The covariance of all vectors, from sums of products per task; only its entries reach the driver."""
+    size = 1 + dims + dims * dims
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for b in batches:
+            x = np.column_stack([b.column(i).to_numpy() for i in range(dims)])
+            total += np.concatenate([[len(x)], x.sum(axis=0), (x.T @ x).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], names=["i", "s"])
+
+    rows = vectors.mapInArrow(sums, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).toArrow()
+    out = np.zeros(size)
+    out[rows["i"].to_numpy()] = rows["s"].to_numpy()
+    n = max(1.0, out[0])
+    mean = out[1 : 1 + dims] / n
+    return out[1 + dims :].reshape(dims, dims) / n - np.outer(mean, mean)
+
+
 def _dot(values: list[float], columns: list[Column]) -> Column:
     return reduce(add, (F.lit(float(v)) * c for v, c in zip(values, columns)))
 
@@ -126,20 +147,25 @@ def nearest_vectors(base: DataFrame, queries: DataFrame, vector: list[str], k: i
     members, asked = tidy(base), tidy(queries)
 
     pairs = [(i, j) for i in range(dims) for j in range(i, dims)]
-    moments = scratch.written(members.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *(F.covar_pop(v[i], v[j]).alias(f"c{i}_{j}") for i, j in pairs)), "moments")
-    pooled = moments.agg(F.sum("n").alias("n"), *(F.avg(F.col(f"c{i}_{j}")).alias(f"c{i}_{j}") for i, j in pairs)).first()
-    total = pooled["n"] or 0
     covariance = np.zeros((dims, dims))
-    for i, j in pairs:
-        covariance[i, j] = covariance[j, i] = pooled[f"c{i}_{j}"] or 0.0
+    if dims <= WIDE:
+        moments = scratch.written(members.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *(F.covar_pop(v[i], v[j]).alias(f"c{i}_{j}") for i, j in pairs)), "moments")
+        pooled = moments.agg(*(F.avg(F.col(f"c{i}_{j}")).alias(f"c{i}_{j}") for i, j in pairs)).first()
+        for i, j in pairs:
+            covariance[i, j] = covariance[j, i] = pooled[f"c{i}_{j}"] or 0.0
+    else:
+        covariance = _pooled(members.select(*v), dims)
     if not np.isfinite(covariance).all() or np.abs(covariance).max(initial=0) > 1e200:
         covariance = np.eye(dims)  # some key's spread has no measure: any directions do
     directions = _directions(covariance, tables, hashes, seed)
+    if dims > WIDE:
+        moments = scratch.written(members.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *(F.var_pop(_dot(directions[t, h], v)).alias(f"s{t}_{h}") for t, h in product(range(tables), range(hashes)))), "moments")
+    total = moments.agg(F.sum("n")).first()[0] or 0
     slots = F.pow(F.col("n") / bucket_rows, F.lit(1.0 / hashes))
     widths = []
     for t, h in product(range(tables), range(hashes)):
         a = directions[t, h]
-        variance = reduce(add, (F.lit(float(a[i] * a[j] * (1 if i == j else 2))) * F.col(f"c{i}_{j}") for i, j in pairs))
+        variance = F.col(f"s{t}_{h}") if dims > WIDE else reduce(add, (F.lit(float(a[i] * a[j] * (1 if i == j else 2))) * F.col(f"c{i}_{j}") for i, j in pairs))
         # four standard deviations hold nearly all of a key; a spread of nothing, or less than two slots, is one slot
         widths.append(F.when((slots >= 1.5) & (variance > 0) & (variance < 1e300), 4 * F.sqrt(variance) / slots).alias(f"w{t}_{h}"))
     fitted = moments.select(key, *widths)
