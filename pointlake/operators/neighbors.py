@@ -434,3 +434,9 @@ def feature_matches(source: DataFrame, target: DataFrame, key: str = "pid", feat
         out = found if out is None else out.unionAll(found)
     best = out.groupBy("source").agg(F.min(F.struct("d2", "target")).alias("m"))
     return best.select("source", F.col("m.target").alias("target"), F.sqrt("m.d2").alias("distance"))
+
+
+def point_distances(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(cloud_id, pid, distance)`` of points with equal cloud and pid in two tables; points without a partner are left out."""
+    a, b = (df.select(F.struct(KEY, "pid", *XYZ).alias(n), KEY, "pid") for df, n in ((left, "a"), (right, "b")))
+    return a.join(b, [KEY, "pid"]).select(KEY, "pid", F.sqrt(distance2()).alias("distance"))

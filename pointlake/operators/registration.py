@@ -7,6 +7,7 @@ sums to the driver, never points. The plan does not grow with iterations because
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -21,6 +22,7 @@ from pointlake.operators.neighbors import KEY, Prepared, cell, feature_matches,
 from pointlake.operators.normals import COVARIANCE, estimate_normals, registration_covariances
 from pointlake.operators.voxel import voxel_downsample
 from pointlake.plans import scratch
+from pointlake.plans.ranks import ranked
 from pointlake.schema import positive
 
 
@@ -51,6 +53,11 @@ def _pair(source: DataFrame, target: DataFrame, *more: str) -> tuple[DataFrame,
     return source, target
 
 
+def _numbered(voxels: DataFrame) -> DataFrame:
+    """Voxels as a cloud, numbered in the order of their cells."""
+    return ranked(voxels.select(KEY, "vx", "vy", "vz", *XYZ), [KEY, "vx", "vy", "vz"], "pid").select(KEY, "pid", *XYZ)
+
+
 def correspondences(source: DataFrame, target: DataFrame, pose: np.ndarray | None = None, max_distance: float | None = None, carry: tuple[str, ...] = XYZ, prepared: Prepared | None = None) -> DataFrame:
     """``(pid, x, y, z, neighbor, distance, to)``: moved source points with their nearest target point within the distance.
 
@@ -209,8 +216,7 @@ def multiscale_icp(source: DataFrame, target: DataFrame, init: np.ndarray | None
     pose, turns, seen = np.eye(4) if init is None else init, 0, False
 
     def coarse(cloud: DataFrame, voxel: float) -> DataFrame:
-        v = voxel_downsample(cloud, voxel)
-        return scratch.written(v.select(KEY, F.xxhash64("vx", "vy", "vz").alias("pid"), *XYZ), "voxels")
+        return _numbered(voxel_downsample(cloud, voxel))
 
     for voxel, iterations, distance in scales:
         positive(voxel_size=voxel, max_iterations=iterations)
@@ -285,7 +291,7 @@ def kiss_icp(source: DataFrame, target: DataFrame, init: np.ndarray | None = Non
     positive(max_iterations=max_iterations, voxel_size=voxel_size)
     source, target = _pair(source, target)
     ranged = transforms.range_filter(source, min_range, max_range)
-    down = scratch.written(voxel_downsample(ranged, voxel_size).select(KEY, F.xxhash64("vx", "vy", "vz").alias("pid"), *XYZ), "voxels")
+    down = _numbered(voxel_downsample(ranged, voxel_size))
     if down.isEmpty():
         raise ValueError("no source points within the range")
     pose = np.eye(4) if init is None else init
@@ -371,35 +377,49 @@ def ndt_registration(source: DataFrame, target: DataFrame, init: np.ndarray | No
     return Registration(pose, float("nan"), turn, converged, {"score": float(score)})
 
 
-def global_registration(source: DataFrame, target: DataFrame, ransac_iterations: int = 50_000, distance: float = 0.05, inlier_ratio: float = 0.25, fpfh_radius: float = 0.25, fpfh_k: int = 10, normals_k: int = 10, refine: bool = True, icp_iterations: int = 50, icp_distance: float | None = None, seed: int = 0, most_matches: int = 200_000) -> Registration:
+def global_registration(source: DataFrame, target: DataFrame, ransac_iterations: int = 50_000, distance: float = 0.05, inlier_ratio: float = 0.25, fpfh_radius: float = 0.25, fpfh_k: int = 10, normals_k: int = 10, refine: bool = True, icp_iterations: int = 50, icp_distance: float | None = None, seed: int = 0, block: int = 1_000) -> Registration:
     """Registration without a first guess: normals, FPFH, one-way matches, three-point consensus, refinement.
 
-    Matches are scored where the sampling happens, on the driver, vectorised; their number is that of source points, so more
-    than ``most_matches`` are an error that asks for downsampling first. Fewer than 3 matches are an error.
+    Poses are drawn in blocks of ``block``: the drawn matches come to the driver by rank, the poses of a block go to all tasks,
+    and the matches that agree with each are counted where they lie, so there may be any number of matches. The first pose
+    with the share ``inlier_ratio`` ends the search. Fewer than 3 matches are an error.
     """
     source, target = _pair(source, target)
     with_normals = lambda c: scratch.written(estimate_normals(c, normals_k), "normals")
     found = feature_matches(features.fpfh(with_normals(source), fpfh_radius, fpfh_k), features.fpfh(with_normals(target), fpfh_radius, fpfh_k))
     place = lambda c, n: c.select(F.col("pid").alias(n), *(F.col(a).alias(f"{n}_{a}") for a in XYZ))
-    pairs = scratch.written(found.join(place(source, "source"), "source").join(place(target, "target"), "target"), "matches")
+    pairs = ranked(found.join(place(source, "source"), "source").join(place(target, "target"), "target"), ["source"])
     n = pairs.count()
     if n < 3:
         raise ValueError("fewer than 3 feature matches")
-    if n > most_matches:
-        raise ValueError(f"{n} matches; downsample the clouds to at most {most_matches} points first")
-    rows = pairs.orderBy("source").toPandas()
-    p, q = rows[[f"source_{a}" for a in XYZ]].to_numpy(), rows[[f"target_{a}" for a in XYZ]].to_numpy()
+    names = [f"{side}_{a}" for side in ("source", "target") for a in XYZ]
     rng = np.random.default_rng(seed)
     best, most = np.eye(4), 0
     enough = max(3, int(np.ceil(inlier_ratio * n)))
-    for _ in range(ransac_iterations):
-        pick = rng.choice(n, 3, replace=False)
-        pose = kabsch(3, p[pick].sum(axis=0), q[pick].sum(axis=0), p[pick].T @ q[pick])
-        hits = int((np.linalg.norm(p @ pose[:3, :3].T + pose[:3, 3] - q, axis=1) <= distance).sum())
-        if hits > most:
-            best, most = pose, hits
-            if hits >= enough:
-                break
+    spark = pairs.sparkSession
+    for first in range(0, ransac_iterations, block):
+        picks = np.array([rng.choice(n, 3, replace=False) for _ in range(min(block, ransac_iterations - first))])
+        asked = spark.createDataFrame(pd.DataFrame({"rank": np.unique(picks)}))
+        rows = pairs.join(asked, "rank").select("rank", *names).toPandas().set_index("rank")
+        p, q = (rows[[f"{side}_{a}" for a in XYZ]] for side in ("source", "target"))
+        poses = np.array([kabsch(3, p.loc[t].to_numpy().sum(axis=0), q.loc[t].to_numpy().sum(axis=0), p.loc[t].to_numpy().T @ q.loc[t].to_numpy()) for t in picks])
+
+        def agreeing(batches: Iterator[pd.DataFrame], poses=poses) -> Iterator[pd.DataFrame]:
+            hits = np.zeros(len(poses), dtype=np.int64)
+            for b in batches:
+                x, y = b[names[:3]].to_numpy(), b[names[3:]].to_numpy()
+                for i, pose in enumerate(poses):
+                    hits[i] += int((((x @ pose[:3, :3].T + pose[:3, 3] - y) ** 2).sum(axis=1) <= distance * distance).sum())
+            yield pd.DataFrame({"i": np.arange(len(poses)), "hits": hits})
+
+        counted = pairs.select(*names).mapInPandas(agreeing, "i int, hits bigint").groupBy("i").agg(F.sum("hits").alias("hits")).toPandas().sort_values("i")
+        hits = counted["hits"].to_numpy()
+        over = np.flatnonzero(hits >= enough)
+        at = int(over[0]) if len(over) else int(np.argmax(hits))
+        if hits[at] > most:
+            best, most = poses[at], int(hits[at])
+        if len(over):
+            break
     details = {"inliers": most, "inlier_ratio": most / n}
     if not refine:
         return Registration(best, float("nan"), 0, False, details)
@@ -407,8 +427,23 @@ def global_registration(source: DataFrame, target: DataFrame, ransac_iterations:
     return Registration(got.transformation, got.mse, got.iterations, got.converged, {**got.details, **details})
 
 
-def batch_icp(jobs: list[tuple[DataFrame, DataFrame]], max_iterations: int = 50, threshold: float = 1e-6, max_distance: float | None = None) -> list[Registration]:
-    """One registration after the other; each of them is distributed itself."""
-    return [icp_point_to_point(s, t, None, max_iterations, threshold, max_distance) for s, t in jobs]
+def icp_legacy(source: DataFrame, target: DataFrame, max_iterations: int = 50, threshold: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Pose and mean squared error of :func:`icp_point_to_point` without a first guess."""
+    got = icp_point_to_point(source, target, None, max_iterations, threshold)
+    return got.transformation, got.mse
+
+
+def batch_icp(jobs: list[tuple[DataFrame, DataFrame]], max_iterations: int = 50, threshold: float = 1e-6, max_distance: float | None = None, together: int = 4) -> list[Registration | None]:
+    """Registrations of pairs of clouds, ``together`` of them at a time, in the order given; None where one is impossible.
+
+    Each is distributed itself; side by side their jobs share the executors, so that the last tasks of one leave none idle.
+    """
 
+    def run(job: tuple[DataFrame, DataFrame]) -> Registration | None:
+        try:
+            return icp_point_to_point(*job, None, max_iterations, threshold, max_distance)
+        except ValueError:
+            return None
 
+    with ThreadPoolExecutor(max(1, together)) as pool:
+        return list(pool.map(run, jobs))

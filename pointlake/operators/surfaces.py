@@ -17,6 +17,7 @@ from pointlake.operators.neighbors import KEY, knn, neighborhoods, pairs_within
 from pointlake.operators.normals import COVARIANCE, estimate_normals
 from pointlake.operators.voxel import bounds
 from pointlake.plans import scratch
+from pointlake.plans.ranks import ranked
 from pointlake.schema import one_cloud, positive
 
 _FACE = "cloud_id string, a bigint, b bigint, c bigint"
@@ -227,20 +228,32 @@ def _quality(points: np.ndarray, i: int, j: int, ks: np.ndarray) -> tuple[np.nda
     return area, score, np.where(np.isfinite(ratio), ratio, np.inf)
 
 
-def ball_pivoting(cloud: DataFrame, radii: tuple[float, ...] = (0.05, 0.1, 0.15, 0.2), quality: float = 0.1, edge_factor: float = 3.0, min_area: float = 1e-8) -> DataFrame:
+def adaptive_radii(cloud: DataFrame, factors: tuple[float, ...] = (1.5, 2.0, 3.0), k: int = 1) -> DataFrame:
+    """``(cloud_id, radii ARRAY<DOUBLE>)``: multiples of the median distance to the k-th neighbour of each cloud."""
+    positive(**{f"factor_{i}": f for i, f in enumerate(factors)})
+    return neighbor_quantile(cloud, k, 0.5, 1.0).where("value > 0").select(KEY, F.array(*(F.col("value") * float(f) for f in sorted(factors))).alias("radii"))
+
+
+def ball_pivoting(cloud: DataFrame, radii: tuple[float, ...] | None = (0.05, 0.1, 0.15, 0.2), quality: float = 0.1, edge_factor: float = 3.0, min_area: float = 1e-8, fallback: bool = False) -> DataFrame:
     """``(cloud_id, a, b, c)``: triangles grown over edges, the balls' radii from small to large.
 
     From a seed triangle each open edge takes the unused point of best quality within the radius of both ends; an edge is used
-    by at most two triangles. A front is sequential, so a cloud is one task. Radii must be positive.
+    by at most two triangles. A front is sequential, so a cloud is one task. Radii must be positive; without any, those of
+    :func:`adaptive_radii` are taken for each cloud. With ``fallback`` a cloud that no ball gives a face is triangulated in its
+    plane instead.
     """
-    positive(**{f"radius_{i}": r for i, r in enumerate(radii)})
+    if radii is not None:
+        positive(**{f"radius_{i}": r for i, r in enumerate(radii)})
+        own = cloud.select(KEY).distinct().withColumn("radii", F.array(*(F.lit(float(r)) for r in sorted(radii))))
+    else:
+        own = adaptive_radii(cloud)
 
     def grow(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pid")
         points, pid = group[list(XYZ)].to_numpy(), group["pid"].to_numpy()
         faces: list[tuple[int, int, int]] = []
         used = np.zeros(len(points), dtype=bool)
-        for radius in sorted(radii):
+        for radius in group["radii"].iloc[0]:
             cells: dict[tuple, list[int]] = {}
             for n, key in enumerate(map(tuple, np.floor(points / (2 * radius)).astype(int))):
                 cells.setdefault(key, []).append(n)
@@ -292,7 +305,12 @@ def ball_pivoting(cloud: DataFrame, radii: tuple[float, ...] = (0.05, 0.1, 0.15,
         t = np.array(faces, dtype=int).reshape(-1, 3)
         return pd.DataFrame({KEY: group[KEY].iloc[0], "a": pid[t[:, 0]], "b": pid[t[:, 1]], "c": pid[t[:, 2]]})
 
-    return cloud.select(KEY, "pid", *XYZ).groupBy(KEY).applyInPandas(grow, _FACE)
+    rows = cloud.select(KEY, "pid", *XYZ)
+    grown = rows.join(own, KEY).groupBy(KEY).applyInPandas(grow, _FACE)
+    if not fallback:
+        return grown
+    grown = scratch.written(grown, "grown")
+    return grown.unionByName(delaunay(rows.join(grown.select(KEY).distinct(), KEY, "left_anti"), "auto", min_area))
 
 
 # -- Poisson --------------------------------------------------------------------------------------------------------------
@@ -458,7 +476,7 @@ def reconstruct(cloud: DataFrame, quality: str = "balanced", use_case: str = "ge
             if name == "delaunay":
                 vertices, faces = own, delaunay(cloud, "auto")
             elif name == "ball_pivoting":
-                vertices, faces = own, ball_pivoting(cloud, tuple(about.spacing * f for f in (1.5, 2.0, 3.0)))
+                vertices, faces = own, ball_pivoting(cloud, None)
             elif name == "poisson":
                 vertices, faces = poisson(cloud)
             elif name in ("mls", "marching_cubes"):
@@ -467,7 +485,7 @@ def reconstruct(cloud: DataFrame, quality: str = "balanced", use_case: str = "ge
             else:
                 raise ValueError(f"unknown algorithm {name}")
             if name in ("delaunay", "ball_pivoting"):
-                faces = faces.select(F.col(KEY).alias("mesh_id"), F.xxhash64(*"abc").alias("fid"), *"abc")
+                faces = ranked(faces.select(F.col(KEY).alias("mesh_id"), *"abc"), ["mesh_id", *"abc"], "fid").select("mesh_id", "fid", *"abc")
             faces = scratch.written(faces, "faces")
             if not faces.isEmpty():
                 return name, vertices, faces

@@ -11,14 +11,16 @@ from functools import cache
 from itertools import product
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.functions.geometry import XYZ
+from pointlake.functions.geometry import XYZ, unit
 from pointlake.operators import transforms
-from pointlake.operators.neighbors import KEY, nearest, pairs_within
-from pointlake.schema import positive
+from pointlake.operators.neighbors import KEY, nearest
+from pointlake.plans.blocks import Blocks, in_blocks
+from pointlake.plans.ranks import ranked
+from pointlake.schema import one_cloud, positive
 
 IJK = ("i", "j", "k")
 
@@ -74,7 +76,8 @@ def cloud_box(cloud: DataFrame) -> tuple[list[float], list[float]]:
 
 
 def distance_grid(cloud: DataFrame, dims: tuple[int, int, int], padding: float = 0.0) -> tuple[DataFrame, Lattice]:
-    """Unsigned distance of each node to the nearest point: an isosurface needs a positive level."""
+    """Unsigned distance of each node to the nearest point of one cloud: an isosurface needs a positive level."""
+    one_cloud(cloud)
     lattice = Lattice.around(*cloud_box(cloud), dims, padding)
     nodes = lattice.nodes(cloud.sparkSession).withColumns({KEY: F.lit("grid"), "pid": (F.col("i").cast("bigint") * dims[1] + F.col("j")) * dims[2] + F.col("k")})
     near = nearest(nodes, cloud.withColumn(KEY, F.lit("grid")))
@@ -279,10 +282,23 @@ def cube_index(grid: DataFrame, iso: float = 0.0) -> DataFrame:
     return cells.withColumn("cube_index", index)
 
 
-def isosurface(grid: DataFrame, lattice: Lattice, iso: float = 0.0) -> DataFrame:
+def _edge_gradient(edge: int, t: Column, lattice: Lattice) -> list[Column]:
+    """The gradient of the trilinear field of a cell at the part ``t`` of an edge."""
+    a, b = EDGES[edge]
+    axis = (a ^ b).bit_length() - 1
+    v = lambda n: F.col(f"v{n}")
+    out = []
+    for x in range(3):
+        rise = lambda n: v(n | 1 << x) - v(n & ~(1 << x))  # noqa: B023, E731
+        out.append((rise(a) if x == axis else (1 - t) * rise(a) + t * rise(b)) / float(lattice.spacing[x]))
+    return out
+
+
+def isosurface(grid: DataFrame, lattice: Lattice, iso: float = 0.0, normals: bool = False) -> DataFrame:
     """``(i, j, k, n, a, b, c)``: triangles of the level set, corners as structs (x, y, z); cells do not share vertices.
 
-    The 256-row table of triangles is a constant; corners are interpolated along their edges.
+    The 256-row table of triangles is a constant; corners are interpolated along their edges. With ``normals`` corners also
+    have the unit gradient nx, ny, nz of the field, null where it vanishes.
     """
     spark = grid.sparkSession
     cells = cube_index(grid, iso).where("cube_index BETWEEN 1 AND 254")
@@ -292,7 +308,8 @@ def isosurface(grid: DataFrame, lattice: Lattice, iso: float = 0.0) -> DataFrame
         a, b = EDGES[edge]
         va, vb = F.col(f"v{a}"), F.col(f"v{b}")
         t = F.coalesce(F.try_divide(F.lit(float(iso)) - va, vb - va), F.lit(0.5))
-        return F.struct(*(lattice.place(F.col(n) + (a >> x & 1) + (t if (a ^ b) >> x & 1 else 0), x).alias(c) for x, (n, c) in enumerate(zip(IJK, XYZ))))
+        slope = unit(tuple(_edge_gradient(edge, t, lattice))) if normals else ()
+        return F.struct(*(lattice.place(F.col(n) + (a >> x & 1) + (t if (a ^ b) >> x & 1 else 0), x).alias(c) for x, (n, c) in enumerate(zip(IJK, XYZ))), *(g.alias(f"n{c}") for g, c in zip(slope, XYZ)))
 
     placed = cells.withColumn("e", F.array(*map(place, range(12)))).join(F.broadcast(table), "cube_index")
     rows = placed.select(*IJK, "e", F.posexplode("triangles").alias("n", "t"))
@@ -302,14 +319,22 @@ def isosurface(grid: DataFrame, lattice: Lattice, iso: float = 0.0) -> DataFrame
 def triangle_mesh(triangles: DataFrame, mesh_id: str = "surface", places: int = 9) -> tuple[DataFrame, DataFrame]:
     """Vertices and faces of triangles whose corners are structs: corners at one place (rounded) become one vertex.
 
-    Ids are hashes of the place and of the corners, so no ordering of the whole mesh is needed; faces that lose a corner go.
+    Vertices are numbered in the order of their places and faces in that of their corners; both are compared themselves and
+    not by hashes. Faces that lose a corner go, and of equal ones one stays. Normals of the corners are averaged, if there are any.
     """
-    vid = lambda c: F.xxhash64(*(F.round(F.col(f"{c}.{x}"), places) + 0.0 for x in XYZ))
-    rows = triangles.select(*"abc", *(vid(c).alias(f"v{c}") for c in "abc")).where("va <> vb AND vb <> vc AND vc <> va")
-    corners = rows.select(F.explode(F.array(*(F.struct(F.col(f"v{c}").alias("vid"), F.col(c).alias("p")) for c in "abc"))).alias("s"))
-    vertices = corners.groupBy("s.vid").agg(F.first("s.p").alias("p")).select(F.lit(mesh_id).alias("mesh_id"), "vid", "p.x", "p.y", "p.z")
-    faces = rows.select(F.lit(mesh_id).alias("mesh_id"), F.xxhash64("va", "vb", "vc").alias("fid"), *(F.col(f"v{c}").alias(c) for c in "abc")).dropDuplicates(["fid"])
-    return vertices, faces
+    names = set(triangles.schema["a"].dataType.names)
+    place = lambda c: F.struct(*((F.round(F.col(f"{c}.{x}"), places) + 0.0).alias(x) for x in XYZ))
+    rows = triangles.select(*"abc", *(place(c).alias(f"p{c}") for c in "abc")).where("pa <> pb AND pb <> pc AND pc <> pa")
+    corners = rows.select(F.explode(F.array(*(F.struct(F.col(f"p{c}").alias("p"), F.col(c).alias("v")) for c in "abc"))).alias("s"))
+    more = [F.avg(f"s.v.n{x}").alias(f"n{x}") for x in XYZ] if "nx" in names else []
+    met = corners.groupBy("s.p").agg(*more) if more else corners.select("s.p").distinct()
+    numbered = ranked(met, ["p"], "vid")
+    vertices = numbered.select(F.lit(mesh_id).alias("mesh_id"), "vid", "p.x", "p.y", "p.z", *(f"n{x}" for x in XYZ if more))
+    known = numbered.select("p", "vid")
+    faces = rows.select("pa", "pb", "pc").distinct()
+    for c in "abc":
+        faces = faces.join(known.withColumnsRenamed({"p": f"p{c}", "vid": c}), f"p{c}").drop(f"p{c}")
+    return vertices, ranked(faces.select(*"abc"), list("abc"), "fid").select(F.lit(mesh_id).alias("mesh_id"), "fid", *"abc")
 
 
 # -- moving least squares -------------------------------------------------------------------------------------------------
@@ -323,18 +348,21 @@ def _basis(d: np.ndarray, size: int) -> np.ndarray:
     return np.stack(terms[:size], axis=1)
 
 
-def mls_field(queries: DataFrame, cloud: DataFrame, support: float = 0.1, basis: str = "quadratic", weight: str = "wendland", ridge: float = 1e-6) -> DataFrame:
+def mls_field(queries: DataFrame, cloud: DataFrame, support: float = 0.1, basis: str = "quadratic", weight: str = "wendland", ridge: float = 1e-6, gradient: bool = False) -> DataFrame:
     """``(cloud_id, pid, value)``: the fitted signed distance at each query, from points with normals within the support.
 
     Weighted least squares of the normal offsets in a polynomial basis; queries without points get 0, a cloud without normals
-    a field of zeros. Neighbourhoods are gathered by the grid join and solved in Arrow batches.
+    a field of zeros. With ``gradient`` also its slope ``gx, gy, gz`` (0 for a constant basis and for queries without points).
+    Queries and points meet in blocks with a rim of the support, and all systems of a chunk are solved at once.
     """
     positive(support=support)
     if basis not in _BASES or weight not in ("gaussian", "wendland", "cubic", "inverse"):
         raise ValueError("unknown basis or weight")
+    out = ["value", *(("gx", "gy", "gz") if gradient else ())]
     if "nx" not in cloud.columns:
-        return queries.select(KEY, "pid", F.lit(0.0).alias("value"))
+        return queries.select(KEY, "pid", *(F.lit(0.0).alias(c) for c in out))
     size, h = _BASES[basis], float(support)
+    at = np.triu_indices(size)
 
     def weights(r: np.ndarray) -> np.ndarray:
         if weight == "gaussian":
@@ -344,29 +372,52 @@ def mls_field(queries: DataFrame, cloud: DataFrame, support: float = 0.1, basis:
         s = np.maximum(1 - r / h, 0)
         return s**4 * (4 * r / h + 1) if weight == "wendland" else s**3
 
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            values = []
-            for near in batch["near"]:
-                p = np.array([tuple(n.values()) if isinstance(n, dict) else tuple(n) for n in near], dtype=float)
-                d, w = p[:, :3], weights(np.linalg.norm(p[:, :3], axis=1))
-                b = _basis(d, size)
-                left = (b * w[:, None]).T @ b + ridge * np.eye(size)
-                right = (b * w[:, None]).T @ (d * p[:, 3:]).sum(axis=1)
-                values.append(float(np.linalg.solve(left, right)[0]))
-            yield pd.DataFrame({KEY: batch[KEY], "pid": batch["pid"], "value": values})
-
-    near = pairs_within(queries.select(KEY, "pid", *XYZ), cloud.select(KEY, "pid", *XYZ, "nx", "ny", "nz"), support)
-    offsets = F.struct(*((F.col(f"b.{c}") - F.col(f"a.{c}")).alias(c) for c in XYZ), *(F.col(f"b.n{c}").alias(f"n{c}") for c in XYZ))
-    gathered = near.groupBy(F.col("a.cloud_id").alias(KEY), F.col("a.pid").alias("pid")).agg(F.collect_list(offsets).alias("near"))
-    solved = gathered.mapInPandas(fit, f"{KEY} {queries.schema[KEY].dataType.simpleString()}, pid bigint, value double")
-    return queries.select(KEY, "pid").join(solved, [KEY, "pid"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    def fit(b: Blocks) -> Iterator[pa.RecordBatch]:
+        asks = b.table["asks"].to_numpy(zero_copy_only=False).astype(bool)
+        points, home = np.flatnonzero(~asks), np.flatnonzero(asks & b.home)
+        normals = np.column_stack([np.nan_to_num(b.table[f"n{c}"].to_numpy(zero_copy_only=False).astype(float)) for c in "xyz"])
+        found, grid = np.zeros((len(home), len(out))), b.grid(points)
+        order = np.argsort(b.block[home], kind="stable")
+        home = home[order]
+        # so many queries at a time that their systems and pairs stay small
+        for first in range(0, len(home), 2_000):
+            part = home[first : first + 2_000]
+            left, right = np.zeros((len(part), len(at[0]))), np.zeros((len(part), size))
+            seen = np.zeros(len(part), dtype=bool)
+            for q, m, _ in grid.within(b.block[part], b.xyz[part], h):
+                by = np.argsort(q, kind="stable")
+                for cut in range(0, len(by), 50_000):
+                    i, j = q[by[cut : cut + 50_000]], points[m[by[cut : cut + 50_000]]]
+                    d = b.xyz[j] - b.xyz[part[i]]
+                    f, w = _basis(d, size), weights(np.linalg.norm(d, axis=1))
+                    starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+                    left[i[starts]] += np.add.reduceat(f[:, at[0]] * f[:, at[1]] * w[:, None], starts, axis=0)
+                    right[i[starts]] += np.add.reduceat(f * (w * (d * normals[j]).sum(axis=1))[:, None], starts, axis=0)
+                    seen[i] = True
+            whole = np.zeros((len(part), size, size))
+            whole[:, at[0], at[1]] = left
+            whole[:, at[1], at[0]] = left
+            whole += ridge * np.eye(size)
+            solved = np.linalg.solve(whole, right[:, :, None])[:, :, 0]
+            solved[~seen] = 0.0
+            found[first : first + 2_000, 0] = solved[:, 0]
+            if gradient and size > 1:
+                found[first : first + 2_000, 1:] = solved[:, 1:4]
+        rows = pa.array(home)
+        columns = [b.table[KEY].combine_chunks().take(rows), b.table["pid"].combine_chunks().take(rows)]
+        yield pa.RecordBatch.from_arrays([*columns, *(pa.array(found[:, i]) for i in range(len(out)))], names=[KEY, "pid", *out])
+
+    tidy = lambda df, asks, more: df.select(KEY, F.col("pid").cast("bigint").alias("pid"), *(F.col(c).cast("double").alias(c) for c in XYZ), F.lit(asks).alias("asks"), *more)
+    both = tidy(queries, True, [F.lit(None).cast("double").alias(f"n{c}") for c in XYZ]).unionByName(tidy(cloud, False, [F.col(f"n{c}").cast("double").alias(f"n{c}") for c in XYZ]))
+    kind = queries.schema[KEY].dataType.simpleString()
+    return in_blocks(both, h, fit, f"{KEY} {kind}, pid bigint, " + ", ".join(f"{c} double" for c in out))
 
 
 def mls_surface(cloud: DataFrame, support: float = 0.1, dims: tuple[int, int, int] = (50, 50, 50), basis: str = "quadratic", weight: str = "wendland", iso: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """The zero level of the field over the cloud's box padded by two supports; without normals there is none, an error."""
     if "nx" not in cloud.columns:
         raise ValueError("no isosurface: the field of a cloud without normals is zero everywhere")
+    one_cloud(cloud)
     low, high = cloud_box(cloud)
     lattice = Lattice.around(low, high, dims, 2 * support)
     nodes = lattice.nodes(cloud.sparkSession).withColumns({KEY: F.lit("grid"), "pid": (F.col("i").cast("bigint") * dims[1] + F.col("j")) * dims[2] + F.col("k")})

@@ -61,6 +61,13 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """An empty folder at a path in the shared folder."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).mkdirs(p)
+
+
 def is_written(df: DataFrame) -> bool:
     """Whether a table is one that :func:`written` gave back."""
     return hasattr(df, "_pointlake_path")

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointlake.sources import parsing, ros
-from pointlake.sources.datasource import BAG, EXTENSIONS, PointSource, UnsupportedFormat, written_file
+from pointlake.plans.ranks import ranked
+from pointlake.sources.datasource import BAG, EXTENSIONS, PointSource, UnsupportedFormat, files_of, format_of, written_file
 
 Reader = Callable[[SparkSession, str], DataFrame]
 _readers: dict[str, Reader] = {}
@@ -39,6 +40,19 @@ def _extension(path: str) -> str:
     return os.path.splitext(path.rstrip("/"))[1].lower()
 
 
+def can_read(path: str, form: str | None = None) -> bool:
+    """Whether a cloud can be read from a path: by the format given, a registered reader, an extension, else the first bytes."""
+    end = _extension(path)
+    if form is not None:
+        return form in {*EXTENSIONS.values(), "xyz", "csv", "txt"} - {"mcap", "db3"}
+    if end in _readers or end in TEXT:
+        return True
+    try:
+        return all(format_of(f) not in ("mcap", "db3") for f in files_of(path))
+    except (OSError, ValueError):
+        return False
+
+
 def read_point_cloud(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
     """A cloud by the format given, by a registered reader, by extension, else by the first bytes."""
     end = _extension(path)
@@ -233,6 +247,28 @@ def read_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return vertices, rows.where("NOT is_vertex").select("mesh_id", F.col("id").alias("fid"), "a", "b", "c")
 
 
+def read_obj_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Vertices and faces of OBJ files of any size, as :func:`read_mesh` gives them but without normals, read by byte ranges.
+
+    Vertices are numbered by their order in the file, polygons become fans. Faces with an index that is no vertex of their file
+    (negative ones too, which count from the end) are left out of the triangles.
+    """
+    spark.dataSource.register(PointSource)
+    lines = spark.read.format("pointlake").option("kind", "lines").option("path", path).load()
+    parts = lines.select(F.element_at(F.split("path", "/"), -1).alias("mesh_id"), "pid", F.split(F.btrim("value", F.lit(" \t\r\n")), r"[ \t]+").alias("p"))
+    at = [F.get("p", i).try_cast("double").alias(c) for i, c in enumerate("xyz", 1)]
+    points = ranked(parts.where("p[0] = 'v'").select("mesh_id", "pid", *at), ["mesh_id", "pid"])
+    first = points.groupBy("mesh_id").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
+    vertices = points.join(first, "mesh_id").select("mesh_id", (F.col("rank") - F.col("first")).alias("vid"), *"xyz")
+    corner = F.transform(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), lambda c: F.split_part(c, F.lit("/"), F.lit(1)).try_cast("bigint") - 1)
+    corners = parts.where("p[0] = 'f'").select("mesh_id", "pid", corner.alias("c"))
+    fans = corners.where("size(c) >= 3").select("mesh_id", "pid", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("c") - 2), lambda i: F.struct(F.get("c", F.lit(0)).alias("a"), F.get("c", i).alias("b"), F.get("c", i + 1).alias("c")))).alias("n", "t"))
+    known = fans.select("mesh_id", "pid", F.col("n").alias("piece"), "t.*").join(first, "mesh_id").where("a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL AND least(a, b, c) >= 0 AND greatest(a, b, c) < n")
+    faces = ranked(known.select("mesh_id", "pid", "piece", "a", "b", "c"), ["mesh_id", "pid", "piece"])
+    start = faces.groupBy("mesh_id").agg(F.min("rank").alias("first"))
+    return vertices, faces.join(start, "mesh_id").select("mesh_id", (F.col("rank") - F.col("first")).alias("fid"), "a", "b", "c")
+
+
 def write_mesh(vertices: DataFrame, faces: DataFrame, path: str, text: bool = False) -> None:
     """One mesh to one file. Such files are ordered and number their vertices, so the rows of the mesh meet on the driver."""
     form = EXTENSIONS.get(_extension(path))

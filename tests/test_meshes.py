@@ -234,3 +234,25 @@ def test_the_character_of_clouds(spark):
             call(two.withColumns({f"n{c}": F.lit(1.0) for c in "xyz"}))
     with pytest.raises(ValueError):
         surfaces.poisson_grid(two, 9)
+
+
+def test_normals_of_an_isosurface_and_slopes_of_a_field(spark):
+    lattice = volumes.Lattice.around((-1, -1, -1), (1, 1, 1), (14, 14, 14))
+    rows = volumes.isosurface(volumes.sphere_volume(spark, (0, 0, 0), 0.7, lattice), lattice, normals=True).collect()
+    at = np.array([[r.a.x, r.a.y, r.a.z, r.a.nx, r.a.ny, r.a.nz] for r in rows])
+    assert np.allclose((at[:, 3:] * at[:, :3] / np.linalg.norm(at[:, :3], axis=1)[:, None]).sum(axis=1), 1, atol=0.02)
+    vertices, faces = volumes.triangle_mesh(volumes.isosurface(volumes.sphere_volume(spark, (0, 0, 0), 0.7, lattice), lattice, normals=True))
+    n, m = vertices.count(), faces.count()
+    assert {"nx", "ny", "nz"} <= set(vertices.columns) and n - m // 2 == 2  # a closed surface
+    flat = spark.createDataFrame([("c", 10 * i + j, i / 10, j / 10, 0.0, 0.0, 0.0, 1.0) for i in range(10) for j in range(10)], V.replace("mesh_id", "cloud_id").replace("vid", "pid") + ", nx double, ny double, nz double")
+    ask = spark.createDataFrame([("c", 0, 0.5, 0.5, 0.05), ("c", 1, 9.0, 9.0, 9.0)], V.replace("mesh_id", "cloud_id").replace("vid", "pid"))
+    got = {r.pid: r for r in volumes.mls_field(ask, flat, 0.4, "linear", gradient=True).collect()}
+    assert abs(abs(got[0].value) - 0.05) < 1e-3 and (got[1].value, got[1].gx, got[1].gz) == (0.0, 0.0, 0.0)
+
+
+def test_balls_of_the_clouds_own_size_and_the_fallback(spark):
+    points = [("wide", 10 * i + j, 5.0 * i, 5.0 * j, 0.0) for i in range(6) for j in range(6)] + [("fine", 10 * i + j, 0.01 * i, 0.01 * j, 0.0) for i in range(6) for j in range(6)]
+    c = spark.createDataFrame(points, V.replace("mesh_id", "cloud_id").replace("vid", "pid"))
+    assert {r.cloud_id for r in surfaces.ball_pivoting(c, None).select("cloud_id").distinct().collect()} == {"wide", "fine"}
+    assert surfaces.ball_pivoting(c, (0.02,)).where("cloud_id = 'wide'").count() == 0
+    assert surfaces.ball_pivoting(c, (0.02,), fallback=True).where("cloud_id = 'wide'").count() == 50

@@ -212,3 +212,11 @@ def test_a_header_longer_than_the_first_look(tmp_path):
     data = parsing.write_ply({c: np.arange(4.0) for c in "xyz"}, form="binary_little_endian").replace(b"element vertex", comment + b"element vertex")
     (tmp_path / "long.ply").write_bytes(data)
     assert datasource._strided(str(tmp_path / "long.ply"), "ply")[2] == 4
+
+
+def test_a_large_obj_by_ranges(spark, tmp_path):
+    (tmp_path / "m.obj").write_text("# c\nv 0 0 0\nv 1 0 0\nvn 0 0 1\nv 1 1 0\nf 1//1 2//1 3//1\nv 0 1 0\nf 1/1 2/2 3/3 4/4\nf 1 2 9\n")
+    v, f = registry.read_obj_lines(spark, str(tmp_path / "m.obj"))
+    assert [(r.vid, r.x, r.y) for r in v.orderBy("vid").collect()] == [(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 1.0, 1.0), (3, 0.0, 1.0)]
+    assert [(r.fid, r.a, r.b, r.c) for r in f.orderBy("fid").collect()] == [(0, 0, 1, 2), (1, 0, 1, 2), (2, 0, 2, 3)]
+    assert registry.can_read(str(tmp_path / "m.obj")) and not registry.can_read(str(tmp_path / "none.ply")) and not registry.can_read("x", "mcap")

@@ -61,3 +61,29 @@ def test_shared_folder_is_read_from_the_session(spark, tmp_path):
     df = scratch.written(spark.range(5), "x")
     assert df.count() == 5 and scratch.shared_dir(spark) in df._pointlake_path
     scratch.drop(df)
+
+
+def test_streams_keep_clouds_apart_and_skip_failing_batches(spark, tmp_path):
+    points = [("a", 0.1, 0.1, 0.1), ("b", 0.2, 0.2, 0.2), ("a", 0.3, 0.3, 0.3)]
+    for n, p in enumerate(points):
+        spark.createDataFrame([p], "cloud_id string, x double, y double, z double").coalesce(1).write.mode("append").parquet(str(tmp_path / "t.parquet"))
+    stream = lambda: pipelines.parquet_stream(spark, str(tmp_path), "t")
+    assert {(r.cloud_id, r.n) for r in pipelines.finish(pipelines.voxel_stream(stream(), 1.0)).collect()} == {("a", 2), ("b", 1)}
+    assert {(r.cloud_id, r.n) for r in pipelines.finish(pipelines.statistics_stream(stream())).collect()} == {("a", 2), ("b", 1)}
+    skipped = []
+
+    def picky(batch, _):
+        if batch.where("cloud_id = 'b'").count():
+            raise ValueError("no b")
+
+    assert {r.cloud_id for r in pipelines.finish(stream(), each=picky, skipped=skipped).collect()} == {"a"} and len(skipped) == 1
+
+
+def test_a_feed_waits_drops_and_finishes(spark):
+    feed = pipelines.Feed(spark, "x double, y double, z double", lambda s: pipelines.statistics_stream(s), capacity=2)
+    for i in range(3):
+        feed.send([(float(i), 0.0, 0.0), (float(i), 1.0, 1.0)])
+    feed.capacity = 0  # no room at all
+    assert not feed.try_send([(9.0, 9.0, 9.0)])
+    row = feed.finish().first()
+    assert (row.n, row.max_x) == (6, 2.0) and feed.metrics().dropped == 1 and feed.sent == 3
