@@ -11,6 +11,7 @@ Words that open sentences are counted in the corpus itself; the fixed lists hold
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ NEVER = W.words(W.NEVER_LAST)
 NUMBER = W.words(W.BEFORE_NUMBER)
 MAYBE = W.words(W.MAYBE_LAST)
 LISTS = W.words(W.CLOSES_LIST)
+INNER = NEVER | MAYBE | LISTS
+ROLES = INNER | NUMBER
 ORDINAL = W.words(W.BEFORE_ORDINAL)
 TIED = W.words(W.TIED)
 OPENS = W.words(W.OPENS)
@@ -57,34 +60,34 @@ OPENING = 2e-4
 _IGNORED = regex.compile(r"[­​‌‎‏⁠﻿]")
 _EMOJI = r"(?:[\p{So}\p{Emoji_Presentation}\p{RI}][‍️︎\p{EMod}\p{So}\p{Emoji_Presentation}\p{RI}]*)"
 _EMOJI_RUN = regex.compile(rf"[ \t 　]*{_EMOJI}(?:[ \t ]*{_EMOJI})*")
-_MARKS = regex.compile(rf"[.…;\u037e{regex.escape(STRONG)}]+(?:[\u00a0\u202f][!?]+)*")
-_BREAK = regex.compile(r"[^\S\n\r\x0b\x0c\x1c-\x1e\x85  ]*(?:\r\n|[\n\r\x0b\x0c\x85  ])\s*")
+_MARKS = re.compile(rf"[.…;\u037e{re.escape(STRONG)}]+(?:[\u00a0\u202f][!?]+)*")
+_BREAK = re.compile(r"[^\S\n\r\x0b\x0c\x1c-\x1e\x85  ]*(?:\r\n|[\n\r\x0b\x0c\x85  ])\s*")
 _LIST = regex.compile(r"(?:[-*•‣◦▪–—]|\(?\d{1,3}[.)])[ \t ]+(?=\S)")
-_NUMBERED = regex.compile(r"\(?\d{1,3}[.)]")
+_NUMBERED = re.compile(r"\(?\d{1,3}[.)]")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}](?:[\p{L}\p{M}\p{N}'’.\-‑]*[\p{L}\p{M}\p{N}])?")
 _TOKEN = regex.compile(r"(?r)\S{1,60}")  # matched backwards from a place
 _WORDS_BEFORE = regex.compile(r"(?r)[^\s。！？，、]+")
-_AHEAD = regex.compile(r"[^\s。！？，、]*")
-_NEWLINE = regex.compile(r"[\n\r\x0b\x0c\x85\u2028\u2029]")
+_AHEAD = re.compile(r"[^\s。！？，、]*")
+_NEWLINE = re.compile(r"[\n\r\x0b\x0c\x85\u2028\u2029]")
 _ADDRESS = regex.compile(r"www\.|://|@|[=_\\]")
 _THAI_GAP = regex.compile(rf"(?<=[฀-๿])(?:{_EMOJI_RUN.pattern}[ \t\xa0　]*|[ \t\xa0　]+)(?=\S)")
-_CJK_GAP = regex.compile(r"(?<=[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff])[ \u00a0\u3000]+(?=[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff])")
-_LINE = regex.compile(r"[^\r\n\x85  ]*")
-_PARAGRAPH = regex.compile(r"(?:\r?\n|\r)[^\S\r\n]*(?:\r?\n|\r)")
+_CJK_GAP = re.compile(r"(?<=[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff])[ \u00a0\u3000]+(?=[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff])")
+_LINE = re.compile(r"[^\r\n\x85  ]*")
+_PARAGRAPH = re.compile(r"(?:\r?\n|\r)[^\S\r\n]*(?:\r?\n|\r)")
 _INNER_END = regex.compile(r"(?:[!?।॥؟]|[\p{L}\p{M}]{4}\.)[^\S\r\n]+[^\s]")
 _PIECES = regex.compile(r"(?:\p{L}{1,2}\.){1,3}(?=\s)")
 _PIECE = regex.compile(r"(\p{L}{1,4})\.")
 _CASED = regex.compile(r"[\p{Lu}\p{Ll}\p{Lt}]")
-_SPACELESS = regex.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿]")
+_SPACELESS = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿]")
 _OUTER = " \t\n\r\x0b\x0c"
-_BLANK_LINE = regex.compile(r"\n\s*\n")
+_BLANK_LINE = re.compile(r"\n\s*\n")
 _AFTER_END = regex.compile(r"(?:[!?]|\p{Ll}{3}\.)\s+(?=(\p{L}))")
-_QUOTES = regex.compile(r"[«»“”„‚‘’「」『』()（）\[\]《》〈〉【】\"']")
+_QUOTES = re.compile(r"[«»“”„‚‘’「」『』()（）\[\]《》〈〉【】\"']")
 _LETTER = regex.compile(r"[\p{L}\p{N}]")
 _JOINTS = regex.compile(r"[.\-]")
 _INITIALS = regex.compile(r"(?:\p{L}\p{M}*\.)+\p{L}\p{M}*")
 _FIGURES = regex.compile(r"\d+(?:\.\d+)*")
-_CLAUSE = regex.compile(r"[\s。！？，、]")
+_CLAUSE = re.compile(r"[\s。！？，、]")
 _SHOWN = regex.compile(r"[\p{L}\p{N}\p{So}]")
 _RUN = regex.compile(r"(?r)[\p{L}\p{M}\p{N}%°'’]+")
 
@@ -185,6 +188,8 @@ def _first_letter(text: str, at: int) -> str:
 
 def _case(text: str, at: int, token: str) -> str:
     """What the letter case at a place tells: upper, lower, or nothing (``none`` without case, ``shout`` in capitals)."""
+    if text[at : at + 1].isupper() and text[at + 1 : at + 2].islower():
+        return "upper"
     c = _first_letter(text, at)
     if not c or c.isdigit() or not _CASED.match(c):
         return "digit" if c and c.isdigit() else "none"
@@ -222,6 +227,8 @@ def _full_stop(t: _Text, start: int, end: int, after: int, sentence: int) -> flo
     text = t.text
     m = _TOKEN.match(text, max(sentence, start - 60), start)
     token = m.group() if m else ""
+    if len(token) > 5 and token.isalpha() and text[after].isupper() and text[after + 1 : after + 2].islower() and token.casefold() not in ROLES and text[start - len(token) - 2 : start - len(token) - 1] != ".":
+        return 2.0  # a whole word before the point, a capital after it
     earlier = text[max(sentence, start - len(token) - 24) : max(sentence, start - len(token))].rstrip()
     lead = _TOKEN.match(earlier)
     before = lead.group().casefold() if lead else ""
@@ -231,7 +238,7 @@ def _full_stop(t: _Text, start: int, end: int, after: int, sentence: int) -> flo
     opener = text[after] in "¿¡«„“‚‘「『\"'"
     bare = token.casefold().strip("«»“”„‚‘’()[]\"'¿¡,;:").rstrip(".")
     joined = _PIECE.match(text, after)
-    if joined and f"{bare}.{joined.group(1).casefold()}" in NEVER | MAYBE | LISTS:
+    if joined and f"{bare}.{joined.group(1).casefold()}" in INNER:
         return -3.0  # the first part of an abbreviation in two parts
     word = _next_word(text, after)
     style_free = case in ("upper",)  # letter case of the next word is evidence
@@ -400,7 +407,7 @@ def _candidates(t: _Text) -> list[tuple[int, int, str]]:
     found = [(m.start(), m.end(), "mark") for m in _MARKS.finditer(text)]
     if _NEWLINE.search(text):
         found += [(m.start(), m.end(), "break") for m in _BREAK.finditer(text)]
-    if text and max(text) >= "\u0e00":
+    if text and max(text) >= "\u0e00" and _SPACELESS.search(text):
         found += [(m.start(), m.end(), "gap") for m in _THAI_GAP.finditer(text)]
         found += [(m.start(), m.end(), "gap") for m in _CJK_GAP.finditer(text)]
         found.sort()
@@ -479,11 +486,24 @@ def _break(t: _Text, path: _Path, start: int, end: int, line: int, inside: int)
     return _line_break(t, start, end, sentence, path.line == line)
 
 
+def _plain(text: str, start: int, end: int, sentence: int) -> bool:
+    """Whether a mark is one between a whole word and a capitalised one, which needs no further look: :func:`_mark` gives 2."""
+    if end - start != 1 or start <= sentence or text[end : end + 1] != " " or not text[end + 1 : end + 2].isupper() or not text[end + 2 : end + 3].islower():
+        return False
+    if text[start] in "!?":
+        return text[start - 1].isalpha()
+    if text[start] != "." or start - sentence < 8:
+        return False
+    token = _TOKEN.match(text, max(sentence, start - 60), start)
+    word = token.group() if token else ""
+    return len(word) > 5 and word.isalpha() and word.casefold() not in ROLES and text[start - len(word) - 2] != "." and not _PIECE.match(text, end + 1)
+
+
 def _split(text: str, opens: frozenset[str]) -> list[tuple[int, int]]:
     t = _Text(text, opens)
     pairs = sorted(t.inside)
     paths = [_Path(0.0, _skip(text, 0), -1, -1, None)]
-    block, around = 0, []
+    block, around, lined = 0, [], "\n" in text or "\r" in text
     for start, end, kind in _candidates(t):
         while block < len(pairs) and pairs[block][0] <= start:
             around.append(pairs[block])
@@ -492,7 +512,10 @@ def _split(text: str, opens: frozenset[str]) -> list[tuple[int, int]]:
             around = [p for p in around if p[1] > start]
         if kind == "break" and end >= len(text):
             continue
-        line = max(text.rfind("\n", 0, start), text.rfind("\r", 0, start)) + 1
+        line = max(text.rfind("\n", 0, start), text.rfind("\r", 0, start)) + 1 if lined else 0
+        if kind == "mark" and not around and len(paths) == 1 and _plain(text, start, end, paths[0].sentence):
+            paths = [_Path(paths[0].total + 2.0, end + 1, end, line, (end, paths[0].ends))]
+            continue
         stop, closed = _closed(t, end) if kind == "mark" else (start, None)
         further: list[_Path] = []
         for path in paths:
@@ -553,7 +576,11 @@ def _split(text: str, opens: frozenset[str]) -> list[tuple[int, int]]:
 
 
 def _skip(text: str, at: int) -> int:
-    if at >= len(text) or not text[at].isspace():
+    size = len(text)
+    if at >= size or not text[at].isspace():
+        return at
+    at += 1
+    if at < size and not text[at].isspace():
         return at
     while at < len(text) and text[at].isspace():
         at += 1
@@ -579,8 +606,7 @@ def _mark(t: _Text, start: int, end: int, stop: int, closed: int | None, sentenc
     gap = text[stop].isspace()
     if sentence == start and not closed:
         return -1.0  # nothing before the marks
-    line = text[sentence:start]
-    if _NUMBERED.fullmatch(text[sentence:end]) and gap:
+    if gap and end - sentence <= 6 and _NUMBERED.fullmatch(text, sentence, end):
         return -3.0  # the number of a list entry
     if m:
         return 2.0
@@ -628,7 +654,7 @@ def _mark(t: _Text, start: int, end: int, stop: int, closed: int | None, sentenc
         token = text[max(0, start - 60) : start].split()
         if token and _ADDRESS.search(token[-1] + text[end : end + 20].split()[0]) or (token and "/" in token[-1]):
             return None
-    if not line.strip("¿¡"):
+    if not text[sentence:start].strip("¿¡"):
         return -1.0
     return 2.0
 
@@ -639,7 +665,7 @@ _OPENER = "(?U)(?:^|[.!?\u2026\u061f\u0964][\"\u00bb\u201d]?\\s+)(\\p{Lu}[\\p{L}
 def opening_words(texts: DataFrame, column: str) -> frozenset[str]:
     """Words that open at least the share ``OPENING`` of all sentences of the corpus that an upper-case letter shows to begin.
 
-    Counted over all texts in the JVM with partial aggregation; by the share there are at most 1 / OPENING of them.
+    Counted over all texts, as often as they come, in the JVM with partial aggregation; by the share there are at most 1 / OPENING of them.
     """
     found = texts.select(F.explode(F.regexp_extract_all(F.col(column), F.lit(_OPENER), F.lit(1))).alias("w"))
     counted = scratch.written(found.groupBy(F.lower("w").alias("w")).agg(F.count(F.lit(1)).alias("n")), "openings")
@@ -657,7 +683,7 @@ def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     kind = documents.schema[key].dataType.simpleString()
     once = documents.select(F.col(key), F.col(text).cast("string").alias("text")).where(F.length("text") > 0).dropDuplicates([key])
-    opens = OPENS | opening_words(once, "text")
+    opens = OPENS | opening_words(documents.select(F.col(text).cast("string").alias("text")), "text")
 
     def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -666,12 +692,12 @@ def sentences(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
             ends: list[int] = []
             known: dict[str, list[tuple[int, int]]] = {}  # copied texts are divided once
             for i, t in enumerate(batch.column(1).to_pylist()):
-                if t not in known:
-                    known[t] = split(t, opens)
-                for a, b in known[t]:
-                    rows.append(i)
-                    starts.append(a)
-                    ends.append(b)
+                found = known.get(t)
+                if found is None:
+                    found = known[t] = split(t, opens)
+                rows += [i] * len(found)
+                starts += [a for a, _ in found]
+                ends += [b for _, b in found]
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=[key, "start_pos", "end_pos"])
 
