@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pointlake.operators import parse_split, schema_drift
 from pointlake.plans.tables import table
@@ -29,6 +30,7 @@ QUERIES = {
     "p1_unified": _unified,
     "p1_table": lambda s, d: schema_drift.unified_values(_typed(s, d), _unified(s, d)),
     "p4_found": lambda s, d: parse_split.failed(_checked(s, d)),
+    "p4_lines": lambda s, d: _checked(s, d).where("size(errors) = 0").select("file_id", "line_no", F.array_join("vals", "|", "").alias("vals")).distinct(),
     "p4_points": lambda s, d: parse_split.points(_checked(s, d), typed=True),
 }
 
@@ -127,4 +129,10 @@ SELECT DISTINCT file_id, line_no, 'value' FROM whole WHERE
   END
 """
 
-SQL = {"p1_found": P1_FOUND, "p4_found": P4_FOUND}
+_HEAD, _FAILED = P4_FOUND.split("SELECT file_id, line_no, 'quoting'", 1)
+#: The lines that do not fail, with their values.
+P4_LINES = f"""{_HEAD.rstrip()},
+failed AS (SELECT file_id, line_no FROM (SELECT file_id, line_no, 'quoting'{_FAILED}))
+SELECT file_id, line_no, array_to_string(vals, '|') AS vals FROM (
+  SELECT file_id, line_no, vals FROM bare WHERE quoted UNION SELECT file_id, line_no, vals FROM pcd) WHERE (file_id, line_no) NOT IN (SELECT (file_id, line_no) FROM failed)"""
+SQL = {"p1_found": P1_FOUND, "p4_found": P4_FOUND, "p4_lines": P4_LINES}

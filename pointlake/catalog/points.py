@@ -158,7 +158,7 @@ QUERIES = {
     "scan_normals_knn": lambda s, d: rounded(_scan_normals(s, d), "nx", "ny", "nz").select("cloud_id", "pid", "nx", "ny", "nz"),
     "scan_normals_radius": lambda s, d: rounded(_scan_normals(s, d, 0.3005), "nx", "ny", "nz").select("cloud_id", "pid", "nx", "ny", "nz"),
     "scan_surface_variation": lambda s, d: rounded(_scan_normals(s, d), "curvature").select("cloud_id", "pid", "curvature"),
-    "scan_gicp_covariances": lambda s, d: rounded(normals.registration_covariances(scans(s, d), 12), "cxx", "cxy", "cxz", "cyy", "cyz", "czz"),
+    "scan_gicp_covariances": lambda s, d: rounded(normals.registration_covariances(scans(s, d), 12), "cxx", "cxy", "cxz", "cyy", "cyz", "czz", places=9),
     "scan_nearest_correspondence": lambda s, d: rounded(neighbors.nearest(scans(s, d), transforms.transform_points(scans(s, d), POSE), 0.1), "distance"),
     "scan_shot": lambda s, d: features.shot(oriented(s, d), 0.3005, 10),
     "scan_unique_shape_context": lambda s, d: features.unique_shape_context(oriented(s, d), 0.3005, 10),
@@ -217,3 +217,19 @@ p AS (SELECT a.pid AS source, b.pid AS target, list_sum(list_transform(list_zip(
 SELECT source, target, round(sqrt(d2), 4) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY d2, target) AS k FROM p) WHERE k = 1""",
 }
 SQL["nearest_correspondence"] = f"SELECT cloud_id, pid, neighbor, {r6('sqrt(d2)', 'distance')} FROM {_knn(EMBEDDINGS, moved(EMBEDDINGS, POSE), 1, 'TRUE')} WHERE d2 <= 0.1::DOUBLE * 0.1::DOUBLE"
+_SCAN_COV = {"cxx": "xx", "cxy": "xy", "cxz": "xz", "cyy": "yy", "cyz": "yz", "czz": "zz"}
+SQL["scan_nearest_correspondence"] = f"SELECT cloud_id, pid, neighbor, {r6('sqrt(d2)', 'distance')} FROM {_knn(SCANS, moved(SCANS, POSE), 1, 'abs(a.x - b.x) <= 0.1::DOUBLE')} WHERE d2 <= 0.1::DOUBLE * 0.1::DOUBLE"
+SQL["scan_gicp_covariances"] = f"SELECT cloud_id, pid, {', '.join(r6(f'covar_samp({ab[1]}, {ab[0]}) + {0.0001 if ab[0] == ab[1] else 0}::DOUBLE', c, 9) for c, ab in _SCAN_COV.items())} FROM (SELECT cloud_id, pid, bx AS x, by_ AS y, bz AS z FROM {_knn(SCANS, SCANS, 12, 'TRUE')}) GROUP BY cloud_id, pid"
+SQL["scan_surface_variation"] = f"SELECT cloud_id, pid, {r6('CASE WHEN e_min + e_mid + e_max > 0 THEN greatest(e_min, 0) / (e_min + e_mid + e_max) ELSE 0 END', 'curvature')} FROM {staged_sql(_covariance(_knn(SCANS, SCANS, 10), SCANS), EIGENVALUES)}"
+SQL["scan_euclidean_clusters"] = f"""WITH RECURSIVE c AS (
+  SELECT cloud_id, pid, x, y, z, CAST(floor(x / 0.3005) AS INT) AS cx, CAST(floor(y / 0.3005) AS INT) AS cy FROM {SCANS}),
+n AS (SELECT cloud_id, pid, x, y, z, cx + i AS cx, cy + j AS cy FROM c, range(-1, 2) a(i), range(-1, 2) b(j)),
+e AS (
+  SELECT c.cloud_id, c.pid AS u, n.pid AS v FROM c JOIN n ON c.cloud_id = n.cloud_id AND c.cx = n.cx AND c.cy = n.cy
+  WHERE c.pid <> n.pid AND (c.x - n.x) * (c.x - n.x) + (c.y - n.y) * (c.y - n.y) + (c.z - n.z) * (c.z - n.z) <= 0.3005 * 0.3005),
+r(cloud_id, u, root) AS (
+  SELECT cloud_id, pid, pid FROM c UNION SELECT e.cloud_id, e.v, r.root FROM r JOIN e ON r.cloud_id = e.cloud_id AND r.u = e.u WHERE e.v > r.root),
+l AS (SELECT cloud_id, u AS pid, min(root) AS root FROM r GROUP BY cloud_id, u),
+s AS (SELECT cloud_id, root, count(*) AS size FROM l GROUP BY cloud_id, root HAVING count(*) >= 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY cloud_id ORDER BY size DESC, root) - 1 AS cluster_id FROM s)
+SELECT l.cloud_id, l.pid, CAST(k.cluster_id AS INT) AS cluster_id, k.size FROM l JOIN k ON l.cloud_id = k.cloud_id AND l.root = k.root"""

@@ -177,20 +177,25 @@ def _solve(h: np.ndarray, g: np.ndarray) -> np.ndarray:
         raise ValueError("the system is ill-conditioned") from e
 
 
+def plane_system(pairs: DataFrame) -> DataFrame:
+    """One row of sums over correspondences whose ``to`` has normals: n, squared gaps e, and the 6 x 6 normal equations h, g."""
+    s, t, n = [F.col(a) for a in XYZ], [F.col(f"to.{a}") for a in XYZ], [F.col(f"to.n{a}") for a in XYZ]
+    row = [s[1] * n[2] - s[2] * n[1], s[2] * n[0] - s[0] * n[2], s[0] * n[1] - s[1] * n[0], *n]
+    gap = sum(((b - a) * c for a, b, c in zip(s, t, n)), F.lit(0.0))
+    lined = pairs.select(*(c.alias(f"a{i}") for i, c in enumerate(row)), gap.alias("b"))
+    sums = [F.sum(F.col(f"a{i}") * F.col(f"a{j}")).alias(f"h{i}{j}") for i in range(6) for j in range(i, 6)] + [F.sum(F.col(f"a{i}") * F.col("b")).alias(f"g{i}") for i in range(6)]
+    return lined.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("b") * F.col("b")).alias("e"), *sums)
+
+
 def icp_point_to_plane(source: DataFrame, target: DataFrame, init: np.ndarray | None = None, max_iterations: int = 50, threshold: float = 1e-6, max_distance: float | None = None) -> Registration:
     """Point-to-plane registration; the target has normals ``nx, ny, nz``. Fewer than 6 pairs are an error."""
     _checked(max_iterations, threshold, max_distance)
     source, target = _pair(source, target, "nx", "ny", "nz")
     pose, before = np.eye(4) if init is None else init, np.inf
-    s, t, n = [F.col(a) for a in XYZ], [F.col(f"to.{a}") for a in XYZ], [F.col(f"to.n{a}") for a in XYZ]
-    row = [s[1] * n[2] - s[2] * n[1], s[2] * n[0] - s[0] * n[2], s[0] * n[1] - s[1] * n[0], *n]
-    gap = sum(((b - a) * c for a, b, c in zip(s, t, n)), F.lit(0.0))
     ready = Prepared(target, 1, (*XYZ, "nx", "ny", "nz"))
     for turn in range(max_iterations):
         pairs = correspondences(source, target, pose, max_distance, carry=(*XYZ, "nx", "ny", "nz"), prepared=ready)
-        lined = pairs.select(*(c.alias(f"a{i}") for i, c in enumerate(row)), gap.alias("b"))
-        sums = [F.sum(F.col(f"a{i}") * F.col(f"a{j}")).alias(f"h{i}{j}") for i in range(6) for j in range(i, 6)] + [F.sum(F.col(f"a{i}") * F.col("b")).alias(f"g{i}") for i in range(6)]
-        got = lined.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("b") * F.col("b")).alias("e"), *sums).first()
+        got = plane_system(pairs).first()
         if got["n"] < 6:
             raise ValueError("fewer than 6 correspondences")
         h, g, _ = _system(np.array([got[k] for k in (*_H, *_G)]))
