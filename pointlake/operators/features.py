@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -190,72 +189,97 @@ def fpfh_of_positions(cloud: DataFrame) -> DataFrame:
     return fpfh(scratch.written(estimate_normals(cloud, 10), "normals"))
 
 
-def _frame(own: np.ndarray, normal: np.ndarray, at: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Local reference frame: the normal, and the direction of most spread in its plane, each signed by the majority."""
-    delta = at - own
-    length = np.linalg.norm(normal)
-    z = normal / length if length > 1e-10 else np.array([0.0, 0.0, 1.0])
-    if 2 * (delta @ z >= 0).sum() < len(at):
-        z = -z
+def _frames(n: int, q: np.ndarray, delta: np.ndarray, normal: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Local frames (x, y, z) of n points: the normal, and the direction of most spread in its plane, each signed by the majority.
+
+    ``q`` and ``delta`` are the point and the offset of each neighbour, ``normal`` the points' normals.
+    """
+    dot_ = lambda u, v: (u * v).sum(axis=1)
+    total = np.bincount(q, minlength=n)
+    turned = lambda v: np.where(2 * np.bincount(q[dot_(delta, v[q]) >= 0], minlength=n) < total, -1.0, 1.0)[:, None]
+    length = np.linalg.norm(normal, axis=1)
+    z = np.where((length > 1e-10)[:, None], normal / np.where(length > 0, length, 1)[:, None], np.array([0.0, 0.0, 1.0]))
+    z = z * turned(z)
     w = np.maximum(radius - np.linalg.norm(delta, axis=1), 0)
-    x = np.linalg.eigh((delta * w[:, None]).T @ delta)[1][:, -1]
-    x = x if x[np.argmax(abs(x))] > 0 else -x
-    if 2 * (delta @ x >= 0).sum() < len(at):
-        x = -x
-    for candidate in (x, np.array([1.0, 0, 0]), np.array([0, 1.0, 0])):
-        flat = candidate - z * (z @ candidate)
-        if np.linalg.norm(flat) > 1e-10:
-            x = flat / np.linalg.norm(flat)
-            break
-    return x, np.cross(z, x), z
-
-
-def _describe(variant: str, radius: float):
+    spread = np.empty((n, 3, 3))
+    for i in range(3):
+        for j in range(i, 3):
+            spread[:, i, j] = spread[:, j, i] = np.bincount(q, weights=w * delta[:, i] * delta[:, j], minlength=n)
+    x = np.linalg.eigh(spread)[1][:, :, -1] if n else np.empty((0, 3))
+    x = x * np.where(np.take_along_axis(x, np.abs(x).argmax(axis=1)[:, None], axis=1) > 0, 1.0, -1.0)
+    x = x * turned(x)
+    out, left = np.zeros((n, 3)), np.ones(n, dtype=bool)
+    for candidate in (x, np.broadcast_to([1.0, 0.0, 0.0], (n, 3)), np.broadcast_to([0.0, 1.0, 0.0], (n, 3))):
+        flat = candidate - z * dot_(z, candidate)[:, None]
+        size = np.linalg.norm(flat, axis=1)
+        take = left & (size > 1e-10)
+        out[take] = flat[take] / size[take][:, None]
+        left &= ~take
+    return out, np.cross(z, out), z
+
+
+def _signatures(variant: str, radius: float, n: int, q: np.ndarray, delta: np.ndarray, normal: np.ndarray, normals: np.ndarray) -> np.ndarray:
+    """The descriptors of n points, from the offsets and normals of their neighbours."""
     size = 352 if variant == "shot" else 128
-
-    def one(group: pd.DataFrame) -> np.ndarray:
-        first = group.iloc[0]
-        own, normal = np.array(first["own"][:3], dtype=float), np.array(first["own"][3:], dtype=float)
-        to = np.array(group["to"].tolist(), dtype=float)
-        at, normals = to[:, :3], to[:, 3:]
-        x, y, z = _frame(own, normal, at, radius)
-        delta = at - own
-        distance = np.linalg.norm(delta, axis=1)
-        near = (distance >= 1e-10) & (distance <= radius)
-        delta, distance, normals = delta[near], distance[near], normals[near]
-        out = np.zeros(size)
-        if len(delta):
-            lx, ly, lz = delta @ x, delta @ y, delta @ z
-            sector = np.minimum(((np.arctan2(ly, lx) + np.pi) / (2 * np.pi) * 8).astype(int), 7)
-            if variant == "shot":
-                volume = np.where(distance <= radius / 2, 0, 16) + np.where(lz < 0, 0, 8) + sector
-                slope = np.minimum(((np.clip(normals @ z, -1, 1) + 1) / 2 * BINS).astype(int), BINS - 1)
-                np.add.at(out, volume * BINS + slope, 1)
-                out /= np.maximum(np.repeat(np.bincount(volume, minlength=32), BINS), 1)
-            else:
-                rise = np.minimum(((np.clip(lz / distance, -1, 1) + 1) / 2 * 4).astype(int), 3)
-                shell = np.minimum((distance / radius * 4).astype(int), 3)
-                np.add.at(out, sector * 16 + rise * 4 + shell, 1)
-                out /= len(delta)
-        length = np.linalg.norm(out)
-        return out / length if length > 1e-10 else out
-
-    def describe(batches):
-        for batch in batches:
-            groups = batch["near"]
-            rows = [one(pd.DataFrame({"own": [tuple(o.values()) if isinstance(o, dict) else tuple(o)] * len(n), "to": [tuple(t.values()) if isinstance(t, dict) else tuple(t) for t in n]})) for o, n in zip(batch["own"], groups)]
-            yield pd.DataFrame({KEY: batch[KEY], "pid": batch["pid"], "feature": rows})
-
-    return describe
+    x, y, z = _frames(n, q, delta, normal, radius)
+    distance = np.linalg.norm(delta, axis=1)
+    near = (distance >= 1e-10) & (distance <= radius)
+    q, delta, distance, normals = q[near], delta[near], distance[near], normals[near]
+    lx, ly, lz = ((delta * v[q]).sum(axis=1) for v in (x, y, z))
+    sector = np.minimum(((np.arctan2(ly, lx) + np.pi) / (2 * np.pi) * 8).astype(int), 7)
+    if variant == "shot":
+        volume = np.where(distance <= radius / 2, 0, 16) + np.where(lz < 0, 0, 8) + sector
+        slope = np.minimum(((np.clip((normals * z[q]).sum(axis=1), -1, 1) + 1) / 2 * BINS).astype(int), BINS - 1)
+        bins, whole = volume * BINS + slope, np.bincount(q * 32 + volume, minlength=n * 32).reshape(n, 32).repeat(BINS, axis=1)
+    else:
+        rise = np.minimum(((np.clip(lz / distance, -1, 1) + 1) / 2 * 4).astype(int), 3)
+        shell = np.minimum((distance / radius * 4).astype(int), 3)
+        bins, whole = sector * 16 + rise * 4 + shell, np.bincount(q, minlength=n)[:, None]
+    out = np.bincount(q * size + bins, minlength=n * size).reshape(n, size) / np.maximum(whole, 1)
+    length = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, length, out=np.zeros_like(out), where=length > 1e-10)
 
 
 def _signature(cloud: DataFrame, variant: str, radius: float, k: int) -> DataFrame:
+    """Descriptors in blocks with a rim of the radius; points with fewer than k others in it take their k nearest instead."""
     positive(radius=radius)
-    pairs = _around(cloud, radius, k)
-    # a point's neighbourhood is as large as its radius holds; one row per point reaches Python in batches
-    rows = pairs.groupBy(KEY, "pid").agg(F.first("own").alias("own"), F.array_sort(F.collect_list(F.struct("neighbor", "to"))).alias("n")).select(KEY, "pid", "own", F.transform("n", lambda p: p["to"]).alias("near"))
     kind = cloud.schema[KEY].dataType.simpleString()
-    return rows.mapInPandas(_describe(variant, radius), f"{KEY} {kind}, pid bigint, feature array<double>")
+    points = scratch.written(cloud.select(KEY, F.col("pid").cast("bigint").alias("pid"), *(F.col(c).cast("double").alias(c) for c in _POINT)), "points")
+    schema = f"{KEY} {kind}, pid bigint, feature array<double>"
+
+    def describe(b: Blocks) -> Iterator[pa.RecordBatch]:
+        pid = b.table["pid"].to_numpy()
+        normals = np.column_stack([b.table[f"n{c}"].to_numpy() for c in "xyz"])
+        home, grid = np.flatnonzero(b.home), b.grid()
+        for first in range(0, len(home), 5_000):
+            part = home[first : first + 5_000]
+            # all pairs of a point are needed at once
+            found = [(q[o], m[o]) for q, m, _ in grid.within(b.block[part], b.xyz[part], radius) for o in [pid[part[q]] != pid[m]]]
+            q, m = (np.concatenate([f[i] for f in found]) if found else np.empty(0, dtype=np.int64) for i in (0, 1))
+            value = _signatures(variant, radius, len(part), q, b.xyz[m] - b.xyz[part[q]], normals[part], normals[m])
+            full = np.bincount(q, minlength=len(part)) >= k
+            rows = pa.array(part)
+            feature = pa.array([v if f else None for v, f in zip(value, full)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(b.table[c].combine_chunks().take(rows) for c in (KEY, "pid")), feature], names=[KEY, "pid", "feature"])
+
+    first = scratch.written(in_blocks(points, radius, describe, schema), "described")
+    thin = points.join(first.where("feature IS NULL").select(KEY, "pid"), [KEY, "pid"], "left_semi")
+    near = knn(thin, points, k, exclude_self=True, carry=_POINT)
+    lists = near.groupBy(KEY, "pid").agg(F.array_sort(F.collect_list(F.struct("rank", *(F.col(f"to.{c}").alias(f"t{c}") for c in _POINT)))).alias("near"))
+    rows = points.join(first.where("feature IS NULL").select(KEY, "pid"), [KEY, "pid"], "left_semi").join(lists, [KEY, "pid"])
+
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = {c: batch.column(c).to_numpy() for c in _POINT}
+            held = batch.column("near")
+            to = held.flatten()
+            q = np.repeat(np.arange(batch.num_rows), np.diff(held.offsets.to_numpy()))
+            at = lambda names: np.column_stack([to.field(f"t{c}").to_numpy() for c in names])  # noqa: B023, E731
+            mine = lambda names: np.column_stack([own[c] for c in names])  # noqa: B023, E731
+            value = _signatures(variant, radius, batch.num_rows, q, at(_POINT[:3]) - mine(_POINT[:3])[q], mine(_POINT[3:]), at(_POINT[3:]))
+            yield pa.RecordBatch.from_arrays([batch.column(KEY), batch.column("pid"), _lists(value)], names=[KEY, "pid", "feature"])
+
+    return first.where("feature IS NOT NULL").unionByName(rows.mapInArrow(few, schema))
 
 
 def shot(cloud: DataFrame, radius: float = 0.2, k: int = 10) -> DataFrame:
