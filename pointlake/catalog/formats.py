@@ -44,6 +44,7 @@ QUERIES = {
     "roundtrip_pcd_text": _cloud("pcd", text=True),
     "roundtrip_kitti": _cloud("kitti"),
     "roundtrip_obj": _cloud("obj"),
+    "roundtrip_e57": _cloud("e57"),
     "read_xyz_folder": _text,
     "roundtrip_pointcloud2": _messages,
 }
@@ -55,6 +56,7 @@ SQL = {
     "roundtrip_pcd_text": _BACK,
     "roundtrip_kitti": f"SELECT {', '.join(r6(c, c, 3) for c in XYZ)} FROM {SCANS}",
     "roundtrip_obj": _BACK,
+    "roundtrip_e57": _BACK,
     "read_xyz_folder": f"SELECT x, y, z FROM {SCANS}",
     "roundtrip_pointcloud2": f"SELECT cloud_id, {', '.join(r6(c, c, 3) for c in XYZ)} FROM {SCANS}",
 }

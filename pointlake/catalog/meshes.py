@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointlake.catalog.clouds import r6, rounded
+from pointlake.catalog.clouds import SCANS, r6, rounded, scans
 from pointlake.operators import mesh
+from pointlake.plans.ranks import ranked
 
 SIDE = 24
 XYZ = ("x", "y", "z")
@@ -30,6 +31,17 @@ def _mesh(s: SparkSession) -> tuple[DataFrame, DataFrame]:
     return grid_vertices(s), grid_faces(s)
 
 
+def strips(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A mesh of each recorded cloud: its points in pid order, every three that follow each other a triangle of a strip."""
+    points = ranked(scans(s, d), ["cloud_id", "pid"])
+    first = points.groupBy("cloud_id").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n"))
+    numbered = points.join(first, "cloud_id").select(F.col("cloud_id").alias("mesh_id"), (F.col("rank") - F.col("first")).alias("vid"), *XYZ, "n")
+    vid = F.col("vid")
+    corners = F.when(vid % 2 == 0, F.struct(vid.alias("a"), (vid + 1).alias("b"), (vid + 2).alias("c"))).otherwise(F.struct((vid + 1).alias("a"), vid.alias("b"), (vid + 2).alias("c")))
+    faces = numbered.where(vid + 2 < F.col("n")).select("mesh_id", vid.alias("fid"), corners.alias("t")).select("mesh_id", "fid", "t.*")
+    return numbered.drop("n"), faces
+
+
 VERTICES = f"(SELECT 'grid' AS mesh_id, id AS vid, CAST(id // {SIDE} AS DOUBLE) AS x, CAST(id % {SIDE} AS DOUBLE) AS y, sin((id // {SIDE}) / 5.0::DOUBLE) * cos((id % {SIDE}) / 5.0::DOUBLE) AS z FROM range({SIDE * SIDE}) r(id))"
 _N = SIDE - 1
 FACES = f"""(SELECT 'grid' AS mesh_id, f.fid AS fid, f.a AS a, f.b AS b, f.c AS c FROM (SELECT unnest([
@@ -94,8 +106,29 @@ QUERIES = {
     "default_uvs": lambda s, d: rounded(mesh.default_uvs(grid_vertices(s)), "z"),
     "mesh_tangents": lambda s, d: mesh.tangents(mesh.default_uvs(grid_vertices(s)), grid_faces(s), mesh.vertex_normals(*_mesh(s))),
     "mesh_completeness": lambda s, d: mesh.completeness(mesh.default_uvs(grid_vertices(s))),
+    # the same on meshes of all recorded clouds
+    "scan_face_normals": lambda s, d: rounded(mesh.face_normals(*strips(s, d)), "nx", "ny", "nz"),
+    "scan_vertex_normals": lambda s, d: rounded(mesh.vertex_normals(*strips(s, d), normalize=False), "nx", "ny", "nz", places=9),
+    "scan_vertex_valence": lambda s, d: mesh.valence(strips(s, d)[1]),
+    "scan_boundary_edges": lambda s, d: mesh.boundary_edges(strips(s, d)[1]),
+    "scan_smooth_laplacian": lambda s, d: rounded(mesh.smooth_laplacian(*strips(s, d), 2, 0.5), *XYZ, places=9),
+    "scan_simplify_clustering": lambda s, d: mesh.simplify_clustering(*strips(s, d), 0.5)[0],
 }
 
+_SV = f"(SELECT cloud_id AS mesh_id, row_number() OVER (PARTITION BY cloud_id ORDER BY pid) - 1 AS vid, x, y, z, count(*) OVER (PARTITION BY cloud_id) AS n FROM {SCANS})"
+_SF = f"(SELECT mesh_id, vid AS fid, CASE WHEN vid % 2 = 0 THEN vid ELSE vid + 1 END AS a, CASE WHEN vid % 2 = 0 THEN vid + 1 ELSE vid END AS b, vid + 2 AS c FROM {_SV} WHERE vid + 2 < n)"
+_SQ = f"(SELECT *, {', '.join(f'lead({c}, {n}) OVER (PARTITION BY mesh_id ORDER BY vid) AS {c}{n}' for n in (1, 2) for c in XYZ)} FROM {_SV})"
+_SP = f"(SELECT mesh_id, vid AS fid, CASE WHEN vid % 2 = 0 THEN vid ELSE vid + 1 END AS a, CASE WHEN vid % 2 = 0 THEN vid + 1 ELSE vid END AS b, vid + 2 AS c, {', '.join(f'CASE WHEN vid % 2 = 0 THEN {c} ELSE {c}1 END AS p{c}, CASE WHEN vid % 2 = 0 THEN {c}1 ELSE {c} END AS q{c}, {c}2 AS r{c}' for c in XYZ)} FROM {_SQ} WHERE vid + 2 < n)"
+_SA = f"(SELECT mesh_id, fid, a, b, c, (qy - py) * (rz - pz) - (qz - pz) * (ry - py) AS rx, (qz - pz) * (rx - px) - (qx - px) * (rz - pz) AS ry, (qx - px) * (ry - py) - (qy - py) * (rx - px) AS rz FROM {_SP})"
+_SE = f"(SELECT mesh_id, fid, e[1] AS u, e[2] AS v FROM (SELECT mesh_id, fid, unnest([[a, b], [b, c], [c, a]]) AS e FROM {_SF}))"
+_SL = f"(SELECT DISTINCT mesh_id, u AS vid, v AS neighbor FROM (SELECT mesh_id, u, v FROM {_SE} UNION ALL SELECT mesh_id, v, u FROM {_SE}))"
+
+
+def _smoothed(source: str) -> str:
+    mean = f"(SELECT l.mesh_id, l.vid, {', '.join(f'avg(v.{c}) AS m{c}' for c in XYZ)} FROM {_SL} l JOIN {source} v ON l.mesh_id = v.mesh_id AND l.neighbor = v.vid GROUP BY l.mesh_id, l.vid)"
+    return f"(SELECT v.mesh_id, v.vid, {', '.join(f'CASE WHEN m.vid IS NULL THEN v.{c} ELSE v.{c} + (m.m{c} - v.{c}) * 0.5::DOUBLE END AS {c}' for c in XYZ)} FROM {source} v LEFT JOIN {mean} m ON v.mesh_id = m.mesh_id AND v.vid = m.vid)"
+
+
 SQL = {
     "face_normals": f"SELECT mesh_id, fid, {', '.join(r6(f'n{c}', f'n{c}') for c in XYZ)} FROM {_UNIT}",
     "vertex_normals": f"SELECT mesh_id, vid, {', '.join(r6(f'r{c} / len', f'n{c}') for c in XYZ)} FROM (SELECT *, sqrt(rx * rx + ry * ry + rz * rz) AS len FROM (SELECT mesh_id, vid, sum(rx) AS rx, sum(ry) AS ry, sum(rz) AS rz FROM (SELECT mesh_id, unnest([a, b, c]) AS vid, rx, ry, rz FROM {_AREA}) GROUP BY mesh_id, vid))",
@@ -113,3 +146,10 @@ SQL = {
     "default_uvs": f"SELECT mesh_id, vid, x, y, {r6('z', 'z')}, x / {SIDE - 1}.0::DOUBLE AS u, y / {SIDE - 1}.0::DOUBLE AS v FROM {VERTICES}",
     "mesh_completeness": f"SELECT mesh_id, count(*) AS vertices, CAST(0 AS BIGINT) AS with_normals, count(*) AS with_uvs, CAST(0 AS BIGINT) AS with_tangents, CAST(0 AS BIGINT) AS with_colors, CAST(0.25 AS DOUBLE) AS score FROM {VERTICES} GROUP BY mesh_id",
 }
+SQL |= {
+    "scan_face_normals": f"SELECT mesh_id, fid, {', '.join(r6(f'CASE WHEN len > 0 THEN r{c} / len END', f'n{c}') for c in XYZ)} FROM (SELECT *, sqrt(rx * rx + ry * ry + rz * rz) AS len FROM {_SA})",
+    "scan_vertex_normals": f"SELECT v.mesh_id, v.vid, {', '.join(r6(f'coalesce(sum(r{c}), 0)', f'n{c}', 9) for c in XYZ)} FROM {_SV} v LEFT JOIN (SELECT mesh_id, unnest([a, b, c]) AS vid, rx, ry, rz FROM {_SA}) f ON v.mesh_id = f.mesh_id AND v.vid = f.vid GROUP BY v.mesh_id, v.vid",
+    "scan_vertex_valence": f"SELECT mesh_id, vid, count(*) AS valence FROM (SELECT mesh_id, unnest([a, b, c]) AS vid FROM {_SF}) GROUP BY mesh_id, vid",
+    "scan_boundary_edges": f"SELECT mesh_id, least(u, v) AS u, greatest(u, v) AS v FROM {_SE} GROUP BY mesh_id, least(u, v), greatest(u, v) HAVING count(*) = 1",
+    "scan_smooth_laplacian": f"SELECT mesh_id, vid, {', '.join(r6(c, c, 9) for c in XYZ)} FROM {_smoothed(_smoothed(_SV))}",
+}

@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from pointlake.sources import packets, parsing, ros
+from pointlake.sources import e57, packets, parsing, ros
 
 CLOUD = "cloud_id string, pid bigint, x double, y double, z double, nx double, ny double, nz double, r int, g int, b int, intensity double"
 BAG = "topic string, message_type string, ts_ns bigint, data binary"
 _KINDS = {"cloud_id": pa.string(), "pid": pa.int64(), **{c: pa.float64() for c in ("x", "y", "z", "nx", "ny", "nz")}, **{c: pa.int32() for c in "rgb"}, "intensity": pa.float64()}
 _NAMES = {"red": "r", "green": "g", "blue": "b", "normal_x": "nx", "normal_y": "ny", "normal_z": "nz", "scalar_intensity": "intensity"}
-EXTENSIONS = {".ply": "ply", ".pcd": "pcd", ".bin": "kitti", ".obj": "obj", ".stl": "stl", ".pcap": "velodyne", ".lvx": "lvx", ".lvx2": "lvx2", ".mcap": "mcap", ".db3": "db3"}
+EXTENSIONS = {".ply": "ply", ".pcd": "pcd", ".bin": "kitti", ".obj": "obj", ".stl": "stl", ".pcap": "velodyne", ".lvx": "lvx", ".lvx2": "lvx2", ".e57": "e57", ".mcap": "mcap", ".db3": "db3"}
 LINES = "path string, pid bigint, value string"
 #: Points and bytes of text of a byte range.
 RANGE_ROWS, RANGE_BYTES = 2_000_000, 32 << 20
@@ -90,8 +90,8 @@ def format_of(path: str, hint: str | None = None) -> str:
         return known
     with opened(path) as f:
         seen = parsing.sniff(f.read(4096))
-    if seen in ("las", "e57") or os.path.splitext(path)[1].lower() in (".las", ".laz", ".e57"):
-        raise UnsupportedFormat(f"{path}: LAS, LAZ and E57 are not supported")
+    if seen == "las" or os.path.splitext(path)[1].lower() in (".las", ".laz"):
+        raise UnsupportedFormat(f"{path}: LAS and LAZ are not supported")
     if not seen:
         raise ValueError(f"{path}: unknown format")
     return {"pcap": "velodyne"}.get(seen, seen)
@@ -145,6 +145,8 @@ def cloud_columns(path: str, form: str) -> dict[str, np.ndarray]:
         return dict(parsing.read_ply(data).get("vertex", {}))
     if form == "pcd":
         return parsing.read_pcd(data)[1]
+    if form == "e57":
+        return e57.read_e57(data)
     if form == "kitti":
         rows = parsing.read_kitti(data)
         return {c: rows[c] for c in rows.dtype.names}
@@ -320,7 +322,7 @@ class CloudWriter(DataSourceArrowWriter):
         self.form = options.get("form") or EXTENSIONS.get(os.path.splitext(self.path)[1].lower(), "ply")
         self.ascii = options.get("ascii", "false").lower() == "true"
         self.single = os.path.splitext(self.path)[1].lower() in EXTENSIONS
-        if self.form not in ("ply", "pcd", "kitti", "obj"):
+        if self.form not in ("ply", "pcd", "kitti", "obj", "e57"):
             raise UnsupportedFormat(f"{self.form} cannot be written")
         if not overwrite and self.single and located(self.path)[0].get_file_info(located(self.path)[1]).type != fs.FileType.NotFound:
             raise FileExistsError(self.path)
@@ -341,6 +343,8 @@ class CloudWriter(DataSourceArrowWriter):
             data = parsing.write_ply(columns, form="ascii" if self.ascii else "binary_little_endian")
         elif self.form == "pcd":
             data = parsing.write_pcd(columns, "ascii" if self.ascii else "binary")
+        elif self.form == "e57":
+            data = e57.write_e57(columns)
         elif self.form == "obj":
             data = parsing.write_obj(np.stack([columns[c] for c in "xyz"], 1), np.empty((0, 3), int)).encode()
         else:

@@ -33,7 +33,7 @@ def register_writer(extension: str, writer: Callable[[DataFrame, str], None]) ->
 
 def supported_formats() -> dict[str, list[str]]:
     """Extensions that can be read and written, as clouds and as meshes."""
-    return {"read": sorted({*EXTENSIONS, *TEXT, *_readers}), "write": sorted({".ply", ".pcd", ".bin", ".obj", *TEXT, *_writers}), "read_mesh": [".obj", ".ply", ".stl"], "write_mesh": [".obj", ".ply", ".stl"]}
+    return {"read": sorted({*EXTENSIONS, *TEXT, *_readers}), "write": sorted({".ply", ".pcd", ".bin", ".obj", ".e57", *TEXT, *_writers}), "read_mesh": [".obj", ".ply", ".stl"], "write_mesh": [".obj", ".ply", ".stl"]}
 
 
 def _extension(path: str) -> str:
@@ -60,8 +60,8 @@ def read_point_cloud(spark: SparkSession, path: str, form: str | None = None) ->
         return _readers[end](spark, path)
     if form in ("xyz", "csv", "txt") or form is None and end in TEXT:
         return read_xyz(spark, path)
-    if end in (".las", ".laz", ".e57"):
-        raise UnsupportedFormat(f"{path}: LAS, LAZ and E57 are not supported")
+    if end in (".las", ".laz"):
+        raise UnsupportedFormat(f"{path}: LAS and LAZ are not supported")
     spark.dataSource.register(PointSource)
     reader = spark.read.format("pointlake").option("path", path)
     return (reader.option("form", form) if form else reader).load()

@@ -6,7 +6,7 @@ import struct
 import numpy as np
 import pytest
 
-from pointlake.sources import datasource, packets, parsing, registry, ros
+from pointlake.sources import datasource, e57, packets, parsing, registry, ros
 
 CLOUD = "cloud_id string, pid bigint, x double, y double, z double, r int, g int, b int"
 
@@ -21,13 +21,13 @@ def places(df):
     return np.array(sorted((r.x, r.y, r.z) for r in df.collect()))
 
 
-@pytest.mark.parametrize("name,text", [("a.ply", False), ("b.ply", True), ("a.pcd", False), ("b.pcd", True), ("a.bin", False), ("a.obj", False)])
+@pytest.mark.parametrize("name,text", [("a.ply", False), ("b.ply", True), ("a.pcd", False), ("b.pcd", True), ("a.bin", False), ("a.obj", False), ("a.e57", False)])
 def test_round_trip(spark, cloud, tmp_path, name, text):
     path = str(tmp_path / name)
     registry.write_point_cloud(cloud, path, text=text)
     back = registry.read_point_cloud(spark, path)
     assert np.allclose(places(back), places(cloud), atol=1e-6)
-    if name.endswith(("ply", "pcd")):
+    if name.endswith(("ply", "pcd", "e57")):
         assert back.where("r IS NULL").count() == 0 and back.orderBy("pid").limit(3).toPandas().r.tolist() == [0, 1, 2]
 
 
@@ -220,3 +220,18 @@ def test_a_large_obj_by_ranges(spark, tmp_path):
     assert [(r.vid, r.x, r.y) for r in v.orderBy("vid").collect()] == [(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 1.0, 1.0), (3, 0.0, 1.0)]
     assert [(r.fid, r.a, r.b, r.c) for r in f.orderBy("fid").collect()] == [(0, 0, 1, 2), (1, 0, 1, 2), (2, 0, 2, 3)]
     assert registry.can_read(str(tmp_path / "m.obj")) and not registry.can_read(str(tmp_path / "none.ply")) and not registry.can_read("x", "mcap")
+
+
+def test_e57_of_other_makers(tmp_path):
+    assert e57._checksums(np.frombuffer(b"123456789", np.uint8).reshape(1, 9))[0] == 0xE3069283  # the published check value
+    # packed whole numbers, the lowest bit first
+    values = np.array([0, 5, 9])
+    bits = np.array([[v >> i & 1 for i in range(4)] for v in values], np.uint8).ravel()
+    stream = np.packbits(bits, bitorder="little").tobytes()
+    assert e57._whole(stream, 4, 3).tolist() == [0, 5, 9]
+    data = e57.write_e57({"x": np.arange(5000.0), "y": np.zeros(5000), "z": np.ones(5000), "r": np.arange(5000) % 256, "g": np.zeros(5000), "b": np.zeros(5000)})
+    back = e57.read_e57(data)
+    assert back["x"].tolist() == list(range(5000)) and back["r"].tolist() == [i % 256 for i in range(5000)]
+    for broken in (data[:-1], b"x" + data[1:], data[:2000] + b"?" + data[2001:]):
+        with pytest.raises(ValueError):
+            e57.read_e57(broken)
