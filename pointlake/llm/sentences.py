@@ -487,8 +487,12 @@ def _break(t: _Text, path: _Path, start: int, end: int, line: int, inside: int)
 
 
 def _plain(text: str, start: int, end: int, sentence: int) -> bool:
-    """Whether a mark is one between a whole word and a capitalised one, which needs no further look: :func:`_mark` gives 2."""
-    if end - start != 1 or start <= sentence or text[end : end + 1] != " " or not text[end + 1 : end + 2].isupper() or not text[end + 2 : end + 3].islower():
+    """Whether a mark needs no further look, as :func:`_mark` gives 2: a wide one between letters, others before a capitalised word."""
+    if end - start != 1 or start <= sentence:
+        return False
+    if text[start] in WIDE:
+        return text[start - 1].isalpha() and text[end : end + 1].isalpha()
+    if text[end : end + 1] != " " or not text[end + 1 : end + 2].isupper() or not text[end + 2 : end + 3].islower():
         return False
     if text[start] in "!?":
         return text[start - 1].isalpha()
@@ -510,12 +514,19 @@ def _split(text: str, opens: frozenset[str]) -> list[tuple[int, int]]:
             block += 1
         if around:
             around = [p for p in around if p[1] > start]
-        if kind == "break" and end >= len(text):
-            continue
+        if kind == "break":
+            if end >= len(text):
+                continue
+        elif text[start] == "." and end - start == 1 and text[end : end + 1].isdigit() and text[start - 1 : start].isdigit():
+            continue  # within a number
         line = max(text.rfind("\n", 0, start), text.rfind("\r", 0, start)) + 1 if lined else 0
-        if kind == "mark" and not around and len(paths) == 1 and _plain(text, start, end, paths[0].sentence):
-            paths = [_Path(paths[0].total + 2.0, end + 1, end, line, (end, paths[0].ends))]
-            continue
+        alone = paths[0] if len(paths) == 1 else None
+        if alone is not None:
+            if start < alone.sentence:
+                continue
+            if kind == "mark" and not around and _plain(text, start, end, alone.sentence):
+                alone.total, alone.sentence, alone.marked, alone.line, alone.ends = alone.total + 2.0, _skip(text, end), end, line, (end, alone.ends)
+                continue
         stop, closed = _closed(t, end) if kind == "mark" else (start, None)
         further: list[_Path] = []
         for path in paths:
@@ -524,7 +535,7 @@ def _split(text: str, opens: frozenset[str]) -> list[tuple[int, int]]:
                 continue
             # speech and remarks that began in this sentence hold it together
             inside = max((b for a, b in around if a >= path.sentence), default=-1) if around else -1
-            at, marked = stop, path.marked
+            at = stop
             if kind == "mark":
                 score = _mark(t, start, end, stop, closed, path.sentence) if inside < stop else None
             elif kind == "gap":
@@ -534,16 +545,15 @@ def _split(text: str, opens: frozenset[str]) -> list[tuple[int, int]]:
             if score is None:
                 further.append(path)
                 continue
-            if kind == "mark":
-                marked = stop
             if score > -MARGIN / 2:
                 if kind != "break":
                     m = _emoji(text, at)
                     at = m.end() if m else at
-                further.append(_Path(path.total + score, _skip(text, at), at if kind == "mark" else marked, path.line if kind == "break" else line, (at, path.ends)))
+                after = _Path(path.total + score, _skip(text, at), at if kind == "mark" else path.marked, path.line if kind == "break" else line, (at, path.ends))
+                further.append(after)
             if score < MARGIN / 2:
                 path.total -= score
-                path.marked = marked
+                path.marked = stop if kind == "mark" else path.marked
                 further.append(path)
         if len(further) > 1:
             # paths whose sentence starts alike have one future: the better stays, as do those not far behind the best
