@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +27,19 @@ def _unified(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.unified(_layouts(spark, d), schema_drift.value_sketches(_typed(spark, d)))
 
 
+def _sketches_of(spark: SparkSession, d: str) -> Callable[[DataFrame], DataFrame]:
+    """Value sketches of the typed files that a table of ``file_id`` names; lines delivered twice count once."""
+
+    def of(files: DataFrame) -> DataFrame:
+        lines = table(spark, d, "raw_line").select("file_id", "line_no", "line").join(files, "file_id", "left_semi").distinct()
+        return schema_drift.value_sketches(parse_split.check_typed(lines, table(spark, d, "pcd_header").join(files, "file_id", "left_semi")))
+
+    return of
+
+
 QUERIES = {
-    "p1_found": lambda s, d: schema_drift.changes(_layouts(s, d)),
+    "p1_found": lambda s, d: schema_drift.changes(_layouts(s, d), _sketches_of(s, d)),
+    "p1_changes": lambda s, d: schema_drift.compared(_layouts(s, d), _sketches_of(s, d)),
     "p1_unified": _unified,
     "p1_table": lambda s, d: schema_drift.unified_values(_typed(s, d), _unified(s, d)),
     "p4_found": lambda s, d: parse_split.failed(_checked(s, d)),

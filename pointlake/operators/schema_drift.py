@@ -7,7 +7,8 @@ renames. The unit of work is a pair of files, never a stream, so a stream may ho
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -58,7 +59,7 @@ def previous_files(files: DataFrame, span: str = "HOUR") -> DataFrame:
 
 
 def file_pairs(fields: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
-    """Each file with a file before it in its stream: ``(file_id, stream_id, at, new, old)``.
+    """Each file with a file before it in its stream: ``(file_id, previous_id, stream_id, at, new, old)``.
 
     ``new`` and ``old`` are the two files' columns, ARRAY<STRUCT<name, kind, elem_count, byte_offset>> and what ``more`` names;
     an array is as long as a file is wide. Rows of fields are shuffled once, by file; the files are written, as three plans
@@ -69,67 +70,77 @@ def file_pairs(fields: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     files = scratch.written(files, "files")
     before = previous_files(files.select("file_id", "stream_id", "at"))
     old = files.select(F.col("file_id").alias("previous_id"), F.col("new").alias("old"))
-    return files.join(before, "file_id").join(old, "previous_id").select("file_id", "stream_id", "at", "new", "old")
+    return files.join(before, "file_id").join(old, "previous_id").select("file_id", "previous_id", "stream_id", "at", "new", "old")
 
 
-def _match_one(lost: np.ndarray, lost_at: np.ndarray, new: np.ndarray, new_at: np.ndarray) -> list[dict[str, str]]:
-    """Renames in the sense of :func:`changes` among the unmatched columns of one file.
+#: The layout of a column as text, null parts as ``?``, and the columns of one list whose names the other lacks.
+_layout = lambda x: F.concat_ws("|", *(F.coalesce(x[c].cast("string"), F.lit("?")) for c in ("kind", "elem_count", "byte_offset")))
+_only = lambda a, b: F.filter(a, lambda x: ~F.exists(b, lambda y: y["name"] == x["name"]))
 
-    The cheapest matching of lost names to new ones of equal layout; as a layout that lies on both sides is a rename there
-    whatever the names, columns that the matching had no partner left for get the best of those already taken.
-    """
-    same = lost_at[:, None] == new_at
-    cost = np.full(same.shape, np.inf)
-    for i, j in zip(*np.nonzero(same)):
-        cost[i, j] = NAME_WEIGHT * (1 - name_similarity(lost[i], new[j]))
-    pairs = assignment(cost)
-    # a layout shared by more names than the matching can use is still one from which each of them was renamed
-    done_new, done_old = {j for _, j in pairs}, {i for i, _ in pairs}
-    pairs += [(int(np.argmin(cost[:, j])), j) for j in range(len(new)) if j not in done_new and same[:, j].any()]
-    pairs += [(i, int(np.argmin(cost[i]))) for i in range(len(lost)) if i not in done_old and same[i].any()]
-    return [{"old_name": lost[i], "new_name": new[j]} for i, j in pairs]
 
+def with_renames(pairs: DataFrame, sketches_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """File pairs with ``lost`` and ``gained`` columns and ``renamed``, ARRAY<STRUCT<old_name, new_name, cost>>.
 
-def _match(lost: pd.Series, lost_at: pd.Series, new: pd.Series, new_at: pd.Series) -> pd.Series:
-    return pd.Series([_match_one(*row) if len(row[0]) else [] for row in zip(lost, lost_at, new, new_at)])
+    ``renamed`` is what :func:`match_layouts` finds, and null where no layout lies both among the lost and among the gained
+    columns. ``sketches_of`` gives :func:`value_sketches` of a table of ``file_id``; it is asked for the files that hold
+    candidates, of both sides, as in all others there is nothing to match.
+    """
+    loose = lambda df: df.withColumns({"lost": _only("old", "new"), "gained": _only("new", "old")})
+    shared = F.arrays_overlap(F.transform("lost", _layout), F.transform("gained", _layout))
+    pairs = scratch.written(pairs, "pairs")
+    candidates = loose(pairs).where(shared).select("file_id", "previous_id", "old", "new")
+    sides = {"old": "previous_id", "new": "file_id"}
+    values = {side: F.lit(None).cast("array<struct<field_name:string,sketch:struct<quantiles:array<double>,missing:double>>>") for side in sides}
+    if sketches_of:
+        files = scratch.written(candidates.select(F.explode(F.array("file_id", "previous_id")).alias("file_id")).distinct(), "candidates")
+        known = sketches_of(files).groupBy("file_id").agg(F.collect_list(F.struct("field_name", "sketch")).alias("v"))
+        known = scratch.written(known, "sketches")
+        for side, key in sides.items():
+            candidates = candidates.join(known.select(F.col("file_id").alias(key), F.col("v").alias(f"{side}_values")), key, "left")
+            values[side] = F.col(f"{side}_values")
+    # marked non-deterministic so that no rule copies the call into an explode or a filter
+    match = F.pandas_udf(_match, "array<struct<old_name:string,new_name:string,cost:double>>").asNondeterministic()
+    found = candidates.select("file_id", match("old", "new", values["old"], values["new"]).alias("renamed"))
+    return loose(pairs.join(found, "file_id", "left"))
 
 
-def with_renames(pairs: DataFrame) -> DataFrame:
-    """File pairs with ``renamed``, ARRAY<STRUCT<old_name, new_name>>: lost and new columns matched by layout and name.
+def compared(fields: DataFrame, sketches_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Every change of :func:`changes`, with where it came from: ``(file_id, field_name, change_kind, old_names, cost)``.
 
-    The matching gets only those columns of a file whose layout occurs both among the lost and among the new ones.
+    ``old_names`` are the names of the column in the file before, none for ``added``. Of a ``renamed`` one the first is the
+    partner of the matching and ``cost`` (0 to 1, :func:`pair_cost`) how little the two are alike by name, neighbours and, as
+    far as ``sketches_of`` (see :func:`with_renames`) has both, values; others follow only where a layout has more lost names
+    than new ones.
     """
-    only = lambda a, b: F.filter(a, lambda x: ~F.exists(b, lambda y: y["name"] == x["name"]))
-    layout = lambda x: F.concat_ws("|", F.coalesce(x["kind"], F.lit("?")), F.coalesce(x["elem_count"].cast("string"), F.lit("?")), F.coalesce(x["byte_offset"].cast("string"), F.lit("?")))
-    loose = pairs.withColumns({"lost": only("old", "new"), "gained": only("new", "old")})
-    shared = F.array_intersect(F.transform("lost", layout), F.transform("gained", layout))
-    sides = [F.transform(F.filter(side, lambda x: F.array_contains("shared", layout(x))), take) for side in ("lost", "gained") for take in (lambda x: x["name"], layout)]
-    # marked non-deterministic so that no rule copies the call into an explode or a filter
-    match = F.pandas_udf(_match, "array<struct<old_name:string,new_name:string>>").asNondeterministic()
-    return loose.withColumn("shared", shared).withColumn("renamed", match(*sides)).drop("shared")
+    pairs = with_renames(file_pairs(fields.where("field_name IS NOT NULL")).drop("stream_id", "at"), sketches_of)
+    none = F.array().cast("array<string>")
+    said = lambda name, kind, old, cost=F.lit(None): F.struct(name.alias("field_name"), kind.alias("change_kind"), old.alias("old_names"), cost.cast("double").alias("cost"))
+    same = lambda name, kind: said(name, F.lit(kind), F.array(name))
+    twin = lambda x: F.element_at(F.filter("old", lambda y: y["name"] == x["name"]), 1)
+    kept = F.filter("new", lambda x: F.exists("old", lambda y: y["name"] == x["name"]))
+    differs = lambda x, y, *cs: ~F.struct(*(x[c].alias(c) for c in cs)).eqNullSafe(F.struct(*(y[c].alias(c) for c in cs)))
+    beside = F.transform(kept, lambda x: F.struct(x.alias("n"), twin(x).alias("o")))
+    retyped = F.transform(F.filter(beside, lambda p: differs(p["n"], p["o"], "kind", "elem_count")), lambda p: same(p["n"]["name"], "retyped"))
+    moved = F.transform(F.filter(beside, lambda p: differs(p["n"], p["o"], "byte_offset")), lambda p: same(p["n"]["name"], "moved"))
+    renamed = F.coalesce("renamed", F.array().cast(pairs.schema["renamed"].dataType))
+    into = lambda x: F.filter(renamed, lambda r: r["new_name"] == x["name"])
+    is_from = lambda x: F.exists(renamed, lambda r: r["old_name"] == x["name"])
+    partner = lambda x, rs: F.when(F.size(rs) > 0, said(x["name"], F.lit("renamed"), F.array_distinct(F.transform(rs, lambda r: r["old_name"])), F.get(rs, F.lit(0))["cost"])).otherwise(said(x["name"], F.lit("added"), none))
+    gained = F.transform("gained", lambda x: partner(x, into(x)))
+    removed = F.transform(F.filter("lost", lambda x: ~is_from(x)), lambda x: same(x["name"], "removed"))
+    return pairs.select("file_id", F.explode(F.concat(retyped, moved, gained, removed)).alias("c")).select("file_id", "c.*")
 
 
-def changes(fields: DataFrame) -> DataFrame:
+def changes(fields: DataFrame, sketches_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Every change between a file and the one before it in its stream: ``(file_id, field_name, change_kind)``.
 
     ``fields`` as :func:`layout_of_fields` gives it. Kinds: ``retyped`` (type or count differs), ``moved`` (offset differs),
     ``renamed`` (a new name in the place, type and count of a lost one), ``added`` (any other new name), ``removed`` (a lost
     name from which nothing was renamed, reported under that name). Null types, counts and offsets compare as values; columns
-    without a name are left out. The first file of a stream has no changes; an empty table gives an empty one.
+    without a name are left out. The first file of a stream has no changes; an empty table gives an empty one. The renames are
+    those of :func:`compared`, which also tells their old names.
     """
-    pairs = with_renames(file_pairs(fields.where("field_name IS NOT NULL")))
-    said = lambda name, kind: F.struct(name.alias("field_name"), kind.alias("change_kind"))
-    twin = lambda x: F.element_at(F.filter("old", lambda y: y["name"] == x["name"]), 1)
-    kept = F.filter("new", lambda x: F.exists("old", lambda y: y["name"] == x["name"]))
-    differs = lambda x, y, *cs: ~F.struct(*(x[c].alias(c) for c in cs)).eqNullSafe(F.struct(*(y[c].alias(c) for c in cs)))
-    beside = F.transform(kept, lambda x: F.struct(x.alias("n"), twin(x).alias("o")))
-    retyped = F.transform(F.filter(beside, lambda p: differs(p["n"], p["o"], "kind", "elem_count")), lambda p: said(p["n"]["name"], F.lit("retyped")))
-    moved = F.transform(F.filter(beside, lambda p: differs(p["n"], p["o"], "byte_offset")), lambda p: said(p["n"]["name"], F.lit("moved")))
-    is_to = lambda x: F.exists("renamed", lambda r: r["new_name"] == x["name"])
-    is_from = lambda x: F.exists("renamed", lambda r: r["old_name"] == x["name"])
-    gained = F.transform("gained", lambda x: said(x["name"], F.when(is_to(x), F.lit("renamed")).otherwise(F.lit("added"))))
-    removed = F.transform(F.filter("lost", lambda x: ~is_from(x)), lambda x: said(x["name"], F.lit("removed")))
-    return pairs.select("file_id", F.explode(F.concat(retyped, moved, gained, removed)).alias("c")).select("file_id", "c.*")
+    return compared(fields, sketches_of).select("file_id", "field_name", "change_kind")
 
 
 def _canonical(rows: pd.DataFrame) -> pd.DataFrame:
@@ -162,7 +173,8 @@ def _sketch_gap(a: dict | None, b: dict | None) -> float | None:
     """Distance of two value sketches from 0 to 1: of the quantiles, over their common span, and of the shares without number."""
     if a is None or b is None:
         return None
-    x, y = (np.asarray(s["quantiles"] if s["quantiles"] is not None else [], dtype=float) for s in (a, b))
+    # values beyond a DOUBLE are read as infinite, which have no distance
+    x, y = (np.clip(np.asarray(s["quantiles"] if s["quantiles"] is not None else [], dtype=float), -1e300, 1e300) for s in (a, b))
     if len(x) and len(y):
         span = max(x.max(), y.max()) - min(x.min(), y.min())
         gap = float(np.mean(np.abs(x - y)) / span) if span > 0 else 0.0
@@ -203,6 +215,10 @@ def pair_cost(old: dict, new: dict, near_old: tuple[str, str], near_new: tuple[s
     return cost * 0.4 if same_type and old["byte_offset"] == new["byte_offset"] else cost
 
 
+def _costs(lost: list[dict], gained: list[dict], around: tuple[dict, dict]) -> np.ndarray:
+    return np.array([[pair_cost(p, q, around[0][p["name"]], around[1][q["name"]]) for q in gained] for p in lost])
+
+
 def match_columns(old: list[dict], new: list[dict], threshold: float = THRESHOLD) -> list[tuple[str, str]]:
     """Renames (old name, new name) between two versions: a minimum-cost matching of what is lost to what is new, one to one.
 
@@ -212,18 +228,55 @@ def match_columns(old: list[dict], new: list[dict], threshold: float = THRESHOLD
     lost, gained = ([c for c in side if c["name"] not in names] for side in (old, new))
     if not lost or not gained:
         return []
-    around = _around(old, names), _around(new, names)
-    cost = np.array([[pair_cost(p, q, around[0][p["name"]], around[1][q["name"]]) for q in gained] for p in lost])
+    cost = _costs(lost, gained, (_around(old, names), _around(new, names)))
     return [(lost[i]["name"], gained[j]["name"]) for i, j in assignment(np.where(cost <= threshold, cost, np.inf))]
 
 
+def match_layouts(old: list[dict], new: list[dict]) -> list[tuple[str, str, float]]:
+    """Renames (old name, new name, cost) in the sense of :func:`changes` between two versions, columns as for :func:`match_columns`.
+
+    Only columns of equal layout may be matched, so each layout is a minimum-cost matching of its own, and no cost is too
+    high. A layout that lies on both sides is a rename there for each of its names: columns for which the matching had no
+    partner left get, after it, the cheapest of those already taken.
+    """
+    names = {c["name"] for c in old} & {c["name"] for c in new}
+    around = _around(old, names), _around(new, names)
+    layouts: dict[tuple, tuple[list, list]] = defaultdict(lambda: ([], []))
+    for side, columns in enumerate((old, new)):
+        for c in columns:
+            if c["name"] not in names:
+                layouts[c["kind"], c["elem_count"], c["byte_offset"]][side].append(c)
+    out = []
+    for lost, gained in layouts.values():
+        if not lost or not gained:
+            continue
+        cost = _costs(lost, gained, around)
+        pairs = assignment(cost)
+        done_old, done_new = ({p[side] for p in pairs} for side in (0, 1))
+        pairs += [(int(np.argmin(cost[:, j])), j) for j in range(len(gained)) if j not in done_new]
+        pairs += [(i, int(np.argmin(cost[i]))) for i in range(len(lost)) if i not in done_old]
+        out += [(lost[i]["name"], gained[j]["name"], float(cost[i, j])) for i, j in pairs]
+    return out
+
+
+def _plain(row) -> dict:
+    return row.asDict(recursive=True) if hasattr(row, "asDict") else dict(row)
+
+
 def _renames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    plain = lambda r: r.asDict(recursive=True) if hasattr(r, "asDict") else dict(r)
     for batch in batches:
-        out = [(s, at, o, n) for s, at, new, old in zip(batch["stream_id"], batch["at"], batch["new"], batch["old"]) for o, n in match_columns([plain(c) for c in old], [plain(c) for c in new])]
+        out = [(s, at, o, n) for s, at, new, old in zip(batch["stream_id"], batch["at"], batch["new"], batch["old"]) for o, n in match_columns([_plain(c) for c in old], [_plain(c) for c in new])]
         yield pd.DataFrame(out, columns=["stream_id", "at", "old_name", "new_name"])
 
 
+def _match(old: pd.Series, new: pd.Series, old_values: pd.Series, new_values: pd.Series) -> pd.Series:
+    def columns(side, values) -> list[dict]:
+        known = {v["field_name"]: v["sketch"] for v in map(_plain, [] if values is None else values)}
+        return [c | {"sketch": known.get(c["name"])} for c in map(_plain, side)]
+
+    return pd.Series([[dict(zip(("old_name", "new_name", "cost"), r)) for r in match_layouts(columns(o, a), columns(n, b))] for o, n, a, b in zip(old, new, old_values, new_values)], dtype=object)
+
+
 def widest(kind: Column, count: Column) -> list[Column]:
     """Aggregates ``column_kind, column_count``: the narrowest kind that holds every kind of a group, and the greatest count.
 
