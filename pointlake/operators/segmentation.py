@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointlake.functions.geometry import XYZ, cross, dot, sub, vec
@@ -41,14 +42,20 @@ def plane_inliers(cloud: DataFrame, plane: tuple[float, float, float, float], th
     return cloud.where(plane_distance(plane) <= threshold)
 
 
-#: Points and candidates that meet at a time: a chunk of a cloud against a block of planes.
-CHUNK, PLANES = 50_000, 200
+#: Ranks of a chunk, and planes and points that meet at a time.
+CHUNK, PLANES, POINTS = 50_000, 200, 2_000
+
+
+def _chunk(rank: Column) -> Column:
+    return F.floor(rank / CHUNK).cast("int")
 
 
 def _corners(sizes: DataFrame, iterations: int, seed: int | None) -> DataFrame:
-    """``(cloud_id, candidate, corner, rank)``: three different ranks below n for each candidate."""
+    """``(candidate, corner, rank, chunk)``: three different ranks of a cloud for each of its candidates."""
     i, n = F.col("candidate"), F.col("n")
-    drawn = sizes.where("n >= 3").select(KEY, "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(iterations - 1).cast("bigint"))).alias("candidate"))
+    # sizes are few rows of many candidates each: spread before they are exploded
+    sizes = sizes.where("n >= 3").repartition(sizes.sparkSession.sparkContext.defaultParallelism, KEY)
+    drawn = sizes.select(KEY, "first", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(iterations - 1).cast("bigint"))).alias("candidate"))
     if seed is None:
         ranks = [F.pmod(i, n), F.pmod(37 * i + 1, n), F.pmod(101 * i + 2, n)]
     else:
@@ -61,14 +68,37 @@ def _corners(sizes: DataFrame, iterations: int, seed: int | None) -> DataFrame:
         ranks = [first, second, third + (third >= high).cast("bigint")]
     a, b, c = ranks
     apart = drawn.withColumns({"r0": a, "r1": b, "r2": c}).where("r0 <> r1 AND r1 <> r2 AND r0 <> r2")
-    return apart.select(KEY, "candidate", F.posexplode(F.array("r0", "r1", "r2")).alias("corner", "rank"))
+    corners = apart.select("candidate", "first", F.posexplode(F.array("r0", "r1", "r2")).alias("corner", "r_")).withColumn("rank", F.col("first") + F.col("r_"))
+    return corners.select("candidate", "corner", "rank", _chunk(F.col("rank")).alias("chunk"))
 
 
-def _planes(points: DataFrame, sizes: DataFrame, iterations: int, seed: int | None) -> DataFrame:
+def _planes(parts: DataFrame, sizes: DataFrame, iterations: int, seed: int | None) -> DataFrame:
     """``(cloud_id, candidate, a, b, c, d)``: planes through the drawn points, those of collinear ones left out."""
-    drawn = _corners(sizes, iterations, seed).join(points.select(KEY, "rank", *XYZ), [KEY, "rank"])
-    corner = [F.max(F.when(F.col("corner") == t, F.col(c))).alias(f"{c}{t}") for t in range(3) for c in XYZ]
-    met = drawn.groupBy(KEY, "candidate").agg(*corner)
+    kind = parts.schema[KEY].dataType.simpleString()
+    at = [f"{c}{t}" for t in range(3) for c in XYZ]
+
+    def pick(key: tuple, group: pa.Table, drawn: pa.Table) -> pa.Table:
+        """A row for each candidate with those of its corners that lie in the chunk."""
+        rank = group["rank"].to_numpy()
+        order = np.argsort(rank, kind="stable")
+        row = order[np.searchsorted(rank, drawn["rank"].to_numpy(), sorter=order)]
+        names = group[KEY].combine_chunks()
+        code = names.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
+        _, first, place = np.unique(np.column_stack([code, drawn["candidate"].to_numpy()]), axis=0, return_index=True, return_inverse=True)
+        place, corner = place.ravel(), drawn["corner"].to_numpy()
+        columns = {KEY: names.take(pa.array(row[first])), "candidate": drawn["candidate"].combine_chunks().take(pa.array(first))}
+        for t in range(3):
+            mine = corner == t
+            value, missing = np.zeros(len(first)), np.ones(len(first), dtype=bool)
+            missing[place[mine]] = False
+            for c in XYZ:
+                value[place[mine]] = group[c].to_numpy()[row[mine]]
+                columns[f"{c}{t}"] = pa.array(value.copy(), mask=missing)
+        return pa.table(columns)
+
+    schema = f"{KEY} {kind}, candidate bigint, {', '.join(f'{c} double' for c in at)}"
+    drawn = parts.groupBy("chunk").cogroup(_corners(sizes, iterations, seed).groupBy("chunk")).applyInArrow(pick, schema)
+    met = drawn.groupBy(KEY, "candidate").agg(*(F.max(c).alias(c) for c in at))
     at = [vec(*(f"{c}{t}" for c in XYZ)) for t in range(3)]
     met = met.withColumns(dict(zip(("m0", "m1", "m2"), cross(sub(at[1], at[0]), sub(at[2], at[0])))))
     length = F.sqrt(dot(vec("m0", "m1", "m2"), vec("m0", "m1", "m2")))
@@ -80,9 +110,10 @@ def ransac_plane(cloud: DataFrame, threshold: float = 0.01, iterations: int = 10
     """``(cloud_id, candidate, a, b, c, d, inliers)``: of each cloud the plane through three points with most points within ``threshold``.
 
     Ties go to the first candidate. Candidates are drawn by rank in pid order: by a hash of the seed over all points, without
-    a seed by the fixed recurrence. Chunks of a cloud meet its planes in vectorised tasks, so a cloud of any size is spread;
-    only counts per chunk and plane are added up. Clouds with fewer than 3 points have no plane; if no cloud has 3, and for
-    non-positive parameters, it is an error.
+    a seed by the fixed recurrence. Chunks of ranks, which hold part of a cloud or many small ones, meet first the corners drawn
+    from them and then the planes of their clouds, in vectorised tasks over one shuffle; of a cloud in several chunks the counts
+    are added up. Clouds with fewer than 3 points have no plane; if no cloud has 3, and for non-positive parameters, it is an
+    error.
     """
     positive(threshold=threshold, iterations=iterations)
     points = ranked(cloud.select(KEY, "pid", *XYZ), [KEY, "pid"])
@@ -90,25 +121,42 @@ def ransac_plane(cloud: DataFrame, threshold: float = 0.01, iterations: int = 10
     sizes = scratch.written(first, "sizes")
     if sizes.where("n >= 3").isEmpty():
         raise ValueError("at least 3 points are needed")
-    points = points.join(sizes.select(KEY, "first"), KEY).select(KEY, *XYZ, (F.col("rank") - F.col("first")).alias("rank"))
-    planes = scratch.written(_planes(points, sizes, iterations, seed), "planes")
-    chunks = planes.join(sizes, KEY).select(KEY, "candidate", *"abcd", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK).cast("int"))).alias("chunk"))
-    parts = points.select(KEY, *XYZ, F.floor(F.col("rank") / CHUNK).cast("int").alias("chunk"))
+    sizes = sizes.where(F.col(KEY).isNotNull())
+    parts = points.where(F.col(KEY).isNotNull()).select(KEY, *XYZ, "rank", _chunk(F.col("rank")).alias("chunk"))
+    low, high = _chunk(F.col("first")), _chunk(F.col("first") + F.col("n") - 1)
+    spread = sizes.select(KEY, (low == high).alias("alone"), F.sequence(low, high).alias("chunks"))
+    chunks = _planes(parts, sizes, iterations, seed).join(spread, KEY).select(KEY, "candidate", *"abcd", "alone", F.explode("chunks").alias("chunk"))
     kind = cloud.schema[KEY].dataType.simpleString()
 
-    def count(key: tuple, group: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        p, h = group[list(XYZ)].to_numpy(), held[list("abcd")].to_numpy()
-        n = np.zeros(len(h), dtype=np.int64)
-        for i in range(0, len(h), PLANES):
-            a, b, c, d = (h[i : i + PLANES, t] for t in range(4))
-            # summed in the order of the Column form, so that borders fall alike
-            n[i : i + PLANES] = (np.abs(p[:, :1] * a + p[:, 1:2] * b + p[:, 2:] * c + d) <= threshold).sum(axis=0)
-        return pd.DataFrame({KEY: key[0], "candidate": held["candidate"], "n": n})
-
-    counted = parts.groupBy(KEY, "chunk").cogroup(chunks.groupBy(KEY, "chunk")).applyInPandas(count, f"{KEY} {kind}, candidate bigint, n bigint")
-    hits = counted.groupBy(KEY, "candidate").agg(F.sum("n").alias("inliers"))
-    best = hits.groupBy(KEY).agg(F.max(F.struct("inliers", (-F.col("candidate")).alias("back"))).alias("m")).select(KEY, (-F.col("m.back")).alias("candidate"), F.col("m.inliers").alias("inliers"))
-    return best.join(planes, [KEY, "candidate"]).select(KEY, "candidate", *"abcd", "inliers")
+    def count(key: tuple, group: pa.Table, held: pa.Table) -> pa.Table:
+        """Counts of each plane in the chunk; of a cloud that lies in it alone, the best plane only."""
+        names = held[KEY].combine_chunks().dictionary_encode()
+        code = names.indices.to_numpy(zero_copy_only=False)
+        own = pc.index_in(group[KEY], names.dictionary).to_numpy()
+        p, h, alone = np.column_stack([group[c].to_numpy() for c in XYZ]), np.column_stack([held[v].to_numpy() for v in "abcd"]), held["alone"].to_numpy()
+        candidate, n, kept = held["candidate"].to_numpy(), np.zeros(len(h), dtype=np.int64), np.ones(len(h), dtype=bool)
+        for cloud_code in range(len(names.dictionary)):
+            rows, mine = np.flatnonzero(code == cloud_code), p[own == cloud_code]
+            for i in range(0, len(rows), PLANES):
+                a, b, c, d = h[rows[i : i + PLANES]].T[:, :, None]
+                for j in range(0, len(mine), POINTS):
+                    x, y, z = mine[j : j + POINTS].T
+                    # summed in the order of the Column form, so that borders fall alike
+                    gap = x * a
+                    gap += y * b
+                    gap += z * c
+                    gap += d
+                    n[rows[i : i + PLANES]] += np.count_nonzero(np.abs(gap, out=gap) <= threshold, axis=1)
+            if alone[rows[0]]:
+                kept[rows] = False
+                kept[rows[np.lexsort((candidate[rows], -n[rows]))[0]]] = True
+        return held.select([KEY, "candidate", *"abcd"]).append_column("n", pa.array(n)).filter(pa.array(kept))
+
+    schema = f"{KEY} {kind}, candidate bigint, a double, b double, c double, d double, n bigint"
+    counted = parts.groupBy("chunk").cogroup(chunks.groupBy("chunk")).applyInArrow(count, schema)
+    hits = counted.groupBy(KEY, "candidate").agg(F.sum("n").alias("inliers"), *(F.max(v).alias(v) for v in "abcd"))
+    best = hits.groupBy(KEY).agg(F.max(F.struct("inliers", (-F.col("candidate")).alias("back"), *"abcd")).alias("m"))
+    return best.select(KEY, (-F.col("m.back")).alias("candidate"), *(F.col(f"m.{v}").alias(v) for v in "abcd"), F.col("m.inliers").alias("inliers"))
 
 
 def segment_planes(cloud: DataFrame, threshold: float = 0.01, iterations: int = 1000, seed: int | None = 0) -> DataFrame:

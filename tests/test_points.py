@@ -131,6 +131,22 @@ def test_ransac_finds_the_plane(spark):
         segmentation.ransac_plane(cloud(spark, [(0, 0, 0)]), 0.1, 5)
 
 
+def test_ransac_sends_no_candidates_to_all_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(f"c{i % 150}", i, *map(float, p)) for i, p in enumerate(rng.uniform(0, 1, (1500, 3)).round(3))]
+    c = spark.createDataFrame(rows, CLOUD)
+    monkeypatch.setattr(segmentation, "CHUNK", 400)
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "48m")
+    try:
+        got = {r.cloud_id: r for r in segmentation.ransac_plane(c, 0.1, 2000, seed=0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert len(got) == 150
+    for name, r in got.items():
+        own = [p for n, _, *p in rows if n == name]
+        assert sum(abs(r.a * x + r.b * y + r.c * z + r.d) <= 0.1 for x, y, z in own) == r.inliers >= 3
+
+
 def test_chain_clusters_equal_brute_force_also_when_blocks_are_cut(spark, monkeypatch):
     import pointlake.operators.chains as chains
 
