@@ -19,7 +19,8 @@ def matrices(*parts: pd.Series) -> np.ndarray:
     return np.stack([np.stack([xx, xy, xz], -1), np.stack([xy, yy, yz], -1), np.stack([xz, yz, zz], -1)], -2)
 
 
-def _eigen(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
+def eigen(xx: pd.Series, xy: pd.Series, xz: pd.Series, yy: pd.Series, yz: pd.Series, zz: pd.Series) -> pd.DataFrame:
+    """Values e_min to e_max and the vector of the least for many matrices at once."""
     if not len(xx):
         return pd.DataFrame({n: pd.Series(dtype=float) for n in ("e_min", "e_mid", "e_max", "vx", "vy", "vz")})
     values, vectors = np.linalg.eigh(matrices(xx, xy, xz, yy, yz, zz))
@@ -32,5 +33,5 @@ def with_eigen(df: DataFrame) -> DataFrame:
 
     The sign of the vector is open; of a zero matrix it is (0, 0, 1).
     """
-    eigen = F.pandas_udf(_eigen, "e_min double, e_mid double, e_max double, vx double, vy double, vz double").asNondeterministic()
-    return df.withColumn("eigen_", eigen(*SYMMETRIC)).select(*df.columns, "eigen_.*")
+    solve = F.pandas_udf(eigen, "e_min double, e_mid double, e_max double, vx double, vy double, vz double").asNondeterministic()
+    return df.withColumn("eigen_", solve(*SYMMETRIC)).select(*df.columns, "eigen_.*")

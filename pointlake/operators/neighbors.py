@@ -7,7 +7,7 @@ search in memory; a block brings a rim of its neighbours along, and only queries
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pointlake.functions.geometry import XYZ, distance2
-from pointlake.functions.grid import Grid
+from pointlake.functions.grid import PAIRS, Grid
 from pointlake.plans import scratch
-from pointlake.plans.blocks import codes
+from pointlake.plans.blocks import WIDTHS, Blocks, codes, in_blocks
 from pointlake.schema import positive
 
 KEY = "cloud_id"
@@ -384,6 +384,68 @@ def neighborhoods(cloud: DataFrame, k: int, radius: float | None = None, carry:
     return wide.join(enough, [KEY, "pid"], "left_semi").unionByName(knn(rest, base, k, exclude_self=True, carry=carry).drop("rank"))
 
 
+#: Rims of blocks in radii, the widest first; rows that the smallest block may hold; points whose sums are held at a time.
+RIMS, HELD, PART = (32, 8, 2), 500_000, 50_000
+
+
+def _rim(points: DataFrame, radius: float) -> float:
+    """The widest rim whose smallest blocks, two rims wide and as much around them, hold few enough points of a surface."""
+    for wide in RIMS[:-1]:
+        cells = points.groupBy(KEY, *(F.floor(F.col(c) / (wide * radius)).alias(f"at_{c}") for c in XYZ)).agg(F.count(F.lit(1)).alias("n"))
+        if (cells.agg(F.max("n")).first()[0] or 0) * (WIDTHS[-1] + 2) ** 2 <= HELD:
+            return wide * radius
+    return RIMS[-1] * radius
+
+
+def folded(points: DataFrame, k: int, radius: float, width: int, fold: Callable, finish: Callable, made: dict[str, str], kept: tuple[str, ...] = (KEY, "pid"), carry: tuple[str, ...] = XYZ) -> tuple[DataFrame, DataFrame | None]:
+    """:func:`neighborhoods` within a radius, summed up where they are found: pairs are neither written nor shuffled.
+
+    ``points`` is a written table. ``fold(sums, blocks, rows, q, m, d2)`` adds to the sums (points, width) of the points at
+    ``rows`` what their neighbours ``m`` give, q numbers the pairs' points; ``finish(sums, count)`` gives the columns ``made`` (their
+    Spark types by name). The first table, a written one, has the columns ``kept``, ``made``, and ``left``: null, or for a point whose k nearest
+    are not all in the rim of its block its columns without those of the sums. The second table has the neighbours of
+    these, as :func:`neighborhoods`; None if there are none.
+    """
+    positive(radius=radius)
+    columns, rim = points.columns, _rim(points, radius)
+    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
+    own = [c for c in columns if c not in (KEY, "pid")]
+
+    def solve(b: Blocks) -> Iterator[pa.RecordBatch]:
+        pid, home = b.table["pid"].to_numpy(), np.flatnonzero(b.home)
+        grid = Grid(b.block, b.xyz, pid, np.full(int(b.block.max(initial=0)) + 1, float(radius)))
+        for first in range(0, len(home), PART):
+            rows = home[first : first + PART]
+            count, sums = np.zeros(len(rows), dtype=np.int64), np.zeros((len(rows), width))
+            for q, m, d2 in grid.within(b.block[rows], b.xyz[rows], radius):
+                other = pid[rows[q]] != pid[m]
+                q, m, d2 = q[other], m[other], d2[other]
+                count += np.bincount(q, minlength=len(rows))
+                fold(sums, b, rows, q, m, d2)
+            thin = np.flatnonzero(count < k)
+            left = np.zeros(len(rows), dtype=bool)
+            if len(thin):
+                sums[thin] = 0
+                q, m, d2, done = grid.nearest(b.block[rows[thin]], b.xyz[rows[thin]], k, pid[rows[thin]], reach=np.full(len(thin), rim * (1 - 1e-9)))
+                count[thin] = np.bincount(q, minlength=len(thin))
+                for at in range(0, len(q), PAIRS):
+                    fold(sums, b, rows, thin[q[at : at + PAIRS]], m[at : at + PAIRS], d2[at : at + PAIRS])
+                left[thin] = ~done
+            at = pa.array(rows)
+            take = lambda c: b.table[c].combine_chunks().take(at)  # noqa: B023, E731
+            rest = pa.StructArray.from_arrays([take(c) for c in own], names=own, mask=pa.array(~left))
+            yield pa.RecordBatch.from_arrays([*(take(c) for c in kept), *finish(sums, count), rest], names=[*kept, *made, "left"])
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *(f"{n} {t}" for n, t in made.items()), f"left struct<{', '.join(f'`{c}`: {kinds[c]}' for c in own)}>"])
+    # a corner half a block from zero: clouds recorded around it mostly lie in one block
+    first = scratch.written(in_blocks(points, rim, solve, schema, origin=-rim * WIDTHS[0] / 2), "folded")
+    rest = scratch.written(first.where("left IS NOT NULL").select(KEY, "pid", "left.*"), "rest")
+    if rest.isEmpty():
+        return first, None
+    base = points.join(rest.select(KEY).distinct(), KEY, "left_semi").select(columns)
+    return first, scratch.written(knn(rest, base, k, exclude_self=True, carry=carry).drop("rank"), "near")
+
+
 def moved_nearest(queries: DataFrame, prepared: Prepared, max_distance: float | None, pose: np.ndarray) -> DataFrame | None:
     """``(cloud_id, pid, x, y, z, neighbor, distance, to)`` of moved queries by one pass where they lie, if the base is a small one."""
     if prepared.held is None:

@@ -49,17 +49,17 @@ class Blocks:
         return Grid(self.block[rows], self.xyz[rows], self.table["pid"].to_numpy()[rows], np.full(int(self.block.max(initial=0)) + 1, self.unit))
 
 
-def _around(edge: float, rim: float) -> Column:
+def _around(edge: float, rim: float, origin: float) -> Column:
     reach = rim * (1 + 1e-9)
-    axis = lambda c: F.array_distinct(F.array(F.floor(F.col(c) / edge), F.floor((F.col(c) - reach) / edge), F.floor((F.col(c) + reach) / edge)))
+    axis = lambda c: F.array_distinct(F.array(*(F.floor((F.col(c) - F.lit(origin + shift)) / edge) for shift in (0.0, reach, -reach))))
     plane = F.flatten(F.transform(axis("x"), lambda x: F.transform(axis("y"), lambda y: F.struct(x.alias("bx"), y.alias("by")))))
     return F.flatten(F.transform(plane, lambda p: F.transform(axis("z"), lambda z: F.struct(p["bx"].alias("bx"), p["by"].alias("by"), z.alias("bz")))))
 
 
-def in_blocks(points: DataFrame, rim: float, solve: Callable[[Blocks], Iterator[pa.RecordBatch]], schema: str, keys: tuple[str, ...] = ("cloud_id",)) -> DataFrame:
+def in_blocks(points: DataFrame, rim: float, solve: Callable[[Blocks], Iterator[pa.RecordBatch]], schema: str, keys: tuple[str, ...] = ("cloud_id",), origin: float = 0.0) -> DataFrame:
     """What ``solve`` makes of the blocks of all tasks. ``points`` have the keys, pid, x, y, z and what else ``solve`` needs.
 
-    Rows with a null key or unusable coordinates do not take part. The rows are written and counted, and block sizes counted
+    Blocks have a corner where x, y and z are ``origin``. Rows with a null key or unusable coordinates do not take part. The rows are written and counted, and block sizes counted
     where some block could be too large.
     """
     keys = list(keys)
@@ -70,7 +70,7 @@ def in_blocks(points: DataFrame, rim: float, solve: Callable[[Blocks], Iterator[
     where = [*keys, "width", *_AT]
 
     def placed(rows: DataFrame, width: float) -> DataFrame:
-        out = rows.select(*rows.columns, F.posexplode(_around(width, rim)).alias("n_", "b_")).withColumn("width", F.lit(float(width)))
+        out = rows.select(*rows.columns, F.posexplode(_around(width, rim, origin)).alias("n_", "b_")).withColumn("width", F.lit(float(width)))
         return out.withColumns({"at_home": F.col("n_") == 0, **{b: F.col(f"b_.{b}") for b in _AT}}).drop("n_", "b_")
 
     rows, out = placed(points, WIDTHS[0] * rim), None

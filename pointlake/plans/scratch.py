@@ -8,6 +8,7 @@ is unset a temporary folder of this process is used and set, which only a sessio
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -49,6 +50,12 @@ def written(df: DataFrame, name: str, partitions: int | None = None) -> DataFram
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished plans: Spark deletes them once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """A file at a path in the shared folder, by the file system that the path's address names."""
     sc = spark.sparkContext

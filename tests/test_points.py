@@ -122,6 +122,50 @@ def test_descriptors_have_their_sizes_and_norms(spark):
         assert d.shape == (40, size) and np.allclose(np.linalg.norm(d, axis=1), 1)
 
 
+@pytest.fixture
+def most_rows(monkeypatch):
+    """The numbers of rows of the scratch tables that are written."""
+    from pointlake.plans import scratch
+
+    seen, written = [], scratch.written
+
+    def counted(*a, **k):
+        out = written(*a, **k)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(scratch, "written", counted)
+    return seen
+
+
+def _crowd_and_rest():
+    """A crowd, points with few others around, points far from all, and a cloud of few points."""
+    rng = np.random.default_rng(6)
+    a = np.r_[rng.normal(0, 0.05, (300, 3)), rng.uniform(-6, 6, (60, 3)), rng.uniform(-90, 90, (15, 3))].round(3)
+    return [("a", a), ("b", rng.uniform(0, 50, (4, 3)).round(3))]
+
+
+def _near(points: np.ndarray, i: int, k: int, radius: float) -> np.ndarray:
+    d = np.linalg.norm(points - points[i], axis=1)
+    d[i] = np.inf
+    within = np.flatnonzero(d <= radius)
+    return within if len(within) >= k else np.argsort(d, kind="stable")[: min(k, len(points) - 1)]
+
+
+def test_normals_within_a_radius_write_no_pairs(spark, most_rows):
+    clouds = _crowd_and_rest()
+    rows = [(n, i, *map(float, p)) for n, points in clouds for i, p in enumerate(points)]
+    c = spark.createDataFrame(rows, CLOUD).selectExpr("*", "pid * 2 as width", "'t' as left")
+    got = {(r.cloud_id, r.pid): r for r in normals.estimate_normals(c, 5, 0.4).collect()}
+    assert len(got) == len(rows) and max(most_rows) <= 2 * len(rows)
+    for n, points in clouds:
+        for i in range(len(points)):
+            r, near = got[n, i], points[[*_near(points, i, 5, 0.4), i]]
+            values, vectors = np.linalg.eigh(np.cov(near.T, bias=True))
+            assert abs(abs(vectors[:, 0] @ (r.nx, r.ny, r.nz)) - 1) < 1e-6 and r.width == 2 * i and r.left == "t"
+            assert r.curvature == pytest.approx(max(values[0], 0) / values.sum(), abs=1e-9)
+
+
 def test_ransac_finds_the_plane(spark):
     rng = np.random.default_rng(2)
     flat = np.c_[rng.uniform(0, 1, (80, 2)), np.zeros(80)]
