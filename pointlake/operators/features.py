@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointlake.functions.geometry import cross, dot, scale, sub, vec
-from pointlake.operators.neighbors import KEY, knn, neighborhoods
+from pointlake.operators.neighbors import KEY, folded, knn
 from pointlake.operators.normals import estimate_normals
 from pointlake.plans import scratch
 from pointlake.plans.blocks import Blocks, in_blocks
@@ -24,13 +24,6 @@ def _bin(value: Column, low: float, high: float, bins: int) -> Column:
     return F.least(F.greatest(F.floor((value - low) / (high - low) * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
 
 
-def _around(cloud: DataFrame, radius: float, k: int) -> DataFrame:
-    """Neighbour pairs: the point's columns as ``own``, the neighbour's as ``to``."""
-    points = cloud.select(KEY, "pid", *_POINT)
-    near = neighborhoods(points, k, radius, carry=_POINT)
-    return near.join(points.select(KEY, "pid", F.struct(*_POINT).alias("own")), [KEY, "pid"])
-
-
 def pair_features(pairs: DataFrame) -> DataFrame:
     """Pairs with the bins of their three angles; degenerate pairs are left out."""
     ps, ns, pt, nt = vec(*(f"own.{c}" for c in "xyz")), vec(*(f"own.n{c}" for c in "xyz")), vec(*(f"to.{c}" for c in "xyz")), vec(*(f"to.n{c}" for c in "xyz"))
@@ -49,10 +42,35 @@ def pair_features(pairs: DataFrame) -> DataFrame:
 def spfh(cloud: DataFrame, radius: float = 0.1, k: int = 10) -> DataFrame:
     """``(cloud_id, pid, bin, value)``: the occupied bins of each point's simplified histogram, three times 11 bins.
 
-    Values of a third sum to 1. Neighbours are those within the radius if they are at least k, else the k nearest.
+    Values of a third sum to 1. Neighbours are those within the radius if they are at least k, else the k nearest. Histograms
+    are counted in blocks of space, so that pairs are neither written nor shuffled.
     """
     positive(radius=radius)
-    return _spfh(_around(cloud, radius, k))
+    width = 3 * BINS
+    points = scratch.written(cloud.where(F.col(KEY).isNotNull() & F.col("pid").isNotNull()).select(KEY, "pid", *_POINT), "points")
+    scratch.release(cloud.sparkSession)
+
+    def fold(sums: np.ndarray, b: Blocks, rows: np.ndarray, q: np.ndarray, m: np.ndarray, d2: np.ndarray) -> None:
+        for at in range(0, len(q), PAIRS):
+            q_, m_, d = q[at : at + PAIRS], m[at : at + PAIRS], np.sqrt(d2[at : at + PAIRS])
+            normal, normals = (np.column_stack([b.table[f"n{c}"].to_numpy()[at_] for c in "xyz"]) for at_ in (rows[q_], m_))
+            bins, good = _bins(b.xyz[rows[q_]], normal, b.xyz[m_], normals, d)
+            sums += np.bincount((q_[good, None] * width + bins[good]).ravel(), minlength=sums.size).reshape(sums.shape)
+
+    def finish(sums: np.ndarray, count: np.ndarray) -> list[pa.Array]:
+        row, bins = np.nonzero(sums)
+        ends = pa.array(np.searchsorted(row, np.arange(len(sums) + 1)), pa.int32())
+        return [pa.ListArray.from_arrays(ends, pa.array(values, pa.int32())) for values in (bins, sums[row, bins].astype(np.int32))]
+
+    first, near = folded(points, k, radius, width, fold, finish, {"bins": "array<int>", "counts": "array<int>"}, carry=_POINT)
+    # each pair is in one bin of each third
+    n = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, c: a + c) / 3
+    occupied = first.where("left IS NULL").select(KEY, "pid", n.alias("n"), F.explode(F.arrays_zip("bins", "counts")).alias("o"))
+    out = occupied.select(KEY, "pid", F.col("o.bins").alias("bin"), (F.col("o.counts") / F.col("n")).alias("value"))
+    if near is not None:
+        own = first.where("left IS NOT NULL").select(KEY, "pid", F.col("left").alias("own"))
+        out = out.unionByName(_spfh(near.join(own, [KEY, "pid"])))
+    return out
 
 
 def _spfh(pairs: DataFrame) -> DataFrame:
@@ -72,12 +90,12 @@ def _bins(own: np.ndarray, normal: np.ndarray, to: np.ndarray, normals: np.ndarr
     near = distance >= 1e-10
     d = (to - own) / np.where(near, distance, 1)[:, None]
     u = np.cross(normal, d)
-    m = np.linalg.norm(u, axis=1)
+    m = np.sqrt((u * u).sum(axis=1))
     near &= m >= 1e-10
-    v = u / np.where(m > 0, m, 1)[:, None]
+    v = u * (1 / np.where(m > 0, m, 1))[:, None]  # as the Column form, so that borders fall alike
     w = np.cross(normal, v)
     dot_ = lambda a, b: (a * b).sum(axis=1)
-    bin_ = lambda value, low, wide: np.clip(np.floor((value - low) / wide * BINS), 0, BINS - 1).astype(np.int64)
+    bin_ = lambda value, low, wide: np.clip(np.nan_to_num(np.floor((value - low) / wide * BINS)), 0, BINS - 1).astype(np.int64)
     angle = np.arctan2(dot_(w, normals), dot_(normal, normals))
     return np.stack([bin_(dot_(v, normals), -1, 2), BINS + bin_(dot_(normal, d), -1, 2), 2 * BINS + bin_(angle, -np.pi, 2 * np.pi)], axis=1), near
 

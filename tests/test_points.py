@@ -166,6 +166,23 @@ def test_normals_within_a_radius_write_no_pairs(spark, most_rows):
             assert r.curvature == pytest.approx(max(values[0], 0) / values.sum(), abs=1e-9)
 
 
+def test_spfh_writes_no_pairs(spark, most_rows):
+    rng = np.random.default_rng(7)
+    rows = []
+    for n, points in _crowd_and_rest():
+        normal = rng.normal(size=points.shape)
+        normal /= np.linalg.norm(normal, axis=1, keepdims=True)
+        rows += [(n, i, *map(float, p), *map(float, v)) for i, (p, v) in enumerate(zip(points, normal))]
+    rows[7] = (*rows[7][:5], None, None, None)
+    c = spark.createDataFrame(rows, CLOUD + ", nx double, ny double, nz double")
+    got = {(r.cloud_id, r.pid, r.bin): r.value for r in features.spfh(c, 0.4, 5).collect()}
+    assert max(most_rows) <= 2 * len(rows)
+    carry = ("x", "y", "z", "nx", "ny", "nz")
+    near = neighbors.neighborhoods(c, 5, 0.4, carry).join(c.selectExpr("cloud_id", "pid", f"struct({', '.join(carry)}) as own"), ["cloud_id", "pid"])
+    want = {(r.cloud_id, r.pid, r.bin): r.value for r in features._spfh(near).collect()}
+    assert got == want and len({k[:2] for k in want}) == len(rows) - 1
+
+
 def test_ransac_finds_the_plane(spark):
     rng = np.random.default_rng(2)
     flat = np.c_[rng.uniform(0, 1, (80, 2)), np.zeros(80)]
