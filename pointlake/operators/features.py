@@ -60,12 +60,12 @@ def spfh(cloud: DataFrame, radius: float = 0.1, k: int = 10) -> DataFrame:
     def finish(sums: np.ndarray, count: np.ndarray) -> list[pa.Array]:
         row, bins = np.nonzero(sums)
         ends = pa.array(np.searchsorted(row, np.arange(len(sums) + 1)), pa.int32())
-        return [pa.ListArray.from_arrays(ends, pa.array(values, pa.int32())) for values in (bins, sums[row, bins].astype(np.int32))]
+        lists = (pa.ListArray.from_arrays(ends, pa.array(values, pa.int32())) for values in (bins, sums[row, bins].astype(np.int32)))
+        # each pair is in one bin of each third
+        return [*lists, pa.array(sums[:, :BINS].sum(axis=1).astype(np.int64))]
 
-    first, near = folded(points, k, radius, width, fold, finish, {"bins": "array<int>", "counts": "array<int>"}, carry=_POINT)
-    # each pair is in one bin of each third
-    n = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, c: a + c) / 3
-    occupied = first.where("left IS NULL").select(KEY, "pid", n.alias("n"), F.explode(F.arrays_zip("bins", "counts")).alias("o"))
+    first, near = folded(points, k, radius, width, fold, finish, {"bins": "array<int>", "counts": "array<int>", "n": "bigint"}, carry=_POINT)
+    occupied = first.where("left IS NULL").select(KEY, "pid", "n", F.explode(F.arrays_zip("bins", "counts")).alias("o"))
     out = occupied.select(KEY, "pid", F.col("o.bins").alias("bin"), (F.col("o.counts") / F.col("n")).alias("value"))
     if near is not None:
         own = first.where("left IS NOT NULL").select(KEY, "pid", F.col("left").alias("own"))
